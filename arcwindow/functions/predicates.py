@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from arcwindow.functions.tokens import DEFAULT_FORMAT, both, category, format_tokens
+from arcwindow.functions.tokens import DEFAULT_FORMAT, Tokens, both, category, format_tokens
 
 # First tag letters of content words.
 CONTENT_TAG_LETTERS = ("N", "J", "V", "R")
@@ -59,7 +59,7 @@ class TokenTest:
     def is_empty(self) -> bool:
         return not (self.word or self.lemma or self.pos or self.flag_column) and self.words is None
 
-    def flags(self, tokens: Column) -> Column | None:
+    def flags(self, tokens: Tokens) -> Column | None:
         """One boolean per token, or None when everything passes."""
 
         def matching(values: Column, pattern: str) -> Column:

@@ -1,27 +1,31 @@
-"""The token struct, its parsing from a corpus line, and its text templates."""
+"""Token columns of a sentence row, and text templates over them.
+
+A sentence is one row with parallel arrays, one per token field (``tok_word``,
+``tok_lemma`` …): a query reads, parses and stores just the fields it names.
+``tok_line`` holds the raw lines where they cannot be rebuilt from the six fields, and
+``tok_n_fields`` the field counts where one is not six; both are null for the usual
+sentence.
+"""
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 from string import Formatter
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from arcwindow.functions.arrays import all_distinct, let
+from arcwindow.functions.arrays import all_distinct, index_of, let
 
 # Column order of a corpus line, default template and separator.
 LINE_FIELDS = ("word", "lemma", "pos", "id", "dep_id", "dep_rel")
 DEFAULT_FORMAT = "{lemma}-{cat}"
 DEFAULT_TOKEN_SEP = "<-->"
 
-TOKEN_FIELDS = (*LINE_FIELDS, "cat", "sentence_pos", "line", "n_fields")
-
-TOKENS_DDL = (
-    "array<struct<word:string,lemma:string,pos:string,id:string,dep_id:string,"
-    "dep_rel:string,cat:string,sentence_pos:int,line:string,n_fields:int>>"
-)
-
 MIN_FIELDS = 4  # word, lemma, pos and id must be there for a token to exist
+STORED = (*LINE_FIELDS, "line", "n_fields")
+PREFIX = "tok_"
+TOKEN_COLUMNS = tuple(PREFIX + name for name in STORED)
 
 
 def category(pos: Column) -> Column:
@@ -29,50 +33,83 @@ def category(pos: Column) -> Column:
     return F.lower(F.substring(pos, 1, 1))
 
 
-def parse_tokens(lines: Column, to_lower: bool = False) -> Column:
-    """Token lines of one sentence → token structs.
-
-    ``line`` is kept only where it cannot be rebuilt from the six fields (other
-    field count, or lowered fields), so that ordinary corpora are not stored twice.
-    """
-    fold = F.lower if to_lower else (lambda c: c)
-
-    def token(row: Column, i: Column) -> Column:
-        part = {name: F.get(row["f"], F.lit(k)) for k, name in enumerate(LINE_FIELDS)}
-        n_fields = F.size(row["f"])
-        rebuildable = F.lit(False) if to_lower else n_fields == len(LINE_FIELDS)
-        return F.struct(
-            fold(part["word"]).alias("word"),
-            fold(part["lemma"]).alias("lemma"),
-            part["pos"].alias("pos"),
-            part["id"].alias("id"),
-            part["dep_id"].alias("dep_id"),
-            part["dep_rel"].alias("dep_rel"),
-            category(part["pos"]).alias("cat"),
-            i.alias("sentence_pos"),
-            F.when(~rebuildable, row["line"]).alias("line"),
-            n_fields.alias("n_fields"),
+class Tokens:
+    """The token arrays of the current row: ``tokens["lemma"]`` is ``array<string>``."""
+
+    def __getitem__(self, name: str) -> Column:
+        if name == "cat":
+            return F.transform(self["pos"], category)
+        if name == "sentence_pos":
+            return index_of(self["id"])
+        if name == "line":
+            return F.coalesce(F.col(PREFIX + "line"), self.fields_lines())
+        if name == "n_fields":
+            six = F.transform(self["id"], lambda _: F.lit(len(LINE_FIELDS)))
+            return F.coalesce(F.col(PREFIX + "n_fields"), six)
+        if name not in STORED:
+            raise KeyError(name)
+        return F.col(PREFIX + name)
+
+    def rows(self, *names: str, **arrays: Column) -> Column:
+        """``array<struct>`` of the named fields and further arrays of the same length."""
+        columns = [self[n].alias(n) for n in names]
+        columns += [array.alias(name) for name, array in arrays.items()]
+        return F.arrays_zip(*columns)
+
+    def fields_lines(self) -> Column:
+        """The six fields of each token, joined by tabs."""
+        return F.transform(
+            self.rows(*LINE_FIELDS), lambda t: F.concat_ws("\t", *[t[f] for f in LINE_FIELDS])
         )
 
-    with_fields = F.transform(
-        lines, lambda l: F.struct(l.alias("line"), F.split(l, "\t", -1).alias("f"))
-    )
-    return F.transform(with_fields, token)
+    @property
+    def is_regular(self) -> Column:
+        """Whether the lines are just their six fields."""
+        return F.col(PREFIX + "line").isNull()
+
 
+TOKENS = Tokens()
 
-def is_bad_token(token: Column) -> Column:
-    """A token the reader cannot accept: too few fields, or an empty tag."""
-    return (token["n_fields"] < MIN_FIELDS) | (token["pos"] == "")
 
+def other_columns(sentences: DataFrame) -> list[str]:
+    """All columns of a sentence table but the token arrays."""
+    return [c for c in sentences.columns if not c.startswith(PREFIX)]
 
-def line_of(token: Column) -> Column:
-    """The corpus line of a token."""
-    return F.coalesce(token["line"], fields_line(token))
 
+def token_arrays(rows: str, keep_null: bool = True) -> list[Column]:
+    """The token columns out of an ``array<struct>`` column with all stored fields.
 
-def fields_line(token: Column) -> Column:
-    """The six fields of a token, joined by tabs."""
-    return F.concat_ws("\t", *[token[f] for f in LINE_FIELDS])
+    Lines and field counts stay null where they were null before.
+    """
+    columns = []
+    for name in STORED:
+        values = F.col(rows)[name]
+        if keep_null and name in ("line", "n_fields"):
+            values = F.when(F.col(PREFIX + name).isNotNull(), values)
+        columns.append(values.alias(PREFIX + name))
+    return columns
+
+
+def rewrite_tokens(
+    sentences: DataFrame, rewrite: Callable[[Column], Column], extra: tuple[str, ...] = ()
+) -> DataFrame:
+    """Replace the tokens of each sentence by what ``rewrite`` makes of their structs.
+
+    ``rewrite`` takes and returns ``array<struct>`` with all stored fields. Only for
+    operators that change tokens; readers of tokens use the arrays.
+    """
+    others = other_columns(sentences)
+    none = F.transform(TOKENS["id"], lambda _: F.lit(None).cast("string"))
+    no_count = F.transform(TOKENS["id"], lambda _: F.lit(len(LINE_FIELDS)))
+    rows = TOKENS.rows(
+        *LINE_FIELDS,
+        line=F.coalesce(F.col(PREFIX + "line"), none),
+        n_fields=F.coalesce(F.col(PREFIX + "n_fields"), no_count),
+    )
+    changed = sentences.select(
+        *others, *TOKEN_COLUMNS[len(LINE_FIELDS):], *extra, rewrite(rows).alias("_rows")
+    )
+    return changed.select(*others, *token_arrays("_rows"), *extra)
 
 
 def template_parts(template: str) -> list[tuple[str, str | None]]:
@@ -86,80 +123,69 @@ def template_parts(template: str) -> list[tuple[str, str | None]]:
     return parts
 
 
-def format_token(token: Column, template: str = DEFAULT_FORMAT) -> Column:
-    """Fill a template from one token struct."""
-    pieces = []
-    for literal, name in template_parts(template):
-        if literal:
-            pieces.append(F.lit(literal))
-        if name:
-            pieces.append(token[name].cast("string"))
-    return F.concat(*pieces) if pieces else F.lit("")
-
-
-def format_tokens(tokens: Column, template: str = DEFAULT_FORMAT) -> Column:
-    """Fill a template for every token of a sentence: ``array<string>``.
-
-    Works on the arrays of the named fields (``tokens.lemma`` …) and not on whole
-    structs, so a columnar scan reads just those fields.
-    """
+def format_tokens(tokens: Tokens, template: str = DEFAULT_FORMAT) -> Column:
+    """Fill a template for every token of a sentence: ``array<string>``."""
     parts = template_parts(template)
-    names = [name for _, name in parts if name]
+    names = list(dict.fromkeys(name for _, name in parts if name))
     if not names:
-        return F.transform(tokens["sentence_pos"], lambda _: F.lit(template.format()))
-
-    def append(text: Column | None, literal: str, name: str | None) -> Column:
-        between = F.lit(literal)
-        if name is None:
-            return F.transform(text, lambda t: F.concat(t, between))
-        values = tokens[name].cast("array<string>") if name == "sentence_pos" else tokens[name]
-        if text is None:
-            return F.transform(values, lambda v: F.concat(between, v)) if literal else values
-        return F.zip_with(text, values, lambda t, v: F.concat(t, between, v))
-
-    text = None
-    for literal, name in parts:
-        text = append(text, literal, name)
-    return text
-
-
-def pick(tokens: Column, *names: str, **flags: Column) -> Column:
-    """A narrower token array with the named fields and extra per-token arrays."""
-    columns = [tokens[n].alias(n) for n in names]
-    columns += [array.alias(name) for name, array in flags.items()]
-    return F.arrays_zip(*columns)
+        return F.transform(tokens["id"], lambda _: F.lit(template.format()))
+    if template == f"{{{names[0]}}}":
+        values = tokens[names[0]]
+        return values.cast("array<string>") if names[0] == "sentence_pos" else values
+
+    def filled(value: Callable[[str], Column]) -> Column:
+        pieces = []
+        for literal, name in parts:
+            if literal:
+                pieces.append(F.lit(literal))
+            if name:
+                pieces.append(value(name))
+        return F.concat(*pieces)
+
+    def field(row: Column, i: Column, name: str) -> Column:
+        if name == "cat":
+            return category(row["pos"])
+        return i.cast("string") if name == "sentence_pos" else row[name]
+
+    needed = ["pos" if n == "cat" else "id" if n == "sentence_pos" else n for n in names]
+    needed = list(dict.fromkeys(needed))
+    if len(needed) == 1:
+        only = needed[0]
+        return F.transform(tokens[only], lambda v, i: filled(lambda n: field({only: v}, i, n)))
+    if len(needed) == 2 and "sentence_pos" not in names:
+        a, b = needed
+        return F.zip_with(
+            tokens[a], tokens[b], lambda x, y: filled(lambda n: field({a: x, b: y}, F.lit(0), n))
+        )
+    return F.transform(tokens.rows(*needed), lambda r, i: filled(lambda n: field(r, i, n)))
 
 
-def tokens_by_id(tokens: Column) -> Column:
+def by_id(rows: Column) -> Column:
     """Tokens de-duplicated by id: the last one wins, at the place of the first.
 
-    Ids repeat only when a chunk spans several sentences; the usual sentence is
-    returned as it is. ``tokens`` needs the fields ``id`` and ``sentence_pos``.
+    ``rows`` is ``array<struct>`` with a field ``id``. Ids repeat only when a chunk
+    spans several sentences; the usual sentence is returned as it is.
     """
 
-    def dedupe(all_tokens: Column) -> Column:
-        keyed = F.transform(all_tokens, lambda t: F.struct(t["id"], t["sentence_pos"]))
+    def dedupe(all_rows: Column) -> Column:
+        keyed = F.transform(all_rows, lambda t, i: F.struct(t["id"].alias("id"), i.alias("i")))
 
-        def pick_last(by_id: Column) -> Column:
+        def pick_last(ordered: Column) -> Column:
             firsts = F.filter(
-                by_id, lambda t, i: (i == 0) | (F.get(by_id, i - 1)["id"] != t["id"])
+                ordered, lambda t, i: (i == 0) | (F.get(ordered, i - 1)["id"] != t["id"])
             )
             lasts = F.filter(
-                by_id,
-                lambda t, i: (i == F.size(by_id) - 1) | (F.get(by_id, i + 1)["id"] != t["id"]),
+                ordered,
+                lambda t, i: (i == F.size(ordered) - 1) | (F.get(ordered, i + 1)["id"] != t["id"]),
             )
             spans = F.zip_with(
-                firsts,
-                lasts,
-                lambda a, b: F.struct(
-                    a["sentence_pos"].alias("first"), b["sentence_pos"].alias("last")
-                ),
+                firsts, lasts, lambda a, b: F.struct(a["i"].alias("first"), b["i"].alias("last"))
             )
-            return F.transform(F.array_sort(spans), lambda s: F.get(all_tokens, s["last"]))
+            return F.transform(F.array_sort(spans), lambda s: F.get(all_rows, s["last"]))
 
         return let(F.array_sort(keyed), pick_last)
 
-    return let(tokens, lambda ts: F.when(all_distinct(ts["id"]), ts).otherwise(dedupe(ts)))
+    return let(rows, lambda rs: F.when(all_distinct(rs["id"]), rs).otherwise(dedupe(rs)))
 
 
 def both(flags: list[Column]) -> Column | None:

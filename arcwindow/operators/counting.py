@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from arcwindow.functions.arrays import run_lengths
-from arcwindow.functions.tokens import DEFAULT_FORMAT, DEFAULT_TOKEN_SEP, format_tokens
+from arcwindow.functions.tokens import DEFAULT_FORMAT, DEFAULT_TOKEN_SEP, TOKENS, format_tokens
 from arcwindow.operators.filters import WordList, Words, in_list, keep_listed
 
 CORE, PERIPHERAL = "core", "peripheral"  # fixed values: names of the two spaces
@@ -92,7 +92,7 @@ def whole_sentence_counts(
     target_list, context_list = WordList.of(spark, targets), WordList.of(spark, contexts)
     if context_list is not None and context_list.is_empty:
         context_list = None
-    tokens = F.col("tokens")
+    tokens = TOKENS
     same_format = target_format == context_format
     t_text = format_tokens(tokens, target_format)
     c_text = format_tokens(tokens, context_format)

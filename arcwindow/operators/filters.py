@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from arcwindow.functions.tokens import DEFAULT_FORMAT, format_tokens
+from arcwindow.functions.tokens import DEFAULT_FORMAT, TOKENS, format_tokens
 
 INLINE_LIMIT = 2000
 
@@ -90,7 +90,7 @@ def flag_words(
     per token. Use the result through ``TokenTest(flag_column=column)``.
     """
     texts = sentences.select(
-        *key, F.explode(F.array_distinct(format_tokens(F.col("tokens"), template))).alias("_text")
+        *key, F.explode(F.array_distinct(format_tokens(TOKENS, template))).alias("_text")
     )
     entries = words.select(F.col("word").cast("string").alias("_text")).distinct()
     hits = (
@@ -99,7 +99,7 @@ def flag_words(
         .agg(F.collect_set("_text").alias("_hits"))
     )
     flags = F.transform(
-        format_tokens(F.col("tokens"), template),
+        format_tokens(TOKENS, template),
         lambda t: F.coalesce(F.array_contains(F.col("_hits"), t), F.lit(False)),
     )
     return sentences.join(hits, key, "left").withColumn(column, flags).drop("_hits")

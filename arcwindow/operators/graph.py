@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from arcwindow.functions.tokens import LINE_FIELDS
+from arcwindow.functions.tokens import LINE_FIELDS, TOKENS
 from arcwindow.operators.order import running_totals
 from arcwindow.operators.windows import key_columns
 
@@ -12,7 +12,8 @@ from arcwindow.operators.windows import key_columns
 def dep_edges(sentences: DataFrame) -> DataFrame:
     """``keys, id, dep_id, dep_rel, label``: one edge from each token to its head."""
     keys = key_columns(sentences)
-    t = sentences.select(*keys, F.explode_outer("tokens").alias("t")).where("t IS NOT NULL")
+    rows = TOKENS.rows("id", "dep_id", "dep_rel", "word", "pos")
+    t = sentences.select(*keys, F.explode_outer(rows).alias("t")).where("t IS NOT NULL")
     return t.select(*keys, "t.id", "t.dep_id", "t.dep_rel", F.concat_ws("/", "t.word", "t.pos").alias("label"))
 
 
@@ -32,15 +33,15 @@ def dot_graphs(sentences: DataFrame, order: list[str]) -> DataFrame:
     """
     lines = F.flatten(
         F.transform(
-            F.col("tokens"),
+            TOKENS.rows(*LINE_FIELDS),
             lambda t: F.array(
                 F.format_string(NODE, t["id"], t["word"], t["pos"]),
                 F.format_string(ARC, t["id"], t["dep_id"], t["dep_rel"]),
             ),
         )
     )
-    words = F.array_join(F.col("tokens")["word"], " ")
-    six: Column = F.forall("tokens", lambda t: t["n_fields"] == len(LINE_FIELDS))
+    words = F.array_join(TOKENS["word"], " ")
+    six: Column = F.forall(TOKENS["n_fields"], lambda n: n == len(LINE_FIELDS))
     body = F.concat(lines, F.array(F.format_string(LABEL, F.trim(words)), F.lit(GRAPH_CLOSE)))
     texts = sentences.select(*order, F.when(six, F.array_join(body, "\n")).alias("_body"))
     numbered = running_totals(texts, order, {"_n": F.lit(1)})

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from arcwindow.functions.arrays import let
-from arcwindow.functions.tokens import LINE_FIELDS, TOKEN_FIELDS
+from arcwindow.functions.tokens import (
+    LINE_FIELDS,
+    PREFIX,
+    TOKEN_COLUMNS,
+    TOKENS,
+    other_columns,
+)
 from arcwindow.operators.trim import replace_fields
 
 # Tags of predicate words, and relations that end a chain.
@@ -22,7 +28,7 @@ def contentful_noun_heads(sentences: DataFrame) -> DataFrame:
     ``rewritten`` is false for sentences that pass unchanged because their ids are not
     1..n or a noun points outside.
     """
-    others = [c for c in sentences.columns if c != "tokens"]
+    others = other_columns(sentences)
 
     def described(t: Column) -> Column:
         has_text = (t["word"] != "") & (t["lemma"] != "")
@@ -41,7 +47,7 @@ def contentful_noun_heads(sentences: DataFrame) -> DataFrame:
             F.coalesce(t["dep_rel"].rlike(CHAIN_END_RELATION), F.lit(True)).alias("ends"),
         )
 
-    words = F.transform(F.col("tokens"), described)
+    words = F.transform(TOKENS.rows(*LINE_FIELDS, "n_fields"), described)
 
     def links(ws: Column) -> Column:
         """(head, dependent) pairs of neighbouring chain members."""
@@ -88,16 +94,27 @@ def contentful_noun_heads(sentences: DataFrame) -> DataFrame:
 
         return F.when(regular, let(links(ws), rewritten))
 
-    def rewrite(t: Column, head: Column) -> Column:
-        changed = F.coalesce(head != t["dep_id"].try_cast("int"), F.lit(False))
-        fields = {
-            "dep_id": F.when(changed, head.cast("string")).otherwise(t["dep_id"]),
-            "line": F.when(changed, replace_fields(t["line"], {4: head.cast("string")})).otherwise(t["line"]),
-        }
-        return F.struct(*[fields.get(f, t[f]).alias(f) for f in TOKEN_FIELDS])
-
-    heads = sentences.select(*others, "tokens", let(words, new_heads).alias("_heads"))
-    tokens = F.when(
-        F.col("_heads").isNotNull(), F.zip_with(F.col("tokens"), F.col("_heads"), rewrite)
-    ).otherwise(F.col("tokens"))
-    return heads.select(*others, tokens.alias("tokens"), F.col("_heads").isNotNull().alias("rewritten"))
+    heads = sentences.select(*others, *TOKEN_COLUMNS, let(words, new_heads).alias("_heads"))
+    dep_ids = F.zip_with(
+        TOKENS["dep_id"],
+        F.col("_heads"),
+        lambda old, new: F.when(old.try_cast("int") == new, old).otherwise(
+            F.coalesce(new.cast("string"), old)
+        ),
+    )
+    changed = {
+        "dep_id": F.when(F.col("_heads").isNull(), TOKENS["dep_id"]).otherwise(dep_ids),
+        # a line that cannot be rebuilt from its fields is changed in its place
+        "line": F.when(
+            F.col("_heads").isNull() | TOKENS.is_regular, F.col(PREFIX + "line")
+        ).otherwise(
+            F.zip_with(
+                F.col(PREFIX + "line"), dep_ids, lambda line, head: replace_fields(line, {4: head})
+            )
+        ),
+    }
+    return heads.select(
+        *others,
+        *[changed.get(c.removeprefix(PREFIX), F.col(c)).alias(c) for c in TOKEN_COLUMNS],
+        F.col("_heads").isNotNull().alias("rewritten"),
+    )

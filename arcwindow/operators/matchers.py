@@ -1,6 +1,6 @@
 """Matchers pick targets in a sentence.
 
-A matcher is any object with ``matches(tokens)``: it takes the token array column and
+A matcher is any object with ``matches(tokens)``: it takes the token arrays of the row and
 returns ``array<array<int>>``, one array of sentence positions per match. The order of
 positions inside a match counts: (dependent, head) is not (head, dependent).
 """
@@ -14,26 +14,28 @@ from typing import Protocol, runtime_checkable
 from pyspark.sql import Column, functions as F
 
 from arcwindow.functions import linear
-from arcwindow.functions.arrays import let
+from arcwindow.functions.arrays import all_distinct, let
 from arcwindow.functions.predicates import TokenTest, prefix_match
-from arcwindow.functions.tokens import pick, tokens_by_id
+from arcwindow.functions.tokens import Tokens, by_id
 
 ROOT_ID = "0"  # fixed value: the dep_id of a root token
 
 
 @runtime_checkable
 class Matcher(Protocol):
-    def matches(self, tokens: Column) -> Column: ...
+    def matches(self, tokens: Tokens) -> Column: ...
 
 
 @dataclass(frozen=True)
 class Unigrams:
     """Every token of the sentence (the last one of each id)."""
 
-    def matches(self, tokens: Column) -> Column:
-        return F.transform(
-            tokens_by_id(pick(tokens, "id", "sentence_pos")), lambda t: F.array(t["sentence_pos"])
+    def matches(self, tokens: Tokens) -> Column:
+        last_of_id = F.transform(
+            by_id(tokens.rows("id", "sentence_pos")), lambda t: F.array(t["sentence_pos"])
         )
+        every = F.transform(tokens["id"], lambda _, i: F.array(i))
+        return F.when(all_distinct(tokens["id"]), every).otherwise(last_of_id)
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,7 @@ class LinearPhrases:
     def __post_init__(self):
         object.__setattr__(self, "_parsed", linear.parse_pattern(self.pattern, self.lists))
 
-    def matches(self, tokens: Column) -> Column:
+    def matches(self, tokens: Tokens) -> Column:
         text = linear.symbols(tokens, self._parsed, self.ignore_case)
         return F.transform(
             linear.spans(text, self._parsed.regex),
@@ -67,14 +69,14 @@ class DependencyArcs:
     dependent: TokenTest = TokenTest()
     head: TokenTest = TokenTest()
 
-    def matches(self, tokens: Column) -> Column:
+    def matches(self, tokens: Tokens) -> Column:
         flags = {}
         for name, test in (("dep_ok", self.dependent), ("head_ok", self.head)):
             array = test.flags(tokens)
             if array is not None:
                 flags[name] = array
         fields = ["sentence_pos", "id", "dep_id"] + (["dep_rel"] if self.relation else [])
-        nodes = tokens_by_id(pick(tokens, *fields, **flags))
+        nodes = by_id(tokens.rows(*fields, **flags))
 
         def is_dependent(t: Column) -> Column:
             ok = t["dep_id"] != ROOT_ID
@@ -84,16 +86,16 @@ class DependencyArcs:
                 ok = ok & prefix_match(t["dep_rel"], self.relation, ignore_case=False)
             return F.coalesce(ok, F.lit(False))
 
-        def arcs(by_id: Column, ids: Column) -> Column:
+        def arcs(rows: Column, ids: Column) -> Column:
             def head_of(t: Column) -> Column:
                 # ids are nearly always 1..n, so look there first and search if not
                 guess = t["dep_id"].try_cast("int") - 1
                 at_guess = F.when(F.get(ids, guess) == t["dep_id"], guess)
                 found = F.array_position(ids, t["dep_id"]).cast("int") - 1
-                return F.get(by_id, F.coalesce(at_guess, found))
+                return F.get(rows, F.coalesce(at_guess, found))
 
             pairs = F.transform(
-                F.filter(by_id, is_dependent),
+                F.filter(rows, is_dependent),
                 lambda t: F.struct(t["sentence_pos"].alias("dep"), head_of(t).alias("head")),
             )
             kept = F.filter(
@@ -103,7 +105,7 @@ class DependencyArcs:
             )
             return F.transform(kept, lambda p: F.array(p["dep"], p["head"]["sentence_pos"]))
 
-        return let(nodes, lambda by_id: let(by_id["id"], lambda ids: arcs(by_id, ids)))
+        return let(nodes, lambda rows: let(rows["id"], lambda ids: arcs(rows, ids)))
 
 
 def composition_matchers(

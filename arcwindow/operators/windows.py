@@ -8,12 +8,17 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from arcwindow.functions.arrays import index_of
-from arcwindow.functions.tokens import DEFAULT_FORMAT, DEFAULT_TOKEN_SEP, format_tokens
+from arcwindow.functions.tokens import (
+    DEFAULT_FORMAT,
+    DEFAULT_TOKEN_SEP,
+    TOKENS,
+    format_tokens,
+    other_columns,
+)
 from arcwindow.operators.filters import WordList, Words, keep_listed
 from arcwindow.operators.matchers import Matcher
 
-NOT_KEYS = ("tokens", "text_open", "is_tail", "open_tail")
+NOT_KEYS = ("text_open", "is_tail")
 
 # A match is carried as one bigint: first position, then second position + 1 (0 = none).
 SHIFT = 32
@@ -54,7 +59,7 @@ class BagOfWords:
 
 
 def key_columns(sentences: DataFrame) -> list[str]:
-    return [c for c in sentences.columns if c not in NOT_KEYS]
+    return [c for c in other_columns(sentences) if c not in NOT_KEYS]
 
 
 def _encode(matches: Column) -> Column:
@@ -101,7 +106,7 @@ def extract_pairs(
         raise ValueError("at least one matcher is needed")
 
     keys = key_columns(sentences)
-    tokens = F.col("tokens")
+    tokens = TOKENS
     found = [_encode(m.matches(tokens)) for m in matchers]
     codes = found[0] if len(found) == 1 else F.array_distinct(F.concat(*found))
     target_texts = format_tokens(tokens, target_format)
@@ -174,7 +179,7 @@ def extract_pairs(
 
 def skipped_matches(sentences: DataFrame, matchers: Sequence[Matcher]) -> DataFrame:
     """How many matches of three or more tokens take no part in the pairs, per length."""
-    found = F.concat(*[m.matches(F.col("tokens")) for m in matchers])
+    found = F.concat(*[m.matches(TOKENS) for m in matchers])
     lengths = sentences.select(F.explode_outer(F.transform(found, F.size)).alias("n_tokens"))
     return lengths.where("n_tokens > 2").groupBy("n_tokens").agg(F.count("*").alias("matches"))
 
@@ -182,15 +187,11 @@ def skipped_matches(sentences: DataFrame, matchers: Sequence[Matcher]) -> DataFr
 def match_rows(sentences: DataFrame, matchers: Sequence[Matcher]) -> DataFrame:
     """One row per match: positions and their texts, same positions once."""
     keys = key_columns(sentences)
-    found = F.array_distinct(F.concat(*[m.matches(F.col("tokens")) for m in matchers]))
-    texts = format_tokens(F.col("tokens"), DEFAULT_FORMAT)
+    found = F.array_distinct(F.concat(*[m.matches(TOKENS) for m in matchers]))
+    texts = format_tokens(TOKENS, DEFAULT_FORMAT)
     return (
         sentences.select(*keys, texts.alias("_t"), F.explode_outer(found).alias("positions"))
         .where("positions IS NOT NULL")
         .withColumn("words", F.transform("positions", lambda p: F.get("_t", p)))
         .drop("_t")
     )
-
-
-def sentence_positions(tokens: Column) -> Column:
-    return index_of(tokens["id"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from arcwindow.functions.predicates import is_lexical
-from arcwindow.functions.tokens import category
+from arcwindow.functions.tokens import TOKENS, category
+from arcwindow.operators.windows import key_columns
 
 SENTENCE_OPEN = "<s>"  # fixed value
 WHOLE_TAG = "VVG"  # fixed value: tags with this text are shown whole
@@ -19,8 +20,8 @@ def word_with_category(lemma: Column, pos: Column) -> Column:
 
 def word_stream(sentences: DataFrame) -> DataFrame:
     """``keys, place, line``: a ``<s>`` line per sentence, then its lexical words."""
-    keys = [c for c in sentences.columns if c not in ("tokens", "text_open", "is_tail")]
-    lexical = F.filter(F.col("tokens"), lambda t: is_lexical(t["lemma"], t["pos"]))
+    keys = key_columns(sentences)
+    lexical = F.filter(TOKENS.rows("lemma", "pos"), lambda t: is_lexical(t["lemma"], t["pos"]))
     words = F.transform(lexical, lambda t: word_with_category(t["lemma"], t["pos"]))
     opening = F.array(F.lit(SENTENCE_OPEN))
     if "text_open" in sentences.columns:

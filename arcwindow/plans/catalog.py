@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from arcwindow.functions.predicates import TokenTest
-from arcwindow.functions.tokens import format_tokens
+from arcwindow.functions.tokens import LINE_FIELDS, TOKEN_COLUMNS, TOKENS, format_tokens
 from arcwindow.operators.counting import (
     count_pairs,
     merge_counts,
@@ -63,7 +63,7 @@ def big(column: str | Column) -> Column:
 
 
 def token_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = F.col("tokens")
+    tokens = TOKENS
     texts = F.arrays_zip(
         tokens["id"].alias("id"),
         tokens["sentence_pos"].alias("place"),
@@ -180,7 +180,7 @@ def content_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     lemmas = conversation_sentences(spark, sf_dir).select(
-        F.explode_outer(F.col("tokens")["lemma"]).alias("word")
+        F.explode_outer(TOKENS["lemma"]).alias("word")
     )
     return lemmas.where("word IS NOT NULL").distinct()
 
@@ -292,8 +292,8 @@ def linear_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found(found: DataFrame) -> DataFrame:
-    marked = F.transform(
-        "tokens", lambda t: F.concat(F.when(t["is_match"], "*").otherwise(""), t["lemma"])
+    marked = F.zip_with(
+        "tok_lemma", "tok_is_match", lambda l, m: F.concat(F.when(m, "*").otherwise(""), l)
     )
     return found.select(
         *KEYS,
@@ -316,7 +316,8 @@ def grep_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _token_rows(sentences: DataFrame) -> DataFrame:
-    rows = sentences.select(*KEYS, F.explode_outer("tokens").alias("t")).where("t IS NOT NULL")
+    tokens = F.explode_outer(TOKENS.rows(*LINE_FIELDS)).alias("t")
+    rows = sentences.select(*KEYS, tokens).where("t IS NOT NULL")
     return rows.select(
         *KEYS,
         big("t.id").alias("id"),
@@ -408,7 +409,7 @@ def _write_sentences(spark: SparkSession, sf_dir: str, compression: str | None =
 def _read_back(corpus: DataFrame) -> DataFrame:
     place = F.split(F.regexp_extract(F.element_at("text_open", -2), '"(.*)"', 1), ":")
     keyed = corpus.select(
-        *[big(F.get(place, F.lit(i))).alias(k) for i, k in enumerate(KEYS)], "tokens"
+        *[big(F.get(place, F.lit(i))).alias(k) for i, k in enumerate(KEYS)], *TOKEN_COLUMNS
     )
     return _token_rows(keyed)
 

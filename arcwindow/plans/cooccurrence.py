@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from arcwindow.functions.predicates import is_content
-from arcwindow.functions.tokens import DEFAULT_FORMAT, DEFAULT_TOKEN_SEP
+from arcwindow.functions.tokens import DEFAULT_FORMAT, DEFAULT_TOKEN_SEP, rewrite_tokens
 from arcwindow.operators.counting import count_pairs
 from arcwindow.operators.filters import Words
 from arcwindow.operators.matchers import Matcher, Unigrams
@@ -16,10 +16,7 @@ from arcwindow.operators.windows import BagOfWords, FeatureExtractor, extract_pa
 
 def only_content(sentences: DataFrame) -> DataFrame:
     """Leave out all but nouns, adjectives, verbs and adverbs, before windows are taken."""
-    others = [c for c in sentences.columns if c != "tokens"]
-    content = F.filter(F.col("tokens"), lambda t: is_content(t["pos"]))
-    placed = F.transform(content, lambda t, i: t.withField("sentence_pos", i))
-    return sentences.select(*others, placed.alias("tokens"))
+    return rewrite_tokens(sentences, lambda rows: F.filter(rows, lambda t: is_content(t["pos"])))
 
 
 def cooccurrence_counts(

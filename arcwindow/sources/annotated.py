@@ -10,140 +10,89 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from arcwindow.functions.arrays import let
-from arcwindow.functions.tokens import LINE_FIELDS, category
+from arcwindow.functions.tokens import LINE_FIELDS
 
 SENTENCE_LENGTH = 40
 
 
-def _tag(lemma: Column, length: Column) -> Column:
-    return (
-        F.when(lemma.endswith("ing"), "VVG")
-        .when(lemma.endswith("ed") | lemma.endswith("en"), "VVD")
-        .when(lemma.endswith("ly"), "RB")
-        .when(lemma.endswith("ble"), "JJ")
-        .when(lemma.endswith("tion"), "NN")
-        .when(length <= 3, "IN")
-        .when(length % 5 == 0, "JJ")
-        .when(length % 5 == 1, "NNS")
-        .when(length % 5 == 2, "VVZ")
-        .otherwise("NN")
+# The rule, over a lemma l at index i of a sentence of n words (SQL, for Spark).
+TAG = """CASE WHEN l LIKE '%ing' THEN 'VVG' WHEN l LIKE '%ed' OR l LIKE '%en' THEN 'VVD'
+  WHEN l LIKE '%ly' THEN 'RB' WHEN l LIKE '%ble' THEN 'JJ' WHEN l LIKE '%tion' THEN 'NN'
+  WHEN length(l) <= 3 THEN 'IN' WHEN length(l) % 5 = 0 THEN 'JJ' WHEN length(l) % 5 = 1 THEN 'NNS'
+  WHEN length(l) % 5 = 2 THEN 'VVZ' ELSE 'NN' END"""
+HEAD = """CASE WHEN i = 0 THEN 0 WHEN ((i + 1) * 7 + length(l)) % n = i THEN i
+  ELSE ((i + 1) * 7 + length(l)) % n + 1 END"""
+RELATION = """CASE WHEN p = 'JJ' THEN 'NMOD' WHEN p LIKE 'N%' AND length(l) % 2 = 0 THEN 'SBJ'
+  WHEN p LIKE 'N%' THEN 'OBJ' WHEN p = 'RB' THEN 'ADV' WHEN p LIKE 'V%' AND length(l) % 3 = 0 THEN 'VC'
+  ELSE 'DEP' END"""
+
+
+def annotate(sentences: DataFrame) -> DataFrame:
+    """Add tags, heads and relations to ``tok_word`` and ``tok_lemma``."""
+    tagged = sentences.withColumn("tok_pos", F.expr(f"transform(tok_lemma, l -> {TAG})"))
+    head = HEAD.replace(" n ", " size(tok_lemma) ")
+    # the first word is the only root
+    relations = f"transform(zip_with(tok_lemma, tok_pos, (l, p) -> {RELATION}), (r, i) -> IF(i = 0, 'ROOT', r))"
+    return tagged.withColumns(
+        {
+            "tok_id": F.expr("transform(tok_lemma, (l, i) -> string(i + 1))"),
+            "tok_dep_id": F.expr(f"transform(tok_lemma, (l, i) -> string({head}))"),
+            "tok_dep_rel": F.expr(relations),
+            "tok_line": F.expr("CAST(NULL AS ARRAY<STRING>)"),
+            "tok_n_fields": F.expr("CAST(NULL AS ARRAY<INT>)"),
+        }
     )
 
 
-def _head(id_: Column, length: Column, n: Column) -> Column:
-    place = (id_ * 7 + length) % n + 1
-    return F.when(id_ == 1, 0).when(place == id_, id_ - 1).otherwise(place)
-
-
-def _relation(id_: Column, pos: Column, length: Column) -> Column:
-    is_noun, is_verb = pos.startswith("N"), pos.startswith("V")
-    return (
-        F.when(id_ == 1, "ROOT")  # the first word is the only root
-        .when(pos == "JJ", "NMOD")
-        .when(is_noun & (length % 2 == 0), "SBJ")
-        .when(is_noun, "OBJ")
-        .when(pos == "RB", "ADV")
-        .when(is_verb & (length % 3 == 0), "VC")
-        .otherwise("DEP")
-    )
-
-
-def annotate(words: Column, lemmas: Column) -> Column:
-    """Words of one sentence and their lowered forms → token structs."""
-    measured = F.transform(lemmas, lambda l: F.struct(l.alias("lemma"), F.length(l).alias("length")))
-    tagged = F.zip_with(
-        words,
-        measured,
-        lambda w, m: F.struct(
-            w.alias("word"),
-            m["lemma"].alias("lemma"),
-            m["length"].alias("length"),
-            _tag(m["lemma"], m["length"]).alias("pos"),
-        ),
+def words_of_lines(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys, sent_idx, _words, _lemmas``: the words of every line and their lowered forms."""
+    lines = texts.select(*keys, F.posexplode(F.split(text, "\n", -1)).alias("sent_idx", "_line"))
+    letters = lines.select(*keys, "sent_idx", F.regexp_replace("_line", r"[^\p{L} ]", "").alias("_letters"))
+    return letters.select(
+        *keys,
+        F.col("sent_idx").cast("bigint").alias("sent_idx"),
+        F.expr("filter(split(_letters, ' ', -1), w -> w <> '')").alias("_words"),
+        F.expr("filter(split(lower(_letters), ' ', -1), w -> w <> '')").alias("_lemmas"),
     )
 
-    def token(t: Column, i: Column, n: Column) -> Column:
-        return F.struct(
-            t["word"].alias("word"),
-            t["lemma"].alias("lemma"),
-            t["pos"].alias("pos"),
-            (i + 1).cast("string").alias("id"),
-            _head(i + 1, t["length"], n).cast("string").alias("dep_id"),
-            _relation(i + 1, t["pos"], t["length"]).alias("dep_rel"),
-            category(t["pos"]).alias("cat"),
-            i.alias("sentence_pos"),
-            F.lit(None).cast("string").alias("line"),
-            F.lit(len(LINE_FIELDS)).alias("n_fields"),
-        )
-
-    return let(tagged, lambda ts: F.transform(ts, lambda t, i: token(t, i, F.size(ts))))
-
 
 def annotated_sentences(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys, sent_idx, seg, tokens`` for every line of every text; no shuffle."""
-    lines = texts.select(*keys, F.posexplode(F.split(text, "\n", -1)).alias("sent_idx", "_line"))
-    letters = F.regexp_replace("_line", r"[^\p{L} ]", "")
-
-    def split_words(line: Column) -> Column:
-        return F.filter(F.split(line, " ", -1), lambda w: w != "")
-
+    """``keys, sent_idx, seg`` and token arrays for every line of every text; no shuffle."""
+    n = SENTENCE_LENGTH
     # the runs of a line, none for a line without words
-    last_run = F.floor((F.size("_words") - 1) / SENTENCE_LENGTH).cast("int")
-    starts = F.when(last_run >= 0, F.sequence(F.lit(0), F.greatest(last_run, F.lit(0))))
-    runs = (
-        lines.select(*keys, "sent_idx", letters.alias("_letters"))
-        .select(
-            *keys,
-            "sent_idx",
-            split_words(F.col("_letters")).alias("_words"),
-            split_words(F.lower("_letters")).alias("_lemmas"),
-        )
-        .select(*keys, "sent_idx", "_words", "_lemmas", F.explode_outer(starts).alias("seg"))
-        .where("seg IS NOT NULL")
+    runs = words_of_lines(texts, keys, text).select(
+        *keys,
+        "sent_idx",
+        "_words",
+        "_lemmas",
+        F.expr(
+            f"explode_outer(IF(size(_words) > 0, sequence(0, (greatest(size(_words), 1) - 1) div {n}), NULL))"
+        ).alias("seg"),
     )
-
-    def run(values: str) -> Column:
-        return F.slice(values, F.col("seg") * SENTENCE_LENGTH + 1, F.lit(SENTENCE_LENGTH))
-
-    return runs.select(
+    cut = runs.where("seg IS NOT NULL").select(
         *keys,
-        F.col("sent_idx").cast("bigint").alias("sent_idx"),
-        F.col("seg").cast("bigint").alias("seg"),
-        annotate(run("_words"), run("_lemmas")).alias("tokens"),
+        "sent_idx",
+        "seg",
+        F.expr(f"slice(_words, int(seg) * {n} + 1, {n})").alias("tok_word"),
+        F.expr(f"slice(_lemmas, int(seg) * {n} + 1, {n})").alias("tok_lemma"),
     )
+    return annotate(cut)
 
 
 def annotated_texts(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys, tokens`` with a whole text as one chunk: ids start again in every sentence."""
-
-    def split_words(line: Column) -> Column:
-        return F.filter(F.split(line, " ", -1), lambda w: w != "")
-
-    def line_tokens(line: Column) -> Column:
-        def runs(words: Column, lemmas: Column) -> Column:
-            starts = F.filter(
-                F.transform(words, lambda _, i: i), lambda i: i % SENTENCE_LENGTH == 0
-            )
-            return F.flatten(
-                F.transform(
-                    starts,
-                    lambda i: annotate(
-                        F.slice(words, i + 1, F.lit(SENTENCE_LENGTH)),
-                        F.slice(lemmas, i + 1, F.lit(SENTENCE_LENGTH)),
-                    ),
-                )
-            )
-
-        return let(
-            split_words(line),
-            lambda words: let(split_words(F.lower(line)), lambda lemmas: runs(words, lemmas)),
-        )
-
-    lines = F.split(F.regexp_replace(text, r"[^\p{L} \n]", ""), "\n", -1)
-    tokens = F.flatten(F.transform(lines, line_tokens))
-    placed = F.transform(tokens, lambda t, i: t.withField("sentence_pos", i))
-    return texts.select(*keys, placed.alias("tokens"))
+    """``keys`` and token arrays with a whole text as one chunk: ids start again per sentence."""
+    names = [f"tok_{f}" for f in LINE_FIELDS]
+    sentences = annotated_sentences(texts, keys, text)
+    # a text is one row of the input table, so a group is never more than a row was
+    chunks = sentences.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("sent_idx", "seg", *names))).alias("_s")
+    )
+    return chunks.select(
+        *keys,
+        *[F.flatten(F.col("_s")[name]).alias(name) for name in names],
+        F.expr("CAST(NULL AS ARRAY<STRING>)").alias("tok_line"),
+        F.expr("CAST(NULL AS ARRAY<INT>)").alias("tok_n_fields"),
+    )
 
 
 def sentence_count(text: str = "text") -> Column:
