@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from arcwindow.functions.arrays import run_lengths
-from arcwindow.functions.tokens import DEFAULT_FORMAT, DEFAULT_TOKEN_SEP, TOKENS, format_tokens
+from arcwindow.functions.arrays import all_distinct, run_lengths
+from arcwindow.functions.tokens import DEFAULT_FORMAT, DEFAULT_TOKEN_SEP, TOKENS, by_id, format_tokens
 from arcwindow.operators.filters import WordList, Words, in_list, keep_listed
 
 CORE, PERIPHERAL = "core", "peripheral"  # fixed values: names of the two spaces
@@ -36,23 +36,41 @@ def count_pairs(
     filter before counting; long ones are joined to the counts, where each pair is one
     row.
     """
-    spark = pairs.sparkSession
-    tested = [
-        (F.coalesce(second_part(F.col("pivot"), token_sep), F.col("pivot")), WordList.of(spark, rows)),
-        (F.col("context"), WordList.of(spark, cols)),
-    ]
-    tested = [(value, words) for value, words in tested if words is not None and not words.is_empty]
+    tests = _row_col_tests(pairs.sparkSession, token_sep, rows, cols)
     slim = pairs.select(F.col("target").alias("pivot"), "context")
-    for value, words in tested:
+    for value, words in tests:
         if words.inline is not None:
             slim = slim.where(in_list(value, words))
     counts = slim.groupBy("pivot", "context").agg(F.count("*").alias("occurrences"))
-    for value, words in tested:
+    for value, words in tests:
         if words.inline is None:
             counts = keep_listed(counts, value, words)
     return with_space(counts, token_sep)
 
 
+def filter_counts(
+    counts: DataFrame,
+    *,
+    token_sep: str = DEFAULT_TOKEN_SEP,
+    rows: Words = None,
+    cols: Words = None,
+) -> DataFrame:
+    """The row and column filters of :func:`count_pairs`, on finished counts."""
+    for value, words in _row_col_tests(counts.sparkSession, token_sep, rows, cols):
+        counts = keep_listed(counts, value, words)
+    return counts
+
+
+def _row_col_tests(
+    spark: SparkSession, token_sep: str, rows: Words, cols: Words
+) -> list[tuple[Column, WordList]]:
+    tested = [
+        (F.coalesce(second_part(F.col("pivot"), token_sep), F.col("pivot")), WordList.of(spark, rows)),
+        (F.col("context"), WordList.of(spark, cols)),
+    ]
+    return [(value, words) for value, words in tested if words is not None and not words.is_empty]
+
+
 def with_space(counts: DataFrame, token_sep: str = DEFAULT_TOKEN_SEP) -> DataFrame:
     return counts.select(
         space_of(F.col("pivot"), token_sep).alias("space"), "pivot", "context", "occurrences"
@@ -81,7 +99,8 @@ def whole_sentence_counts(
 
     Of n_t targets and n_c contexts of a sentence, all n_t·n_c combinations are pairs but
     those of a token with itself. So each sentence gives one row per pair of distinct
-    words with a weight. Valid for single-word targets and unique ids in a sentence.
+    words with a weight. Only for single-word targets; with repeated ids, targets are the
+    last token of each id, as for :class:`Unigrams`.
 
     With ``balance`` the distinct targets of each sentence are cut into blocks that are
     spread over the cluster before pairing: one shuffle of the word counts (much less
@@ -94,7 +113,12 @@ def whole_sentence_counts(
         context_list = None
     tokens = TOKENS
     same_format = target_format == context_format
-    t_text = format_tokens(tokens, target_format)
+    # one struct per target: its text as target, and its own text as context
+    targets_of = by_id(
+        tokens.rows("id", t=format_tokens(tokens, target_format), c=format_tokens(tokens, context_format))
+    )
+    unique = all_distinct(tokens["id"])
+    t_text = F.when(unique, format_tokens(tokens, target_format)).otherwise(targets_of["t"])
     c_text = format_tokens(tokens, context_format)
 
     def listed(texts: Column, words: WordList | None) -> Column:
@@ -128,8 +152,10 @@ def whole_sentence_counts(
         )
     weighted = combine(runs)
     if not same_format:
-        own = sentences.select(F.explode_outer(F.arrays_zip(t_text.alias("t"), c_text.alias("c"))).alias("p"))
-        own = own.select(F.col("p.t").alias("pivot"), F.col("p.c").alias("context"), F.lit(-1).cast("bigint").alias("n"))
+        own = sentences.select(F.explode_outer(targets_of).alias("p")).where("p IS NOT NULL")
+        own = own.select(
+            F.col("p.t").alias("pivot"), F.col("p.c").alias("context"), F.lit(-1).cast("bigint").alias("n")
+        )
         for column, words in (("pivot", target_list), ("context", context_list)):
             if words is not None and words.inline is not None:
                 own = own.where(in_list(F.col(column), words))

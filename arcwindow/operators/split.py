@@ -16,9 +16,9 @@ def split_by_texts(pieces: DataFrame, order: list[str], n_texts: int = 1) -> Dat
     """
     if n_texts < 1:
         raise ValueError("a part has at least one text")
-    numbered = _text_numbers(pieces, order)
+    numbered = _with_text_numbers(pieces, order)
     part = F.floor((F.col("text_no") - 1) / n_texts) + 1
-    return numbered.withColumn("part", part.cast("bigint")).drop("text_no")
+    return numbered.select(*pieces.columns, part.cast("bigint").alias("part"))
 
 
 def split_by_sentences(pieces: DataFrame, order: list[str], n_sentences: int) -> DataFrame:
@@ -26,52 +26,85 @@ def split_by_sentences(pieces: DataFrame, order: list[str], n_sentences: int) ->
 
     Where the next cut falls depends on the last one. For each text that could begin a
     part, the text that ends it is found from running totals; the cuts really made are
-    those reached from the first text, followed in doubled steps, so the number of rounds
-    is logarithmic in the number of parts. Each round is a join on text numbers.
+    those reached from the first text. They are followed in steps that grow fourfold, so
+    the number of rounds is logarithmic in the number of parts, each a few joins on text
+    numbers.
     """
     if n_sentences < 1:
         raise ValueError("a part has at least one sentence")
-    numbered = cut_lineage(_text_numbers(pieces, order))
-    texts = numbered.groupBy("text_no").agg(F.sum("n_sentences").alias("n"))
-    texts = cut_lineage(running_totals(texts, ["text_no"], {"upto": F.col("n")}))
-
-    # Put every text end on one line with the total each possible start asks for; the
-    # number of ends before that total tells which text reaches it first.
-    ends = texts.select(F.col("upto").alias("at"), F.lit(1).alias("is_end"), "text_no")
-    asked = texts.select(
-        (F.col("upto") - F.col("n") + n_sentences).alias("at"), F.lit(0).alias("is_end"), "text_no"
-    )
-    line = running_totals(
-        ends.unionByName(asked), ["at", "is_end", "text_no"], {"passed": F.col("is_end")}
+    numbered = _with_text_numbers(pieces, order)
+
+    # Each text end stands on one line with the total that a part beginning after it asks
+    # for; the number of ends before that total tells which text reaches it first.
+    start = F.struct(F.lit(n_sentences).cast("bigint").alias("at"), F.lit(0).alias("is_end"), F.lit(1).cast("bigint").alias("text_no"))
+    marks = numbered.where("ends_text").select(
+        F.explode(
+            F.array(
+                F.struct(F.col("_upto").alias("at"), F.lit(1).alias("is_end"), "text_no"),
+                F.struct(
+                    (F.col("_upto") + n_sentences).alias("at"),
+                    F.lit(0).alias("is_end"),
+                    (F.col("text_no") + 1).alias("text_no"),
+                ),
+            )
+        ).alias("m")
     )
-    # the part that starts at text_no ends with text passed + 1, the next starts after it
+    spark = pieces.sparkSession
+    marks = marks.unionByName(spark.range(1).select(start.alias("m"))).select("m.*")
+    line = running_totals(marks, ["at", "is_end", "text_no"], {"passed": F.col("is_end")})
+    # a part that starts at text_no ends with text passed + 1, the next one starts after it
     jumps = line.where("is_end = 0").select(
         F.col("text_no").alias("start"), (F.col("passed") + 2).alias("next")
     )
-    bounds = texts.agg(F.max("text_no").alias("last")).first()
-    last = bounds["last"] or 0
-    jumps = cut_lineage(jumps.where(F.col("next") <= last))
-
-    starts = cut_lineage(jumps.sparkSession.createDataFrame([(1,)], "start bigint"))
-    while not jumps.isEmpty():
-        # the starts found so far, and those one (doubled) step on; steps only go up, so
-        # the two sets are disjoint
-        found = starts.join(jumps, "start").select(F.col("next").alias("start"))
-        starts = cut_lineage(starts.unionByName(found))
-        twice = jumps.join(
-            jumps.select(F.col("start").alias("next"), F.col("next").alias("after")), "next"
-        )
-        jumps = cut_lineage(twice.select("start", F.col("after").alias("next")))
-
-    marked = texts.select("text_no").join(
-        starts.select(F.col("start").alias("text_no"), F.lit(1).alias("cut")), "text_no", "left"
+    size = line.agg(F.sum("is_end").alias("texts"), F.max(F.when(F.col("is_end") == 1, F.col("at"))).alias("sentences")).first()
+    texts = size["texts"] or 0
+    jumps = cut_lineage(jumps.where(F.col("next") <= texts + 1))
+    most_parts = min(texts, (size["sentences"] or 0) // n_sentences) + 1
+
+    starts = spark.range(1, 2, 1, 1).select(F.col("id").alias("start"))
+    step = 1
+    while step < most_parts:
+        twice = _compose(jumps, jumps)
+        starts = starts.unionByName(_follow(starts, jumps))
+        starts = cut_lineage(starts.unionByName(_follow(starts, twice)))
+        step *= 4
+        if step < most_parts:
+            jumps = cut_lineage(_compose(twice, twice))
+
+    # the part of a piece is the number of starts up to its text
+    rows = numbered.select(
+        "text_no", F.lit(1).alias("_kind"), F.struct(*order).alias("_at"), F.struct(*pieces.columns).alias("_row")
+    )
+    no_row = rows.schema
+    cuts = starts.select(
+        F.col("start").alias("text_no"),
+        F.lit(0).alias("_kind"),
+        F.lit(None).cast(no_row["_at"].dataType).alias("_at"),
+        F.lit(None).cast(no_row["_row"].dataType).alias("_row"),
     )
-    parts = running_totals(marked, ["text_no"], {"part": F.coalesce("cut", F.lit(0))})
-    return numbered.join(parts.select("text_no", "part"), "text_no").select(*pieces.columns, "part")
+    counted = running_totals(
+        rows.unionByName(cuts), ["text_no", "_kind", "_at"], {"part": 1 - F.col("_kind")}
+    )
+    return counted.where("_kind = 1").select("_row.*", "part")
+
+
+def _compose(first: DataFrame, then: DataFrame) -> DataFrame:
+    """Jumps that make one step after another."""
+    after = then.select(F.col("start").alias("next"), F.col("next").alias("_after"))
+    return first.join(after, "next").select("start", F.col("_after").alias("next"))
+
+
+def _follow(starts: DataFrame, jumps: DataFrame) -> DataFrame:
+    """Where the jumps lead from the given starts; always onwards, so to other starts."""
+    return starts.join(jumps, "start").select(F.col("next").alias("start"))
 
 
-def _text_numbers(pieces: DataFrame, order: list[str]) -> DataFrame:
-    """Number of the text each piece belongs to: one more than the text ends before it."""
+def _with_text_numbers(pieces: DataFrame, order: list[str]) -> DataFrame:
+    """Add the number of the text a piece belongs to (one more than the text ends before
+    it) and the number of sentences up to and with the piece."""
     ends = F.col("ends_text").cast("int")
-    totals = running_totals(pieces, order, {"_ended": ends})
+    wanted = {"_ended": ends}
+    if "n_sentences" in pieces.columns:
+        wanted["_upto"] = F.col("n_sentences")
+    totals = running_totals(pieces, order, wanted)
     return totals.withColumn("text_no", F.col("_ended") - ends + 1).drop("_ended")

@@ -143,15 +143,23 @@ def extract_pairs(
     right = F.greatest("_a", F.coalesce("_b", "_a"))
     context_texts = "_t" if same_format else "_c"
     pairs = (
-        targets_df.withColumn("_l", left)
-        .withColumn("_r", right)
+        targets_df.withColumns(
+            # written out once per target, not once per pair
+            {
+                "target": F.when(is_single, F.col("first")).otherwise(
+                    F.concat_ws(token_sep, "first", "second")
+                ),
+                "_l": left,
+                "_r": right,
+            }
+        )
         .withColumn(
             "c_position", F.explode_outer(features.positions(F.size(context_texts), F.col("_l"), F.col("_r")))
         )
         .where((F.col("c_position") != F.col("_l")) & (F.col("c_position") != F.col("_r")))
         .select(
             *keys,
-            F.concat_ws(token_sep, "first", "second").alias("target"),
+            "target",
             F.get(context_texts, "c_position").alias("context"),
             features.marker(F.col("c_position"), F.col("_l"), F.col("_r")).alias("marker"),
             F.when(is_single, F.array("_a")).otherwise(F.array("_a", "_b")).alias("t_positions"),
@@ -187,7 +195,8 @@ def skipped_matches(sentences: DataFrame, matchers: Sequence[Matcher]) -> DataFr
 def match_rows(sentences: DataFrame, matchers: Sequence[Matcher]) -> DataFrame:
     """One row per match: positions and their texts, same positions once."""
     keys = key_columns(sentences)
-    found = F.array_distinct(F.concat(*[m.matches(TOKENS) for m in matchers]))
+    found = [m.matches(TOKENS) for m in matchers]
+    found = found[0] if len(found) == 1 else F.array_distinct(F.concat(*found))
     texts = format_tokens(TOKENS, DEFAULT_FORMAT)
     return (
         sentences.select(*keys, texts.alias("_t"), F.explode_outer(found).alias("positions"))

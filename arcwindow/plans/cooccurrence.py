@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from arcwindow.functions.predicates import is_content
 from arcwindow.functions.tokens import DEFAULT_FORMAT, DEFAULT_TOKEN_SEP, rewrite_tokens
-from arcwindow.operators.counting import count_pairs
+from arcwindow.operators.counting import count_pairs, filter_counts, whole_sentence_counts
 from arcwindow.operators.filters import Words
 from arcwindow.operators.matchers import Matcher, Unigrams
 from arcwindow.operators.windows import BagOfWords, FeatureExtractor, extract_pairs
@@ -37,10 +37,26 @@ def cooccurrence_counts(
     rows: Words = None,
     cols: Words = None,
 ) -> DataFrame:
-    """Core and peripheral counts of a corpus in one pass and one shuffle."""
+    """Core and peripheral counts of a corpus in one pass and one shuffle.
+
+    Single words with the whole sentence as window are counted from the word counts of
+    each sentence, without listing the pairs.
+    """
+    if content_only:
+        sentences = only_content(sentences)
+    if unigrams and not compositions and not window and features is None:
+        counts = whole_sentence_counts(
+            sentences,
+            target_format=target_format,
+            context_format=context_format,
+            targets=targets,
+            contexts=contexts,
+            token_sep=token_sep,
+        )
+        return filter_counts(counts, token_sep=token_sep, rows=rows, cols=cols)
     matchers = ([Unigrams()] if unigrams else []) + list(compositions)
     pairs = extract_pairs(
-        only_content(sentences) if content_only else sentences,
+        sentences,
         matchers,
         features or BagOfWords(window),
         target_format=target_format,

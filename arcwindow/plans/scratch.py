@@ -25,9 +25,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write the rows as a table in the shared folder and go on from there.
+
+    Unlike a checkpoint this computes the rows once, and what follows reads only the
+    columns it needs. The tables stay until the folder is cleared after the job.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
