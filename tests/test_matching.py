@@ -214,16 +214,19 @@ def test_joined_lists_like_inline_lists(spark, tmp_path, monkeypatch):
     parsed = sentences(8, 20, 12)
     df = corpus(spark, tmp_path, parsed)
     arc = [Unigrams(), DependencyArcs(relation="N")]
+    lemmas = dict(target_format="{lemma}", context_format="{lemma}")
     lists = dict(
-        targets=["car-n", "red-j"],
-        first=["red-j", "the-d", "be-v", "car-n"],
-        second=["car-n", "red-n", "sell-j"],
-        contexts=["the-d", "car-n", "be-v"],
+        lemmas,
+        targets=["car", "red"],
+        first=["red", "the", "be", "car"],
+        second=["car", "red", "sell"],
+        contexts=["the", "car", "be"],
     )
-    keys = dict(rows=["car-n", "red-j"], cols=["the-d", "be-v"])
+    keys = dict(rows=["car", "red"], cols=["the", "be"])
     inline = counted(count_pairs(extract_pairs(df, arc, **lists), **keys))
-    everything = dict(targets=lists["targets"], contexts=lists["contexts"])
+    everything = dict(lemmas, targets=lists["targets"], contexts=lists["contexts"])
     whole = counted(whole_sentence_counts(df, **everything))
+    assert whole and {"<-->" in pivot for pivot, _ in inline} == {True, False}
     original = filters.WordList.of.__func__
     monkeypatch.setattr(
         filters.WordList, "of", classmethod(lambda cls, spark, words, limit=0: original(cls, spark, words, 0))
@@ -231,17 +234,16 @@ def test_joined_lists_like_inline_lists(spark, tmp_path, monkeypatch):
     assert windows.WordList.of(spark, ["a"]).inline is None
     assert counted(count_pairs(extract_pairs(df, arc, **lists), **keys)) == inline
     assert counted(whole_sentence_counts(df, **everything)) == whole
-    assert inline and whole
 
 
 def test_flagged_list(spark, tmp_path):
     parsed = sentences(9, 15, 10)
     df = corpus(spark, tmp_path, parsed)
-    words = ["car-n", "red-j", "be-v"]
+    words = ["car", "red", "be"]
     table = spark.createDataFrame([(w,) for w in words], "word string")
-    flagged = flag_words(df, table, "known", ["sent_key"])
+    flagged = flag_words(df, table, "known", ["sent_key"], "{lemma}")
     joined = match_rows(flagged, [DependencyArcs(head=TokenTest(flag_column="known"))]).drop("known")
-    inline = match_rows(df, [DependencyArcs(head=TokenTest(words=words))])
+    inline = match_rows(df, [DependencyArcs(head=TokenTest(words=words, words_format="{lemma}"))])
     assert joined.exceptAll(inline).isEmpty() and inline.exceptAll(joined).isEmpty()
     assert not inline.isEmpty()
 

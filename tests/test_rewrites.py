@@ -73,6 +73,14 @@ def test_noun_heads_red_car(spark, tmp_path):
 
 def test_noun_heads_like_plain(spark, tmp_path):
     parsed = sentences(13, 150, 14)
+    rng = random.Random(13)
+    for s in parsed:  # more chains than chance makes
+        for i, t in enumerate(s, 1):
+            if rng.random() < 0.5 and i > 1:
+                t.update(pos=rng.choice(["VV", "MD", "JJ"]), dep_id=str(rng.randint(1, i - 1)))
+                t.update(dep_rel=rng.choice(["VC", "VC", "PRD", "OBJ"]))
+            elif i < len(s):
+                t.update(pos="NN", dep_id=str(rng.randint(i + 1, len(s))))
     df = read_corpus(spark, write(tmp_path, plain.corpus(parsed)))
     rows = contentful_noun_heads(df).orderBy("sent_key").collect()
     assert all(r.rewritten for r in rows)
