@@ -37,17 +37,54 @@ def count_pairs(
     row.
     """
     tests = _row_col_tests(pairs.sparkSession, token_sep, rows, cols)
-    slim = pairs.select(F.col("target").alias("pivot"), "context")
+    mirrored = ["mirrored"] if "mirrored" in pairs.columns else []
+    slim = pairs.select(F.col("target").alias("pivot"), "context", *mirrored)
     for value, words in tests:
-        if words.inline is not None:
+        if words.inline is not None and not mirrored:
             slim = slim.where(in_list(value, words))
-    counts = slim.groupBy("pivot", "context").agg(F.count("*").alias("occurrences"))
+    if "mirrored" in pairs.columns:
+        counts = _sum_both_ways(slim, F.lit(1).cast("bigint"), F.col("mirrored"))
+    else:
+        counts = slim.groupBy("pivot", "context").agg(F.count("*").alias("occurrences"))
     for value, words in tests:
-        if words.inline is None:
+        if words.inline is None or mirrored:
             counts = keep_listed(counts, value, words)
     return with_space(counts, token_sep)
 
 
+def _sum_both_ways(pairs: DataFrame, n: Column, mirrored: Column) -> DataFrame:
+    """Sum ``pivot, context`` rows, of which mirrored ones count in both directions.
+
+    Both directions of a pair share one group with two sums, so what is aggregated and
+    shuffled is about half; they part again afterwards, without another shuffle.
+    """
+    ahead = F.col("pivot") <= F.col("context")
+    sums = (
+        pairs.select(
+            F.least("pivot", "context").alias("_a"),
+            F.greatest("pivot", "context").alias("_b"),
+            F.when(mirrored | ahead, n).otherwise(0).alias("_ab"),
+            F.when(mirrored | ~ahead, n).otherwise(0).alias("_ba"),
+        )
+        .groupBy("_a", "_b")
+        .agg(F.sum("_ab").alias("_ab"), F.sum("_ba").alias("_ba"))
+    )
+    same = F.col("_a") == F.col("_b")
+    both = F.array(
+        F.struct(
+            F.col("_a").alias("pivot"),
+            F.col("_b").alias("context"),
+            F.when(same, F.col("_ab") + F.col("_ba")).otherwise(F.col("_ab")).alias("occurrences"),
+        ),
+        F.struct(
+            F.col("_b").alias("pivot"),
+            F.col("_a").alias("context"),
+            F.when(same, 0).otherwise(F.col("_ba")).alias("occurrences"),
+        ),
+    )
+    return sums.select(F.inline(both)).where("occurrences > 0")
+
+
 def filter_counts(
     counts: DataFrame,
     *,
@@ -126,45 +163,66 @@ def whole_sentence_counts(
             return texts
         return F.filter(texts, lambda t: in_list(t, words))
 
-    def combine(df: DataFrame) -> DataFrame:
-        pairs = (
-            df.select(F.explode_outer("_t").alias("t"), "_c")
-            .select("t", F.explode_outer("_c").alias("c"))
-            .where("t IS NOT NULL AND c IS NOT NULL")
-        )
-        weight = F.col("t.n") * F.col("c.n")
-        if same_format:
-            weight = weight - F.when(F.col("t.value") == F.col("c.value"), F.col("t.n")).otherwise(0)
-        return pairs.select(
-            F.col("t.value").alias("pivot"), F.col("c.value").alias("context"), weight.alias("n")
-        )
-
     runs = sentences.select(
         run_lengths(listed(t_text, target_list)).alias("_t"),
         run_lengths(listed(c_text, context_list)).alias("_c"),
+        unique.alias("_unique"),
     )
+    t_run = F.posexplode_outer("_t").alias("_i", "t")
     if balance:
-        starts = F.sequence(F.lit(1), F.greatest(F.size("_t"), F.lit(1)), F.lit(block))
+        starts = F.sequence(F.lit(0), F.greatest(F.size("_t") - 1, F.lit(0)), F.lit(block))
         runs = (
-            runs.select("_t", "_c", F.explode_outer(starts).alias("_start"))
-            .select(F.slice("_t", F.col("_start"), F.lit(block)).alias("_t"), "_c")
+            runs.select("*", F.explode_outer(starts).alias("_start"))
+            .withColumn("_t", F.slice("_t", F.col("_start") + 1, F.lit(block)))
             .repartition(F.xxhash64("_t"))
         )
-    weighted = combine(runs)
+        opened = runs.select("_c", "_unique", "_start", t_run).withColumn("_i", F.col("_i") + F.col("_start"))
+    else:
+        opened = runs.select("_c", "_unique", t_run)
+    opened = opened.where("t IS NOT NULL")
+
+    # With targets and contexts alike, the words of a sentence are one sorted list: each
+    # word is paired with itself and those after it, and such a pair counts both ways.
+    symmetric = same_format and target_list is None and context_list is None
+    halved = F.col("_unique") if symmetric else F.lit(False)
+    first = F.when(halved, F.col("_i")).otherwise(F.lit(0))
+    reach = F.when(F.size("_c") > 0, F.sequence(first, F.size("_c") - 1))
+    paired = (
+        opened.select("_c", "t", halved.alias("_halved"), F.explode_outer(reach).alias("_j"))
+        .where("_j IS NOT NULL")
+        .select("t", F.get("_c", "_j").alias("c"), "_halved")
+    )
+    alike = F.col("t.value") == F.col("c.value")
+    weight = F.col("t.n") * F.col("c.n")
+    if same_format:
+        weight = weight - F.when(alike, F.col("t.n")).otherwise(0)
+    weighted = paired.select(
+        F.col("t.value").alias("pivot"),
+        F.col("c.value").alias("context"),
+        weight.alias("n"),
+        # a word with itself is complete in one direction
+        (F.col("_halved") & ~alike).alias("mirrored"),
+    )
     if not same_format:
         own = sentences.select(F.explode_outer(targets_of).alias("p")).where("p IS NOT NULL")
         own = own.select(
-            F.col("p.t").alias("pivot"), F.col("p.c").alias("context"), F.lit(-1).cast("bigint").alias("n")
+            F.col("p.t").alias("pivot"),
+            F.col("p.c").alias("context"),
+            F.lit(-1).cast("bigint").alias("n"),
+            F.lit(False).alias("mirrored"),
         )
         for column, words in (("pivot", target_list), ("context", context_list)):
             if words is not None and words.inline is not None:
                 own = own.where(in_list(F.col(column), words))
         weighted = weighted.unionByName(own)
-    counts = (
-        weighted.groupBy("pivot", "context")
-        .agg(F.sum("n").alias("occurrences"))
-        .where("occurrences > 0")
-    )
+    if symmetric:
+        counts = _sum_both_ways(weighted, F.col("n"), F.col("mirrored"))
+    else:
+        counts = (
+            weighted.groupBy("pivot", "context")
+            .agg(F.sum("n").alias("occurrences"))
+            .where("occurrences > 0")
+        )
     for column, words in (("pivot", target_list), ("context", context_list)):
         if words is not None and words.inline is None:
             counts = keep_listed(counts, F.col(column), words)

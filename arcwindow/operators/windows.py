@@ -8,6 +8,7 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from arcwindow.functions.arrays import all_distinct
 from arcwindow.functions.tokens import (
     DEFAULT_FORMAT,
     DEFAULT_TOKEN_SEP,
@@ -16,7 +17,7 @@ from arcwindow.functions.tokens import (
     other_columns,
 )
 from arcwindow.operators.filters import WordList, Words, keep_listed
-from arcwindow.operators.matchers import Matcher
+from arcwindow.operators.matchers import Matcher, Unigrams
 
 NOT_KEYS = ("text_open", "is_tail")
 
@@ -54,10 +55,21 @@ class BagOfWords:
             F.concat(F.sequence(low, left + w), F.sequence(right - w, high))
         )
 
+    def positions_after(self, n: Column, left: Column) -> Column:
+        """The part of a single word's window from its own place on."""
+        return F.sequence(left, F.least(left + self.w, n - 1) if self.w else n - 1)
+
     def marker(self, position: Column, left: Column, right: Column) -> Column:
         return F.when(position < left, "l").when(position > right, "r").otherwise("c")
 
 
+def can_halve(matchers: Sequence[Matcher], features: FeatureExtractor, same_format: bool) -> bool:
+    """Whether single-word pairs come in both directions: every word is a target, the
+    window reaches as far to the left as to the right, and both texts are made alike."""
+    every_word = any(isinstance(m, Unigrams) for m in matchers)
+    return every_word and isinstance(features, BagOfWords) and same_format
+
+
 def key_columns(sentences: DataFrame) -> list[str]:
     return [c for c in other_columns(sentences) if c not in NOT_KEYS]
 
@@ -84,6 +96,7 @@ def extract_pairs(
     first: Words = None,
     second: Words = None,
     contexts: Words = None,
+    halves: bool = False,
 ) -> DataFrame:
     """(target, context) pairs of every sentence, one row per pair of positions.
 
@@ -92,7 +105,13 @@ def extract_pairs(
     nothing, an empty target list rejects all). Targets are tested before their windows
     are opened. The same positions found by several matchers count once. Matching and
     windows stay inside the sentence row, so nothing is shuffled here.
+
+    With ``halves``, two words that are in each other's window give one row instead of
+    two; its column ``mirrored`` says that it also stands for the pair with target and
+    context exchanged. See :func:`can_halve` and ``count_pairs``.
     """
+    if halves and not can_halve(matchers, features, target_format == context_format):
+        raise ValueError("these pairs cannot be halved")
     spark = sentences.sparkSession
     lists = {
         "targets": WordList.of(spark, targets),
@@ -116,12 +135,14 @@ def extract_pairs(
         target_texts.alias("_t"),
         *([] if same_format else [format_tokens(tokens, context_format).alias("_c")]),
         codes.alias("_codes"),
+        *([all_distinct(tokens["id"]).alias("_halved")] if halves else []),
     )
+    carried = [*keys, "_t", *([] if same_format else ["_c"]), *(["_halved"] if halves else [])]
 
     a = F.shiftright("_code", SHIFT).cast("int")
     b = F.col("_code").bitwiseAND((1 << SHIFT) - 1).cast("int") - 1
     targets_df = (
-        prepared.select(*keys, "_t", *([] if same_format else ["_c"]), F.explode_outer("_codes").alias("_code"))
+        prepared.select(*carried, F.explode_outer("_codes").alias("_code"))
         .where("_code IS NOT NULL")
         .withColumn("_a", a)
         .withColumn("_b", F.when(b >= 0, b))
@@ -142,6 +163,11 @@ def extract_pairs(
     left = F.least("_a", F.coalesce("_b", "_a"))
     right = F.greatest("_a", F.coalesce("_b", "_a"))
     context_texts = "_t" if same_format else "_c"
+    n = F.size(context_texts)
+    positions = features.positions(n, F.col("_l"), F.col("_r"))
+    if halves:
+        mirrored = F.col("_halved") & is_single
+        positions = F.when(mirrored, features.positions_after(n, F.col("_l"))).otherwise(positions)
     pairs = (
         targets_df.withColumns(
             # written out once per target, not once per pair
@@ -153,9 +179,7 @@ def extract_pairs(
                 "_r": right,
             }
         )
-        .withColumn(
-            "c_position", F.explode_outer(features.positions(F.size(context_texts), F.col("_l"), F.col("_r")))
-        )
+        .withColumn("c_position", F.explode_outer(positions))
         .where((F.col("c_position") != F.col("_l")) & (F.col("c_position") != F.col("_r")))
         .select(
             *keys,
@@ -166,6 +190,7 @@ def extract_pairs(
             "c_position",
             "first",
             "second",
+            *([mirrored.alias("mirrored")] if halves else []),
         )
     )
     if lists["contexts"] is not None and lists["contexts"].inline is not None:

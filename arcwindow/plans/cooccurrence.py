@@ -11,7 +11,7 @@ from arcwindow.functions.tokens import DEFAULT_FORMAT, DEFAULT_TOKEN_SEP, rewrit
 from arcwindow.operators.counting import count_pairs, filter_counts, whole_sentence_counts
 from arcwindow.operators.filters import Words
 from arcwindow.operators.matchers import Matcher, Unigrams
-from arcwindow.operators.windows import BagOfWords, FeatureExtractor, extract_pairs
+from arcwindow.operators.windows import BagOfWords, FeatureExtractor, can_halve, extract_pairs
 
 
 def only_content(sentences: DataFrame) -> DataFrame:
@@ -55,10 +55,13 @@ def cooccurrence_counts(
         )
         return filter_counts(counts, token_sep=token_sep, rows=rows, cols=cols)
     matchers = ([Unigrams()] if unigrams else []) + list(compositions)
+    features = features or BagOfWords(window)
+    # short lists are better applied before counting than pairs are halved
+    unlisted = all(words is None for words in (targets, contexts, rows, cols))
     pairs = extract_pairs(
         sentences,
         matchers,
-        features or BagOfWords(window),
+        features,
         target_format=target_format,
         context_format=context_format,
         token_sep=token_sep,
@@ -66,5 +69,6 @@ def cooccurrence_counts(
         first=first,
         second=second,
         contexts=contexts,
+        halves=unlisted and can_halve(matchers, features, target_format == context_format),
     )
     return count_pairs(pairs, token_sep=token_sep, rows=rows, cols=cols)
