@@ -117,8 +117,12 @@ def with_space(counts: DataFrame, token_sep: str = DEFAULT_TOKEN_SEP) -> DataFra
 def merge_counts(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Add counts to earlier counts: one row per (space, pivot, context)."""
     columns = ["space", "pivot", "context", "occurrences"]
-    both = stored.select(*columns).unionByName(new.select(*columns))
-    return both.groupBy("space", "pivot", "context").agg(F.sum("occurrences").alias("occurrences"))
+    return sum_counts(stored.select(*columns).unionByName(new.select(*columns)))
+
+
+def sum_counts(counts: DataFrame) -> DataFrame:
+    """One row per (space, pivot, context) of counts in which keys may repeat."""
+    return counts.groupBy("space", "pivot", "context").agg(F.sum("occurrences").alias("occurrences"))
 
 
 def whole_sentence_counts(

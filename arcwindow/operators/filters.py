@@ -16,7 +16,6 @@ from arcwindow.functions.tokens import DEFAULT_FORMAT, TOKENS, format_tokens
 
 INLINE_LIMIT = 2000
 
-Words = DataFrame | Iterable[str] | None
 
 
 @dataclass(frozen=True)
@@ -27,9 +26,9 @@ class WordList:
     table: DataFrame | None
 
     @classmethod
-    def of(cls, spark: SparkSession, words: Words, limit: int = INLINE_LIMIT) -> WordList | None:
-        if words is None:
-            return None
+    def of(cls, spark: SparkSession, words: "Words", limit: int = INLINE_LIMIT) -> WordList | None:
+        if words is None or isinstance(words, WordList):
+            return words
         if isinstance(words, DataFrame):
             entries = words.select(F.col("word").cast("string"))
             # bounded look at the list: one row over the limit settles the question
@@ -47,6 +46,8 @@ class WordList:
         return self.inline == ()
 
 
+Words = DataFrame | Iterable[str] | WordList | None
+
 def in_list(value: Column, words: WordList) -> Column:
     """Membership in a short list (an empty one holds nothing)."""
     return F.coalesce(value.isin(list(words.inline)), F.lit(False)) if words.inline else F.lit(False)
@@ -82,16 +83,18 @@ def flag_words(
     column: str,
     key: list[str],
     template: str = DEFAULT_FORMAT,
+    texts: Column | None = None,
 ) -> DataFrame:
     """Add a boolean array saying which tokens are in a list too long for the plan.
 
     Only the texts of tokens meet the list; what comes back per sentence is the array of
     matching texts, so a frequent word crosses the shuffle once per sentence and not once
-    per token. Use the result through ``TokenTest(flag_column=column)``.
+    per token. Use the result through ``TokenTest(flag_column=column)`` or, with
+    ``texts=raw_field(TOKENS, "word")``, as ``Flagged(column)`` list of a phrase pattern.
+    ``key`` must identify a sentence; ``texts`` replaces the template.
     """
-    texts = sentences.select(
-        *key, F.explode(F.array_distinct(format_tokens(TOKENS, template))).alias("_text")
-    )
+    of_token = format_tokens(TOKENS, template) if texts is None else texts
+    texts = sentences.select(*key, F.explode_outer(F.array_distinct(of_token)).alias("_text"))
     entries = words.select(F.col("word").cast("string").alias("_text")).distinct()
     hits = (
         texts.join(entries, "_text", "left_semi")
@@ -99,7 +102,7 @@ def flag_words(
         .agg(F.collect_set("_text").alias("_hits"))
     )
     flags = F.transform(
-        format_tokens(TOKENS, template),
+        of_token,
         lambda t: F.coalesce(F.array_contains(F.col("_hits"), t), F.lit(False)),
     )
     return sentences.join(hits, key, "left").withColumn(column, flags).drop("_hits")

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from arcwindow.functions.linear import Flagged, raw_field
 from arcwindow.functions.predicates import TokenTest
 from arcwindow.functions.tokens import LINE_FIELDS, TOKEN_COLUMNS, TOKENS, format_tokens
 from arcwindow.operators.counting import (
@@ -20,7 +21,7 @@ from arcwindow.operators.counting import (
     sort_counts,
     whole_sentence_counts,
 )
-from arcwindow.operators.filters import INLINE_LIMIT, flag_words
+from arcwindow.operators.filters import flag_words
 from arcwindow.operators.graph import dep_edges, dot_graphs
 from arcwindow.operators.grep import grep
 from arcwindow.operators.heads import contentful_noun_heads
@@ -282,13 +283,16 @@ def linear_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def linear_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list in a phrase, case ignored, and alternatives."""
-    words = [r.word for r in benchmark_words(spark, sf_dir).limit(INLINE_LIMIT + 1).collect()]
-    if len(words) > INLINE_LIMIT:
-        raise ValueError("a list inside a phrase must be short")
+    lowered = F.transform(raw_field(TOKENS, "word"), F.lower)
+    flagged = flag_words(
+        document_sentences(spark, sf_dir), benchmark_words(spark, sf_dir), "known", KEYS, texts=lowered
+    )
     phrases = LinearPhrases(
-        "T<pos=JJ,word=file(known)>(T<pos=VV.>|T<word=t.*,pos=IN>)", ignore_case=True, lists={"known": words}
+        "T<pos=JJ,word=file(known.txt)>(T<pos=VV.>|T<word=t.*,pos=IN>)",
+        ignore_case=True,
+        lists={"known.txt": Flagged("known")},
     )
-    return _span_rows(match_rows(document_sentences(spark, sf_dir), [phrases]))
+    return _span_rows(match_rows(flagged, [phrases]).drop("known"))
 
 
 def _found(found: DataFrame) -> DataFrame:

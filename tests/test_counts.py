@@ -12,7 +12,7 @@ from arcwindow.operators.matchers import DependencyArcs, Unigrams
 from arcwindow.operators.vocabulary import decode, encode
 from arcwindow.operators.windows import BagOfWords, extract_pairs
 from arcwindow.plans.cooccurrence import cooccurrence_counts
-from arcwindow.sinks.counts import CountStore, write_counts, write_pairs
+from arcwindow.sinks.counts import CountStore, export_counts, write_counts, write_pairs
 from arcwindow.sources.corpus import read_corpus
 from arcwindow.sources.counts import read_counts
 from arcwindow.sources.pairs import bad_pair_lines, read_pairs
@@ -105,6 +105,21 @@ def test_store(spark, tmp_path):
     assert store.version() == 2
 
 
+def test_store_merges_its_tables(spark, tmp_path):
+    store = CountStore(spark, str(tmp_path / "store"), merge_after=2)
+    for i in range(6):
+        store.add(table(spark, [("core", "a", "x", 1), ("core", "a", str(i), i)]), batch=i)
+    assert counted(store.read()) == {("core", "a", "x"): 6, **{("core", "a", str(i)): i for i in range(6)}}
+    assert store._current() == (6, ["merged-5", "counts-6"])
+
+
+def test_export(spark, tmp_path):
+    counts = table(spark, [("core", "b", "x", 1), ("peripheral", "a<-->c", "x", 3), ("core", "a", "z", 3)])
+    export_counts(counts, str(tmp_path / "out"), by_value=True, reverse=True)
+    lines = [l for f in sorted((tmp_path / "out").glob("part-*")) for l in f.read_text().splitlines()]
+    assert lines == ["a<-->c\tx\t3", "a\tz\t3", "b\tx\t1"]
+
+
 def test_vocabulary(spark, tmp_path):
     words = read_words(spark, write(tmp_path, "red\ncar\nred\n", "list.txt"))
     df = spark.createDataFrame([("red",), ("car",), ("bus",)], "w string")

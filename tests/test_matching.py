@@ -9,7 +9,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from arcwindow.functions.linear import Flagged, raw_field
 from arcwindow.functions.predicates import TokenTest
+from arcwindow.functions.tokens import TOKENS
 from arcwindow.operators.counting import count_pairs, whole_sentence_counts
 from arcwindow.operators.filters import flag_words
 from arcwindow.operators.grep import grep
@@ -248,6 +250,39 @@ def test_flagged_list(spark, tmp_path):
     assert not inline.isEmpty()
 
 
+def test_flagged_phrase_list(spark, tmp_path):
+    for text in (RED_CAR, RED_CAR.replace("NMOD", "NMOD\tseven", 1)):
+        df = read_corpus(spark, write(tmp_path, text), to_lower=True)
+        table = spark.createDataFrame([("The",), ("car",), ("red",)], "word string")
+        flagged = flag_words(df, table, "known", ["sent_key"], texts=raw_field(TOKENS, "word"))
+        joined = LinearPhrases("T<word=file(l)>+", lists={"l": Flagged("known")})
+        inline = LinearPhrases("T<word=file(l)>+", lists={"l": ["The", "car", "red"]})
+        found = [r.positions for r in match_rows(flagged, [joined]).collect()]
+        assert found == [r.positions for r in match_rows(df, [inline]).collect()]
+        assert found == ([[0, 1, 2]] if text == RED_CAR else [[1, 2]])
+
+
+def test_long_lists_meet_counts(spark, tmp_path, monkeypatch):
+    df = corpus(spark, tmp_path, sentences(8, 20, 12))
+    options = dict(
+        window=3,
+        compositions=[DependencyArcs(relation="N")],
+        target_format="{lemma}",
+        context_format="{lemma}",
+        targets=["car", "red"],
+        first=["red", "the", "be", "car"],
+        second=["car", "red", "sell"],
+        contexts=["the", "car", "be"],
+    )
+    inline = counted(cooccurrence_counts(df, **options))
+    original = filters.WordList.of.__func__
+    monkeypatch.setattr(
+        filters.WordList, "of", classmethod(lambda cls, spark, words, limit=0: original(cls, spark, words, 0))
+    )
+    assert counted(cooccurrence_counts(df, **options)) == inline
+    assert {"<-->" in pivot for pivot, _ in inline} == {True, False}
+
+
 def test_only_content(spark, tmp_path):
     red = read_corpus(spark, write(tmp_path, RED_CAR))
     assert only_content(red).collect()[0].tok_lemma == ["red", "car", "have", "be", "sell"]
@@ -290,7 +325,7 @@ def test_own_matcher(spark, tmp_path):
 
 
 def test_templates(spark, tmp_path):
-    from arcwindow.functions.tokens import TOKENS, format_tokens
+    from arcwindow.functions.tokens import format_tokens
 
     red = read_corpus(spark, write(tmp_path, RED_CAR))
     for template, third in (
