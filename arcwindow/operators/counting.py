@@ -167,11 +167,16 @@ def whole_sentence_counts(
             return texts
         return F.filter(texts, lambda t: in_list(t, words))
 
+    symmetric = same_format and target_list is None and context_list is None
     runs = sentences.select(
-        run_lengths(listed(t_text, target_list)).alias("_t"),
         run_lengths(listed(c_text, context_list)).alias("_c"),
+        *([] if symmetric else [run_lengths(listed(t_text, target_list)).alias("_t")]),
+        *([F.when(~unique, targets_of["t"]).alias("_last")] if symmetric else []),
         unique.alias("_unique"),
     )
+    if symmetric:  # targets are counted apart only where ids repeat
+        t_runs = F.when(F.col("_unique"), F.col("_c")).otherwise(run_lengths(F.col("_last")))
+        runs = runs.select("_c", "_unique", t_runs.alias("_t"))
     t_run = F.posexplode_outer("_t").alias("_i", "t")
     if balance:
         starts = F.sequence(F.lit(0), F.greatest(F.size("_t") - 1, F.lit(0)), F.lit(block))
@@ -187,7 +192,6 @@ def whole_sentence_counts(
 
     # With targets and contexts alike, the words of a sentence are one sorted list: each
     # word is paired with itself and those after it, and such a pair counts both ways.
-    symmetric = same_format and target_list is None and context_list is None
     halved = F.col("_unique") if symmetric else F.lit(False)
     first = F.when(halved, F.col("_i")).otherwise(F.lit(0))
     reach = F.when(F.size("_c") > 0, F.sequence(first, F.size("_c") - 1))

@@ -15,13 +15,11 @@ def running_totals(df: DataFrame, order: list[str], totals: dict[str, Column]) -
     checkpoint folder first, since a range partitioning that is computed again may put
     its borders elsewhere. What is broadcast has one row per partition.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     amounts = {f"_x{i}": c for i, c in enumerate(totals.values())}
     names = dict(zip(totals, amounts))
     placed = cut_lineage(
         df.select("*", *[c.cast("bigint").alias(a) for a, c in amounts.items()])
-        .repartitionByRange(n, *order)
+        .repartitionByRange(*order)
         .withColumn("_part", F.spark_partition_id())
     )
     per_part = placed.groupBy("_part").agg(*[F.sum(a).alias(a) for a in amounts])

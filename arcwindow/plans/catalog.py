@@ -34,7 +34,7 @@ from arcwindow.operators.windows import BagOfWords, extract_pairs, match_rows
 from arcwindow.operators.word_stream import word_stream
 from arcwindow.plans.cooccurrence import cooccurrence_counts
 from arcwindow.plans.scratch import scratch_path
-from arcwindow.sinks.corpus import write_corpus
+from arcwindow.sinks.corpus import sentence_text, write_corpus, write_lines, write_parts
 from arcwindow.sinks.counts import CountStore, write_counts, write_pairs
 from arcwindow.sources.annotated import (
     benchmark_words,
@@ -44,7 +44,7 @@ from arcwindow.sources.annotated import (
     documents,
     sentence_count,
 )
-from arcwindow.sources.corpus import read_corpus
+from arcwindow.sources.corpus import read_corpus, read_texts
 from arcwindow.sources.counts import read_counts
 from arcwindow.sources.pairs import read_pairs
 from arcwindow.streaming.counts import stream_counts, stream_merge
@@ -374,6 +374,28 @@ def parts_by_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_by_sentences(_pieces(spark, sf_dir), ["doc_id"], 50).drop("ends_text")
 
 
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus of texts as files, split into part files, and what is in each part."""
+    sentences = document_sentences(spark, sf_dir)
+    body = sentences.select(*KEYS, sentence_text(sentences).alias("value"))
+    texts = documents(spark, sf_dir).select("doc_id")
+    opening = F.concat(F.lit('<text id="'), F.col("doc_id"), F.lit('">'))
+
+    def markup(sent_idx: int, line: Column) -> DataFrame:
+        return texts.select(
+            "doc_id", F.lit(sent_idx).alias("sent_idx"), F.lit(0).alias("seg"), line.alias("value")
+        )
+
+    corpus, out = scratch_path(spark, "texts"), scratch_path(spark, "parts")
+    lines = body.unionByName(markup(-1, opening)).unionByName(markup(1 << 62, F.lit("</text>")))
+    write_lines(lines, "value", corpus, order=KEYS)
+    pieces = read_texts(spark, corpus)
+    write_parts(split_by_sentences(pieces, ["file", "piece"], 50), out, ["file", "piece"])
+    part = F.regexp_extract("sent_key.file", "out=([0-9]+)", 1).cast("bigint")
+    found = read_corpus(spark, out).select(part.alias("part"), F.size(TOKENS["id"]).alias("n"))
+    return found.groupBy("part").agg(F.count("*").alias("sentences"), F.sum("n").alias("tokens"))
+
+
 # -- stores, files, streams -----------------------------------------------------------------------
 
 
@@ -511,6 +533,7 @@ QUERIES: dict[str, Query] = {
         graphs,
         parts_by_texts,
         parts_by_sentences,
+        part_files,
         merged_counts,
         union_counts,
         sorted_counts,

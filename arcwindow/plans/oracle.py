@@ -139,6 +139,13 @@ pieces AS (SELECT d.doc_id, coalesce(s.n, 0) AS n_sentences, row_number() OVER (
   FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT {SENT} FROM tok) GROUP BY 1) s
   USING (doc_id))"""
 
+# Texts in order: sentences since the last cut, and the part.
+WALK = """
+walk AS (SELECT rn, CAST(n_sentences AS BIGINT) AS since, CAST(1 AS BIGINT) AS part FROM pieces WHERE rn = 1
+  UNION ALL SELECT p.rn, CASE WHEN w.since >= 50 THEN 0 ELSE w.since END + p.n_sentences,
+    w.part + CASE WHEN w.since >= 50 THEN 1 ELSE 0 END
+  FROM walk w JOIN pieces p ON p.rn = w.rn + 1)"""
+
 MERGED = _with(
     TOK,
     TALK,
@@ -305,16 +312,11 @@ bodies AS (SELECT {SENT}, row_number() OVER (ORDER BY {SENT}) - 1 AS number, str
   'label = "' || label || '"' || chr(10) || '}}' AS dot FROM bodies""",
     "parts_by_texts": _with(TOK, PIECES)
     + "SELECT doc_id, n_sentences, (rn - 1) // 7 + 1 AS part FROM pieces",
-    "parts_by_sentences": _with(
-        TOK,
-        PIECES,
-        """
-walk AS (SELECT rn, CAST(n_sentences AS BIGINT) AS since, CAST(1 AS BIGINT) AS part FROM pieces WHERE rn = 1
-  UNION ALL SELECT p.rn, CASE WHEN w.since >= 50 THEN 0 ELSE w.since END + p.n_sentences,
-    w.part + CASE WHEN w.since >= 50 THEN 1 ELSE 0 END
-  FROM walk w JOIN pieces p ON p.rn = w.rn + 1)""",
-    )
+    "parts_by_sentences": _with(TOK, PIECES, WALK)
     + "SELECT doc_id, n_sentences, part FROM pieces JOIN walk USING (rn)",
+    "part_files": _with(TOK, PIECES, WALK)
+    + """SELECT part, count(DISTINCT (doc_id, sent_idx, seg)) AS sentences, count(*) AS tokens
+FROM tok JOIN pieces USING (doc_id) JOIN walk USING (rn) GROUP BY part""",
     "merged_counts": MERGED,
     "union_counts": MERGED,
     "sorted_counts": _with(TOK, ARCS, f"counts AS ({_counts(_arc_pairs(2), 'peripheral', 'a.pivot')})")

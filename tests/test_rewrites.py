@@ -129,7 +129,16 @@ def test_graph(spark, tmp_path):
     assert dep_edges(df).count() == 5
 
 
-def test_running_totals(spark):
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_running_totals(spark, coalesce):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        _check_running_totals(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def _check_running_totals(spark):
     rng = random.Random(1)
     values = [(i, rng.randint(0, 5)) for i in range(500)]
     rng.shuffle(values)
