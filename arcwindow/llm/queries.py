@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arcwindow.llm import decontaminate, mixing, secret_scan
+from arcwindow.llm import decontaminate, language, mixing, quality, secret_scan, token_counts, toxicity
+
+#: Folder of the public vocabulary files.
+TOKENIZERS = "/opt/tokenizers"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,10 +52,37 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+    """Bytes and tokens of each text."""
+    counted = token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary)
+    return counted.select("*", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores."""
+    scores = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.select("*", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores."""
+    scores = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.select("*", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted languages."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_secret_scan": op3_secret_scan,
     "op5_decontamination": op5_decontamination,
+    "op6_token_counts": op6_token_counts,
+    "op8_quality": op8_quality,
+    "op9_toxicity": op9_toxicity,
+    "op10_language": op10_language,
 }
 
 ORACLES: dict[str, str] = {}
