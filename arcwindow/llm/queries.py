@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arcwindow.llm import decontaminate, language, mixing, quality, secret_scan, token_counts, toxicity
+from arcwindow.llm import decontaminate, jaccard, language, mixing, quality, secret_scan, token_counts, toxicity
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
@@ -58,6 +58,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKE
     return counted.select("*", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set sizes and components of similar documents."""
+    return jaccard.join_components(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores."""
     scores = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op3_secret_scan": op3_secret_scan,
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
