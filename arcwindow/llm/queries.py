@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arcwindow.llm import decontaminate, jaccard, language, mixing, quality, secret_scan, token_counts, toxicity
+from arcwindow.llm import caps, decontaminate, jaccard, language, mixing, quality, secret_scan, token_counts, toxicity
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
@@ -38,6 +38,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of one label."""
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words hit by benchmark windows, and the items that occur."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -83,6 +88,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_secret_scan": op3_secret_scan,
+    "op4_embedding_duplicates": op4_embedding_duplicates,
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_jaccard_join": op7_jaccard_join,
