@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from arcwindow.plans.scratch import cut_lineage
 
 
-def one_text_per_id(documents: DataFrame) -> DataFrame:
-    """``doc_id, text`` of rows with an id; of rows that share an id the smallest text counts."""
+def one_text_per_id(documents: DataFrame) -> tuple[DataFrame, bool]:
+    """``doc_id, text`` of rows with an id, and whether ids were unique; else the smallest text of an id counts."""
     rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     repeated = rows.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return rows.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else rows
+    if repeated:
+        return rows.groupBy("doc_id").agg(F.min("text").alias("text")), False
+    return rows, True
+
+
+def packed(texts: DataFrame, *more: str) -> DataFrame:
+    """``doc_id, more.., z``: texts compressed one by one, for shuffling."""
+    names = ["doc_id", *more]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            z = pa.array([press.compress((t.as_py() or "").encode()) for t in batch["text"]], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], z], names=[*names, "z"])
+
+    kinds = dict(texts.dtypes)
+    rows = texts.select(*names, "text")
+    return rows.mapInArrow(pack, ", ".join(f"{c} {kinds[c]}" for c in names) + ", z binary")
 
 
 def components(links: DataFrame) -> DataFrame:

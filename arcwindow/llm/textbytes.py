@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text is a piece of its own.
-PIECE_BYTES = 1 << 17
+PIECE_BYTES = 1 << 18
 
 #: Base of the hash polynomial and the two odd factors of the final mix (splitmix64).
 BASE = 0x9E3779B97F4A7C15
