@@ -1,0 +1,256 @@
+"""Operators that compare documents with one another, against plain Python."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from arcwindow.llm import caps, jaccard, links, mixing, suffixes
+from tests.llm import brute
+from tests.llm.conftest import documents, prose
+
+
+def edited(rng: random.Random, text: str, share: float) -> str:
+    return " ".join(w if rng.random() > share else f"new{rng.randint(0, 10**6)}" for w in text.split())
+
+
+# -- substring dedup --------------------------------------------------------------------------
+
+
+def digests(df) -> dict:
+    kept = suffixes.deduplicated(df).select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]).alias("n"),
+        F.size("spans").alias("k"),
+        F.sha2("kept", 256).alias("sha"),
+    )
+    return {r["doc_id"]: tuple(r)[1:] for r in kept.collect()}
+
+
+@pytest.fixture(scope="module")
+def repeating() -> list[str | None]:
+    rng = random.Random(8)
+    base = [prose(rng, 200) for _ in range(6)]
+    passage, line = prose(rng, 60), "licence: you may copy this line as often as you please, thank you"
+    texts: list[str | None] = [None, "", "x" * 99, "x" * 100, "x" * 350, "ab" * 200, base[0], base[0]]
+    for i in range(40):
+        text = edited(rng, base[rng.randint(0, 5)], 0.02)
+        texts.append(f"{text} {line} {prose(rng, 30)} {passage if i % 3 else ''} é漢字{prose(rng, 20)}")
+    return texts
+
+
+@pytest.mark.parametrize("many, run, ranges", [(500, 150_000, 20_000), (2, 40, 20)])
+def test_substring_dedup(spark, repeating, monkeypatch, many, run, ranges):
+    """Also with common anchors split and many small runs to merge."""
+    for name, value in (("MANY", many), ("RUN", run), ("RANGE", ranges)):
+        monkeypatch.setattr(suffixes, name, value)
+    got = digests(documents(spark, repeating))
+    want = brute.substring_dedup(dict(enumerate(repeating)))
+    assert {i: v for i, v in got.items() if v != want[i]} == {}
+
+
+def test_substring_dedup_of_odd_and_empty_tables(spark, odd_documents, odd_texts, no_documents):
+    got = digests(odd_documents)
+    want = brute.substring_dedup(dict(enumerate(odd_texts)))
+    assert {i: v for i, v in got.items() if i is not None and v != want[i]} == {}
+    assert got[None][1] == 0  # no place in the order
+    assert suffixes.deduplicated(odd_documents).count() == odd_documents.count()
+    assert suffixes.deduplicated(no_documents).count() == 0
+
+
+def test_substring_dedup_where_ids_repeat(spark):
+    rng = random.Random(9)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, max(a, b)), (1, min(a, b)), (2, a), (3, b)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r["doc_id"], bytes(r["kept"]).decode() if r["kept"] else "") for r in suffixes.deduplicated(df).collect())
+    least = min(a, b)  # the smallest text of id 1 counts
+    assert [k for k in got if k[0] == 1] == [(1, least), (1, max(a, b))]
+    assert [k[1] for k in got if k[0] != 1] == ["" if t == least else t for t in (a, b)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.binary(max_size=6).map(lambda b: bytes(x % 3 for x in b)), max_size=12), min_size=1, max_size=9))
+def test_loser_tree_merges_front_coded_runs(runs):
+    coded = []
+    for keys in runs:
+        keys.sort()
+        coded.append(suffixes.Run(keys, [0, *(suffixes.shared_prefix(a, b, 0) for a, b in zip(keys, keys[1:]))][: len(keys)]))
+    run, place, shared = suffixes.merged(coded)
+    got = [runs[r][p] for r, p in zip(run, place)]
+    assert got == sorted(k for keys in runs for k in keys)
+    assert shared[1:] == [suffixes.shared_prefix(a, b, 0) for a, b in zip(got, got[1:])]
+
+
+def test_packed_runs_round_trip():
+    rng = random.Random(11)
+    segments = sorted((bytes(rng.randint(97, 99) for _ in range(rng.randint(8, 20))), b"ab"[: rng.randint(0, 2)], 5, 3, 4, 0) for _ in range(50))
+    keys, numbers, left = suffixes.unpack_run(50, suffixes.pack_run(segments))
+    assert keys == [s[0] for s in segments] and left == [s[1] for s in segments]
+    assert numbers[3:].T.tolist() == [[5, 3, 4]] * 50
+
+
+# -- components -------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(30)] + [(200, i) for i in range(201, 240)]
+    got = {r["id"]: r["component"] for r in links.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    assert got == brute.components(linked, [p for p in pairs if p[0] != p[1]])
+
+
+def test_components_of_no_links(spark):
+    assert links.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+# -- Jaccard join -----------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def near_copies() -> list[str | None]:
+    rng = random.Random(12)
+    base = [prose(rng, rng.choice([5, 20, 60, 150])) for _ in range(12)]
+    passage = prose(rng, 50)
+    texts: list[str | None] = [None, "", "one", "ONE", "one two three", "one two three", "one two three four"]
+    for _ in range(110):
+        text = edited(rng, rng.choice(base), rng.choice([0, 0.005, 0.01, 0.02, 0.04, 0.1]))
+        texts.append(text + (f" {passage}" if rng.random() < 0.4 else ""))
+    return texts + texts[20:30]
+
+
+@pytest.mark.parametrize("width, percent, many", [(4, 85, 16), (5, 80, 2), (1, 50, 3)])
+def test_jaccard_join(spark, near_copies, monkeypatch, width, percent, many):
+    monkeypatch.setattr(jaccard, "MANY", many)
+    texts = dict(enumerate(near_copies))
+    want = brute.components(texts, brute.jaccard_links(texts, width, percent))
+    got = {r["doc_id"]: r for r in jaccard.join_components(documents(spark, near_copies), width, percent).collect()}
+    assert {i: r["component_id"] for i, r in got.items()} == want
+    assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(brute.shingles(t, width)) for i, t in texts.items()}
+
+
+def test_jaccard_join_of_odd_and_empty_tables(spark, odd_documents, no_documents):
+    got = jaccard.join_components(odd_documents)
+    assert got.count() == odd_documents.count()
+    assert {r["component_id"] for r in got.where("doc_id IN (4, 5)").collect()} == {4}
+    assert got.where("doc_id IS NULL AND component_id IS NULL").count() == 1
+    kept = jaccard.keep_one(odd_documents)
+    assert kept.columns == odd_documents.columns and kept.where("doc_id = 5").count() == 0
+    assert kept.where("doc_id IN (0, 1, 2)").count() == 3  # empty sets have no links
+    assert jaccard.join_components(no_documents).count() == 0
+
+
+# -- embeddings -------------------------------------------------------------------------------
+
+
+VECTORS = "vec_id bigint, embedding array<float>, label int"
+
+
+def linked_vectors(rows, cosine=caps.COSINE):
+    found = []
+    for i, (a, x, p) in enumerate(rows):
+        for b, y, q in rows[:i]:
+            if p == q and len(x) == len(y) and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= cosine:
+                found.append((a, b))
+    return found
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_near_duplicates(spark, monkeypatch, block):
+    """Clusters of near vectors among chance ones, also with buckets cut into many blocks."""
+    monkeypatch.setattr(caps, "BLOCK", block)
+    rng = np.random.default_rng(13)
+    centres = rng.standard_normal((25, 64))
+    rows = []
+    for i in range(400):
+        x = centres[rng.integers(25)] + rng.standard_normal(64) * rng.choice([0.1, 0.2, 0.3]) if i % 2 else rng.standard_normal(64)
+        rows.append((i, (x * rng.choice([0.01, 1, 100])).astype(np.float32).astype(float).tolist(), int(rng.integers(2))))
+    rows += [(400 + i, rows[i][1], rows[i][2]) for i in range(1, 60, 3)]
+    pairs = linked_vectors(rows)
+    assert len(pairs) > 200
+    got = {r["vec_id"]: r for r in caps.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    want = {i: sum(i in p for p in pairs) for i, _, _ in rows}
+    found = sum(r["n_links"] for r in got.values())
+    assert all(got[i]["n_links"] <= want[i] for i in want)
+    assert found >= 0.99 * 2 * len(pairs)
+    component = brute.components(want, pairs)
+    assert sum(got[i]["component_id"] != component[i] for i in want) <= 0.01 * len(rows)
+    assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
+
+
+def test_near_duplicates_of_odd_and_empty_tables(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1), (6, [0.0, 0.0], 1)]
+    rows += [(7, [nan, 1.0], 1), (8, [inf, 1.0], 1), (9, [None, 1.0], 1), (10, [], 1), (11, [1.0], 1), (12, [3.0], 1), (None, [1.0, 0.0], 1)]
+    rows += [(1, [1.0, 0.0], 1), (13, [1e-30, 0.0], 1), (14, [3e38, 3e37], 1)]
+    df = spark.createDataFrame(rows, VECTORS).selectExpr("*", "1 AS id", "2 AS n_links", "3 AS unit")
+    got = caps.near_duplicates(df)
+    assert got.count() == len(rows)
+    per_id = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got.collect()}
+    assert per_id[1] == (3, 1, True) and per_id[2] == (3, 1, False) and per_id[14][:2] == (3, 1)
+    for i in (3, 4, 5, 6, 7, 8, 9, 10):
+        assert per_id[i] == (0, i, True)
+    assert per_id[12] == (1, 11, False) and per_id[None] == (0, None, True)
+    assert caps.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+# -- mixing -----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("fan_in", [64, 3])
+def test_mix(spark, monkeypatch, fan_in):
+    monkeypatch.setattr(mixing, "FAN_IN", fan_in)
+    rng = random.Random(14)
+    texts = [prose(rng, rng.choice([0, 1, 5, 30, 80])) for _ in range(400)]
+    sources = [rng.choice(["b", "a", None, "hot", "hot", "hot", "é"]) for _ in texts]
+    texts[5], sources[5] = "alone here", "tiny"
+    df = documents(spark, texts, source=sources)
+    rows = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    sizes: dict = {}
+    for text, source in zip(texts, sources):
+        sizes[source] = sizes.get(source, 0) + len(text.split())
+    want = brute.targets(sizes)
+    taken = dict.fromkeys(sizes, 0)
+    longest = dict.fromkeys(sizes, 0)
+    for i, (text, source) in enumerate(zip(texts, sources)):
+        r, size = rows[i], len(text.split())
+        assert r["size"] == size and r["source_size"] == sizes[source]
+        assert r["target"] == pytest.approx(want[source], rel=1e-12)
+        rate = want[source] / sizes[source]
+        assert int(rate) <= r["copies"] <= min(int(rate) + 1, 3)
+        taken[source] += size * r["copies"]
+        longest[source] = max(longest[source], size)
+    for source in sizes:
+        assert abs(taken[source] - want[source]) <= longest[source] / 2 + 1e-6
+    again = {r["doc_id"]: r["copies"] for r in mixing.mix(df.repartition(5)).collect()}
+    assert again == {i: r["copies"] for i, r in rows.items()}
+
+
+def test_mix_keeps_expectations(spark):
+    """Over many draws a document is rounded up as often as its fraction says."""
+    texts = ["one two three"] * 40 + ["one two three four five six"] * 40
+    df = documents(spark, texts, source=["a"] * 40 + ["b"] * 40)
+    ups = np.zeros(80)
+    for seed in range(12):
+        for r in mixing.mix(df, seed=seed).collect():
+            ups[r["doc_id"]] += r["copies"]
+    assert ups[:40].mean() / 12 == pytest.approx(1.0, abs=0.02) and ups[40:].mean() / 12 == pytest.approx(1.0, abs=0.02)
+
+
+def test_mix_of_odd_and_empty_tables(spark, odd_documents, no_documents):
+    mixed = mixing.mix(odd_documents)
+    assert mixed.count() == odd_documents.count()
+    assert {r["size"] for r in mixed.where("doc_id IN (0, 1, 2)").collect()} == {0}
+    rows = mixing.take_copies(odd_documents, mixed)
+    assert rows.columns == [*odd_documents.columns, "copy"]
+    assert rows.groupBy("doc_id", "text").count().agg(F.max("count")).first()[0] <= 6
+    total = mixed.agg(F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(0))).first()[0]
+    assert rows.count() == total
+    assert mixing.mix(no_documents).count() == 0 and mixing.take_copies(no_documents, mixing.mix(no_documents)).count() == 0
