@@ -136,6 +136,18 @@ def test_jaccard_join(spark, near_copies, monkeypatch, width, percent, many):
     assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(brute.shingles(t, width)) for i, t in texts.items()}
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_bitmaps_bound_the_overlap(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(100):
+        pool = rng.integers(0, 1 << 63, rng.integers(1, 400), dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, len(pool) + 1))) for _ in range(2))
+        both = len(np.intersect1d(a, b))
+        most = jaccard.most_shared(len(a), jaccard.bitmap(a), len(b), jaccard.bitmap(b))
+        assert both <= most <= min(len(a), len(b))
+    assert jaccard.most_shared(len(a), jaccard.bitmap(a), len(a), jaccard.bitmap(a)) == len(a)
+
+
 def test_jaccard_join_of_odd_and_empty_tables(spark, odd_documents, no_documents):
     got = jaccard.join_components(odd_documents)
     assert got.count() == odd_documents.count()
