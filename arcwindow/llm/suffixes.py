@@ -8,8 +8,9 @@ on its left that the strings around it need. A segment is such a suffix with all
 its anchor.
 
 1. Anchors are counted. A string whose anchor occurs once in the corpus is new, and goes no further.
-2. Tasks sort the segments of the other anchors and front-code them: of equal ones only the
-   earliest is kept, the others are settled. Runs are cut by ranges of the key.
+2. Documents that share an anchor are brought together, as far as one choice for each allows. Tasks
+   sort the segments of their anchors and front-code them: of equal ones only the earliest is
+   kept, the others are settled. Runs are cut by ranges of the key.
 3. Tasks merge the runs of a range with a loser tree that holds, for every run, the length of the
    prefix it shares with the last winner. Where these differ they decide; where they are the same,
    comparing goes on behind them, so no known prefix is compared again. The order, and the lengths
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
@@ -43,7 +45,7 @@ ANCHOR = 40
 #: Segments of an anchor beyond which its strings are sorted one by one.
 MANY = 500
 #: Segments that a task sorts together, about.
-RUN = 150_000
+RUN = 80_000
 #: Different anchors of a range of keys, which one merge handles.
 RANGE = 20_000
 PLACE_BITS = 22
@@ -249,8 +251,11 @@ def united(ranges: list[tuple]) -> list[tuple]:
     return out
 
 
-def removed_ranges(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """``doc_id, start, end``: byte ranges, overlapping ones too, that strings cover which also start earlier."""
+def removed_ranges(texts: DataFrame, z: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """``doc_id, start, end``: byte ranges, overlapping ones too, that strings cover which also start earlier.
+
+    ``z`` holds the texts once more, packed.
+    """
     kind = dict(texts.dtypes)["doc_id"]
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,12 +270,16 @@ def removed_ranges(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     anchors = cut_lineage(texts.mapInArrow(hashes, f"doc_id {kind}, h bigint"))
     known = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     known = known.select("h", (F.col("n") > MANY).alias("many"))
+    known = cut_lineage(known)
     held = anchors.join(known, "h").groupBy("doc_id").agg(
-        F.collect_set("h").alias("h"), F.collect_set(F.when(F.col("many"), F.col("h"))).alias("many")
+        F.collect_set("h").alias("h"),
+        F.collect_set(F.when(F.col("many"), F.col("h"))).alias("many"),
+        # no more than MANY segments share it
+        F.min(F.when(~F.col("many"), F.col("h"))).alias("_at"),
     )
-    count = known.count()
-    ranges = max(1, -(-count // RANGE))
-    suspects = packed(texts).join(held, "doc_id")
+    ranges = max(1, -(-known.count() // RANGE))
+    suspects = z.join(held, "doc_id").withColumn("_at", F.coalesce("_at", F.xxhash64("doc_id")))
+    suspects = suspects.repartition("_at").sortWithinPartitions("_at", "doc_id")  # the same runs in every attempt
 
     def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, unzip = Anchors(length, anchor), zstandard.ZstdDecompressor()
@@ -288,7 +297,7 @@ def removed_ranges(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                 if len(some) == 64:
                     yield run_rows(some, id_type)
                     some = []
-            some += [(None, None, None, [doc], start, end) for doc, start, end in united(gone)]
+            some += [(hash(doc) % ranges, None, None, [doc], start, end) for doc, start, end in united(gone)]
             if some:
                 yield run_rows(some, id_type)
             segments.clear()
@@ -338,17 +347,22 @@ def removed_ranges(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                 yield (key, left, a - s, a - e), (key, left, a - base, s - base, e - base, doc)
 
     run_kind = f"part bigint, n bigint, run binary, ids array<{kind}>, start bigint, end bigint"
-    sorted_runs = cut_lineage(suspects.select("doc_id", "z", "h", "many").mapInArrow(sort_runs, run_kind))
-    local = sorted_runs.where("part IS NULL").select(F.element_at("ids", 1).alias("doc_id"), "start", "end")
+    runs = suspects.select("doc_id", "z", "h", "many").mapInArrow(sort_runs, run_kind)
 
     def merge_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         id_type = None
 
         def grouped() -> Iterator[list]:
+            """The runs of a range of keys; ranges of documents that are settled already come first, as they are."""
             nonlocal id_type
             last, group = None, []
             for batch in batches:
                 id_type = batch.schema.field("ids").type.value_type
+                is_run = pc.is_valid(batch["n"])
+                settled_ = batch.filter(pc.invert(is_run))
+                if len(settled_):
+                    yield [settled_["ids"].flatten(), settled_["start"], settled_["end"]]
+                batch = batch.filter(is_run)
                 for i in range(len(batch)):
                     part = batch["part"][i].as_py()
                     if part != last and group:
@@ -360,6 +374,9 @@ def removed_ranges(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                 yield group
 
         for group in grouped():
+            if isinstance(group[0], pa.Array):
+                yield pa.RecordBatch.from_arrays(group, names=["doc_id", "start", "end"])
+                continue
             unpacked = [unpack_run(n, run) for n, run, _ in group]
             run, place, shared = merged([Run(keys, numbers[0].tolist()) for keys, numbers, _ in unpacked])
             run, place = np.array(run), np.array(place)
@@ -393,11 +410,9 @@ def removed_ranges(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                 names=["doc_id", "start", "end"],
             )
 
-    runs = sorted_runs.where("part IS NOT NULL").select("part", "n", "run", "ids")
-    merged_ = runs.repartition("part").sortWithinPartitions("part").mapInArrow(
+    return runs.repartition("part").sortWithinPartitions("part").mapInArrow(
         merge_ranges, f"doc_id {kind}, start bigint, end bigint"
     )
-    return local.unionByName(merged_)
 
 
 def run_rows(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
@@ -419,12 +434,16 @@ def run_rows(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
 def deduplicated(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """``doc_id, n_bytes, spans, kept``: removed runs of bytes, and the bytes that stay; a row per row."""
     texts, unique = one_text_per_id(documents)
-    ranges = removed_ranges(texts, length, anchor)
-    gone = cut_lineage(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges")))
-    if unique:
-        joined = packed(documents).join(gone, "doc_id", "left")
+    z = packed(texts)
+    ranges = removed_ranges(texts, z, length, anchor)
+    gone = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    nothing = F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("ranges")
+    if unique:  # the shuffle of packed texts is the one that the anchors met
+        joined = z.join(gone, "doc_id", "left").unionByName(
+            packed(documents.where("doc_id IS NULL")).select("doc_id", "z", nothing)
+        )
     else:  # ranges are those of one of the texts of an id
-        gone = gone.join(texts.select("doc_id", F.xxhash64("text").alias("_key")), "doc_id")
+        gone = cut_lineage(gone.join(texts.select("doc_id", F.xxhash64("text").alias("_key")), "doc_id"))
         keyed = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"))
         joined = packed(keyed, "_key").join(gone, ["doc_id", "_key"], "left")
 
