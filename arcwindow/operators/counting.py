@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from arcwindow.functions.arrays import all_distinct, run_lengths
 from arcwindow.functions.tokens import DEFAULT_FORMAT, DEFAULT_TOKEN_SEP, TOKENS, by_id, format_tokens
-from arcwindow.operators.filters import WordList, Words, in_list, keep_listed
+from arcwindow.operators.filters import Words, keep_listed, word_table
 
 CORE, PERIPHERAL = "core", "peripheral"  # fixed values: names of the two spaces
 
@@ -32,24 +32,16 @@ def count_pairs(
 
     Partial aggregation runs before the one shuffle, so a pair that makes up a third of
     the input crosses it once per task. ``rows`` tests the pivot, or the second word of a
-    composed one; ``cols`` tests the context; an empty list filters nothing. Short lists
-    filter before counting; long ones are joined to the counts, where each pair is one
-    row.
+    composed one; ``cols`` tests the context; an empty list filters nothing. Lists are joined
+    to the counts, where each pair is one row.
     """
-    tests = _row_col_tests(pairs.sparkSession, token_sep, rows, cols)
     mirrored = ["mirrored"] if "mirrored" in pairs.columns else []
     slim = pairs.select(F.col("target").alias("pivot"), "context", *mirrored)
-    for value, words in tests:
-        if words.inline is not None and not mirrored:
-            slim = slim.where(in_list(value, words))
-    if "mirrored" in pairs.columns:
+    if mirrored:
         counts = _sum_both_ways(slim, F.lit(1).cast("bigint"), F.col("mirrored"))
     else:
         counts = slim.groupBy("pivot", "context").agg(F.count("*").alias("occurrences"))
-    for value, words in tests:
-        if words.inline is None or mirrored:
-            counts = keep_listed(counts, value, words)
-    return with_space(counts, token_sep)
+    return with_space(filter_counts(counts, token_sep=token_sep, rows=rows, cols=cols), token_sep)
 
 
 def _sum_both_ways(pairs: DataFrame, n: Column, mirrored: Column) -> DataFrame:
@@ -93,21 +85,14 @@ def filter_counts(
     cols: Words = None,
 ) -> DataFrame:
     """The row and column filters of :func:`count_pairs`, on finished counts."""
-    for value, words in _row_col_tests(counts.sparkSession, token_sep, rows, cols):
-        counts = keep_listed(counts, value, words)
+    pivot = F.coalesce(second_part(F.col("pivot"), token_sep), F.col("pivot"))
+    for value, words in ((pivot, rows), (F.col("context"), cols)):
+        listed = word_table(counts.sparkSession, words)
+        if listed is not None:
+            counts = keep_listed(counts, value, listed, empty_keeps_all=True)
     return counts
 
 
-def _row_col_tests(
-    spark: SparkSession, token_sep: str, rows: Words, cols: Words
-) -> list[tuple[Column, WordList]]:
-    tested = [
-        (F.coalesce(second_part(F.col("pivot"), token_sep), F.col("pivot")), WordList.of(spark, rows)),
-        (F.col("context"), WordList.of(spark, cols)),
-    ]
-    return [(value, words) for value, words in tested if words is not None and not words.is_empty]
-
-
 def with_space(counts: DataFrame, token_sep: str = DEFAULT_TOKEN_SEP) -> DataFrame:
     return counts.select(
         space_of(F.col("pivot"), token_sep).alias("space"), "pivot", "context", "occurrences"
@@ -133,7 +118,6 @@ def whole_sentence_counts(
     targets: Words = None,
     contexts: Words = None,
     token_sep: str = DEFAULT_TOKEN_SEP,
-    balance: bool = False,
     block: int = 512,
 ) -> DataFrame:
     """Single-word counts with the whole sentence as window, without listing all pairs.
@@ -143,15 +127,11 @@ def whole_sentence_counts(
     words with a weight. Only for single-word targets; with repeated ids, targets are the
     last token of each id, as for :class:`Unigrams`.
 
-    With ``balance`` the distinct targets of each sentence are cut into blocks that are
-    spread over the cluster before pairing: one shuffle of the word counts (much less
-    than of the pairs), for corpora where a few chunks, such as whole texts, hold much
-    of the data.
+    The distinct targets of each sentence are cut into blocks that are spread over the
+    cluster before pairing: one shuffle of the word counts (much less than of the pairs),
+    so that a few chunks that hold much of the data, such as whole texts, are no task each.
+    Lists meet the counts.
     """
-    spark = sentences.sparkSession
-    target_list, context_list = WordList.of(spark, targets), WordList.of(spark, contexts)
-    if context_list is not None and context_list.is_empty:
-        context_list = None
     tokens = TOKENS
     same_format = target_format == context_format
     # one struct per target: its text as target, and its own text as context
@@ -162,15 +142,10 @@ def whole_sentence_counts(
     t_text = F.when(unique, format_tokens(tokens, target_format)).otherwise(targets_of["t"])
     c_text = format_tokens(tokens, context_format)
 
-    def listed(texts: Column, words: WordList | None) -> Column:
-        if words is None or words.inline is None:
-            return texts
-        return F.filter(texts, lambda t: in_list(t, words))
-
-    symmetric = same_format and target_list is None and context_list is None
+    symmetric = same_format
     runs = sentences.select(
-        run_lengths(listed(c_text, context_list)).alias("_c"),
-        *([] if symmetric else [run_lengths(listed(t_text, target_list)).alias("_t")]),
+        run_lengths(c_text).alias("_c"),
+        *([] if symmetric else [run_lengths(t_text).alias("_t")]),
         *([F.when(~unique, targets_of["t"]).alias("_last")] if symmetric else []),
         unique.alias("_unique"),
     )
@@ -178,16 +153,13 @@ def whole_sentence_counts(
         t_runs = F.when(F.col("_unique"), F.col("_c")).otherwise(run_lengths(F.col("_last")))
         runs = runs.select("_c", "_unique", t_runs.alias("_t"))
     t_run = F.posexplode_outer("_t").alias("_i", "t")
-    if balance:
-        starts = F.sequence(F.lit(0), F.greatest(F.size("_t") - 1, F.lit(0)), F.lit(block))
-        runs = (
-            runs.select("*", F.explode_outer(starts).alias("_start"))
-            .withColumn("_t", F.slice("_t", F.col("_start") + 1, F.lit(block)))
-            .repartition(F.xxhash64("_t"))
-        )
-        opened = runs.select("_c", "_unique", "_start", t_run).withColumn("_i", F.col("_i") + F.col("_start"))
-    else:
-        opened = runs.select("_c", "_unique", t_run)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_t") - 1, F.lit(0)), F.lit(block))
+    runs = (
+        runs.select("*", F.explode_outer(starts).alias("_start"))
+        .withColumn("_t", F.slice("_t", F.col("_start") + 1, F.lit(block)))
+        .repartition(F.xxhash64("_t"))
+    )
+    opened = runs.select("_c", "_unique", "_start", t_run).withColumn("_i", F.col("_i") + F.col("_start"))
     opened = opened.where("t IS NOT NULL")
 
     # With targets and contexts alike, the words of a sentence are one sorted list: each
@@ -212,16 +184,13 @@ def whole_sentence_counts(
         (F.col("_halved") & ~alike).alias("mirrored"),
     )
     if not same_format:
-        own = sentences.select(F.explode_outer(targets_of).alias("p")).where("p IS NOT NULL")
+        own = sentences.select(F.explode_outer(targets_of).alias("p")).where("p.t IS NOT NULL AND p.c IS NOT NULL")
         own = own.select(
             F.col("p.t").alias("pivot"),
             F.col("p.c").alias("context"),
             F.lit(-1).cast("bigint").alias("n"),
             F.lit(False).alias("mirrored"),
         )
-        for column, words in (("pivot", target_list), ("context", context_list)):
-            if words is not None and words.inline is not None:
-                own = own.where(in_list(F.col(column), words))
         weighted = weighted.unionByName(own)
     if symmetric:
         counts = _sum_both_ways(weighted, F.col("n"), F.col("mirrored"))
@@ -231,9 +200,10 @@ def whole_sentence_counts(
             .agg(F.sum("n").alias("occurrences"))
             .where("occurrences > 0")
         )
-    for column, words in (("pivot", target_list), ("context", context_list)):
-        if words is not None and words.inline is None:
-            counts = keep_listed(counts, F.col(column), words)
+    for column, words in (("pivot", targets), ("context", contexts)):
+        listed = word_table(sentences.sparkSession, words)
+        if listed is not None:
+            counts = keep_listed(counts, F.col(column), listed, empty_keeps_all=column == "context")
     return with_space(counts, token_sep)
 
 

@@ -1,80 +1,77 @@
 """Word lists as filters.
 
-A list is either part of the plan (a literal set, when it has at most
-``INLINE_LIMIT`` entries) or a joined table, for which Spark chooses the strategy from
-the size it measures. Nothing is broadcast by hint.
+A list is a table that is joined, whatever its size; Spark chooses the strategy from the size it
+measures, and nothing is broadcast by hint. Frequent words are salted, so a word that
+makes up a third of the rows is spread over several tasks also where the list is not broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from arcwindow.functions.tokens import DEFAULT_FORMAT, TOKENS, format_tokens
+from arcwindow.plans.scratch import cut_lineage
 
-INLINE_LIMIT = 2000
+#: Over how many tasks the rows of one word are spread.
+SALTS = 16
 
+Words = DataFrame | Iterable[str] | None
 
 
-@dataclass(frozen=True)
-class WordList:
-    """Entries of a list: ``inline`` when short, else the one-column table ``word``."""
+def word_table(spark: SparkSession, words: Words) -> DataFrame | None:
+    """The distinct entries of a list, as the column ``word``."""
+    if words is None:
+        return None
+    if not isinstance(words, DataFrame):
+        words = spark.createDataFrame([(w,) for w in sorted(set(words))], "word string")
+    return words.select(F.col("word").cast("string")).where("word IS NOT NULL").distinct()
 
-    inline: tuple[str, ...] | None
-    table: DataFrame | None
 
-    @classmethod
-    def of(cls, spark: SparkSession, words: "Words", limit: int = INLINE_LIMIT) -> WordList | None:
-        if words is None or isinstance(words, WordList):
-            return words
-        if isinstance(words, DataFrame):
-            entries = words.select(F.col("word").cast("string"))
-            # bounded look at the list: one row over the limit settles the question
-            head = [r.word for r in entries.distinct().limit(limit + 1).collect()]
-            if len(head) > limit:
-                return cls(None, entries)
-            return cls(tuple(sorted(w for w in head if w is not None)), None)
-        distinct = sorted(set(words))
-        if len(distinct) > limit:
-            return cls(None, spark.createDataFrame([(w,) for w in distinct], "word string"))
-        return cls(tuple(distinct), None)
+def joined_to_words(df: DataFrame, key: Column, words: DataFrame, how: str) -> DataFrame:
+    """Join on ``key = words.word``, the words salted; other columns of ``words`` come along.
 
-    @property
-    def is_empty(self) -> bool:
-        return self.inline == ()
-
-
-Words = DataFrame | Iterable[str] | WordList | None
-
-def in_list(value: Column, words: WordList) -> Column:
-    """Membership in a short list (an empty one holds nothing)."""
-    return F.coalesce(value.isin(list(words.inline)), F.lit(False)) if words.inline else F.lit(False)
+    Adds ``_word`` (null where ``how`` is left and nothing matches). Null keys match nothing
+    and do not meet in one task either.
+    """
+    row = F.xxhash64(*df.columns)
+    keyed = df.withColumns(
+        {
+            "_key": F.coalesce(key, F.concat(F.lit("\u0000"), row.cast("string"))),
+            "_salt": F.pmod(row, F.lit(SALTS)),
+        }
+    )
+    copies = words.select(
+        F.col("word").alias("_word"),
+        *[c for c in words.columns if c != "word"],
+        F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(SALTS)])).alias("_at"),
+    )
+    same = (F.col("_key") == F.col("_word")) & (F.col("_salt") == F.col("_at"))
+    return keyed.join(copies, same, how).drop("_key", "_salt", "_at")
 
 
 def keep_listed(
-    df: DataFrame, value: Column, words: WordList, applies: Column | None = None
+    df: DataFrame,
+    value: Column,
+    words: DataFrame,
+    applies: Column | None = None,
+    empty_keeps_all: bool = False,
 ) -> DataFrame:
-    """Rows whose ``value`` is in the list; rows to which the test does not apply stay."""
-    if words.inline is not None:
-        test = in_list(value, words)
-        return df.where(test if applies is None else ~applies | test)
-    entries = words.table.select(F.col("word").alias("_entry")).distinct()
-    if applies is None:
-        return df.withColumn("_key", value).join(
-            entries, F.col("_key") == F.col("_entry"), "left_semi"
-        ).drop("_key")
-    # Rows outside the test get their own spread-out keys, which no list entry equals,
-    # so that they neither meet in one partition nor find a partner.
-    spare = F.concat(F.lit("\u0000"), F.xxhash64(*df.columns).cast("string"))
-    return (
-        df.withColumn("_applies", applies)
-        .withColumn("_key", F.when(F.col("_applies"), value).otherwise(spare))
-        .join(entries, F.col("_key") == F.col("_entry"), "left_outer")
-        .where(~F.col("_applies") | F.col("_entry").isNotNull())
-        .drop("_applies", "_key", "_entry")
-    )
+    """Rows whose ``value`` is in the list; rows to which the test does not apply stay.
+
+    An empty list keeps nothing, or with ``empty_keeps_all`` everything; whether it is empty
+    is found out when the job runs.
+    """
+    if applies is None and not empty_keeps_all:
+        return joined_to_words(df, value, words, "inner").drop("_word")
+    key = value if applies is None else F.when(applies, value)
+    keep = F.col("_word").isNotNull()
+    if applies is not None:
+        keep = keep | ~F.coalesce(applies, F.lit(False))
+    if empty_keeps_all:
+        keep = keep | ~words.exists()
+    return joined_to_words(df, key, words, "left").where(keep).drop("_word")
 
 
 def flag_words(
@@ -85,22 +82,21 @@ def flag_words(
     template: str = DEFAULT_FORMAT,
     texts: Column | None = None,
 ) -> DataFrame:
-    """Add a boolean array saying which tokens are in a list too long for the plan.
-
-    Only the texts of tokens meet the list; what comes back per sentence is the array of
-    matching texts, so a frequent word crosses the shuffle once per sentence and not once
-    per token. Use the result through ``TokenTest(flag_column=column)`` or, with
-    ``texts=raw_field(TOKENS, "word")``, as ``Flagged(column)`` list of a phrase pattern.
-    ``key`` must identify a sentence; ``texts`` replaces the template.
+    """Add a boolean array saying which tokens are in a list.
+
+    The sentences are written to the shared folder first, so they are parsed once, although
+    they are read twice: only the texts of tokens meet the list, and what comes back per
+    sentence is the array of matching texts. So a frequent word crosses the shuffle once per
+    sentence and not once per token, and it is salted. Use the result through
+    ``TokenTest(flag_column=column)`` or, with ``texts=raw_field(TOKENS, "word")``, as
+    ``Flagged(column)`` list of a phrase pattern. ``key`` must identify a sentence; ``texts``
+    replaces the template.
     """
+    sentences = cut_lineage(sentences)
     of_token = format_tokens(TOKENS, template) if texts is None else texts
     texts = sentences.select(*key, F.explode_outer(F.array_distinct(of_token)).alias("_text"))
-    entries = words.select(F.col("word").cast("string").alias("_text")).distinct()
-    hits = (
-        texts.join(entries, "_text", "left_semi")
-        .groupBy(*key)
-        .agg(F.collect_set("_text").alias("_hits"))
-    )
+    listed = joined_to_words(texts, F.col("_text"), word_table(sentences.sparkSession, words), "inner")
+    hits = listed.groupBy(*key).agg(F.collect_set("_text").alias("_hits"))
     flags = F.transform(
         of_token,
         lambda t: F.coalesce(F.array_contains(F.col("_hits"), t), F.lit(False)),

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from arcwindow.functions.tokens import LINE_FIELDS, TOKENS
-from arcwindow.operators.order import running_totals
+from arcwindow.functions.tokens import LINE_FIELDS, TOKEN_COLUMNS, TOKENS
+from arcwindow.operators.order import row_numbers
 from arcwindow.operators.windows import key_columns
 
 
@@ -31,6 +31,8 @@ def dot_graphs(sentences: DataFrame, order: list[str]) -> DataFrame:
     ``order`` must identify a sentence. A sentence with a token of other than six fields
     keeps its number and has no graph.
     """
+    # sentences are numbered as token arrays; the far longer text is made last
+    numbered = row_numbers(sentences.select(*order, *TOKEN_COLUMNS), order, "_n")
     lines = F.flatten(
         F.transform(
             TOKENS.rows(*LINE_FIELDS),
@@ -42,13 +44,7 @@ def dot_graphs(sentences: DataFrame, order: list[str]) -> DataFrame:
     )
     words = F.array_join(TOKENS["word"], " ")
     six: Column = F.forall(TOKENS["n_fields"], lambda n: n == len(LINE_FIELDS))
-    body = F.concat(lines, F.array(F.format_string(LABEL, F.trim(words)), F.lit(GRAPH_CLOSE)))
-    texts = sentences.select(*order, F.when(six, F.array_join(body, "\n")).alias("_body"))
-    numbered = running_totals(texts, order, {"_n": F.lit(1)})
     number = F.col("_n") - 1
-    return numbered.select(
-        *order,
-        number.alias("number"),
-        F.concat_ws("\n", F.format_string(GRAPH_OPEN, number), F.col("_body")).alias("_dot"),
-        F.col("_body").isNotNull().alias("_ok"),
-    ).select(*order, "number", F.when(F.col("_ok"), F.col("_dot")).alias("dot"))
+    opening, label = F.format_string(GRAPH_OPEN, number), F.format_string(LABEL, F.trim(words))
+    body = F.concat(F.array(opening), lines, F.array(label, F.lit(GRAPH_CLOSE)))
+    return numbered.select(*order, number.alias("number"), F.when(six, F.array_join(body, "\n")).alias("dot"))

@@ -17,7 +17,7 @@ from arcwindow.functions.tokens import (
     other_columns,
     token_arrays,
 )
-from arcwindow.operators.matchers import Matcher
+from arcwindow.operators.matchers import Matcher, prepared
 
 
 def matched_positions(matchers: Sequence[Matcher], tokens: Tokens) -> list[Column]:
@@ -36,7 +36,8 @@ def grep(sentences: DataFrame, matchers: Sequence[Matcher], intersect: bool = Fa
     others = other_columns(sentences)
     names = [f"_m{i}" for i in range(len(matchers))]
     found = matched_positions(matchers, TOKENS)
-    df = sentences.select(*others, *TOKEN_COLUMNS, *[c.alias(n) for c, n in zip(found, names)])
+    df = prepared(sentences, matchers)
+    df = df.select(*others, *TOKEN_COLUMNS, *[c.alias(n) for c, n in zip(found, names)])
     union = F.array_sort(F.array_distinct(F.concat(*names)))
     common = functools.reduce(F.array_intersect, [F.col(n) for n in names])
     df = df.select(*others, *TOKEN_COLUMNS, union.alias("matched"), common.alias("_common"))

@@ -7,16 +7,17 @@ positions inside a match counts: (dependent, head) is not (head, dependent).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from typing import Protocol, runtime_checkable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from arcwindow.functions import linear
 from arcwindow.functions.arrays import all_distinct, let
 from arcwindow.functions.predicates import TokenTest, prefix_match
-from arcwindow.functions.tokens import Tokens, by_id
+from arcwindow.functions.tokens import TOKENS, Tokens, by_id
 
 ROOT_ID = "0"  # fixed value: the dep_id of a root token
 
@@ -26,6 +27,14 @@ class Matcher(Protocol):
     def matches(self, tokens: Tokens) -> Column: ...
 
 
+def prepared(sentences: DataFrame, matchers: Iterable[Matcher]) -> DataFrame:
+    """Let matchers add columns that they read, if they have a method ``prepare(sentences)``."""
+    for m in matchers:
+        if hasattr(m, "prepare"):
+            sentences = m.prepare(sentences)
+    return sentences
+
+
 @dataclass(frozen=True)
 class Unigrams:
     """Every token of the sentence (the last one of each id)."""
@@ -48,13 +57,21 @@ class LinearPhrases:
 
     def __post_init__(self):
         object.__setattr__(self, "_parsed", linear.parse_pattern(self.pattern, self.lists))
+        object.__setattr__(self, "_column", f"_spans_{uuid.uuid4().hex}")
+
+    def prepare(self, sentences: DataFrame) -> DataFrame:
+        """Add the column that ``matches`` reads where it cannot be an expression."""
+        if not self._parsed.recursive:
+            return sentences
+        text = linear.symbols(TOKENS, self._parsed, self.ignore_case)
+        return linear.with_spans(sentences, text, self._parsed, self._column)
 
     def matches(self, tokens: Tokens) -> Column:
-        text = linear.symbols(tokens, self._parsed, self.ignore_case)
-        return F.transform(
-            linear.spans(text, self._parsed.regex),
-            lambda s: F.sequence(s["start"], s["stop"] - 1),
-        )
+        if self._parsed.recursive:
+            spans = F.col(self._column)
+        else:
+            spans = linear.spans(linear.symbols(tokens, self._parsed, self.ignore_case), self._parsed.regex)
+        return F.transform(spans, lambda s: F.sequence(s["start"], s["stop"] - 1))
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,26 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from arcwindow.plans.scratch import cut_lineage
 
 
+def row_numbers(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Add the place of each row along ``order`` (a unique key), from 1, with one shuffle.
+
+    Rows are range-partitioned and sorted, numbered by their position in the partition, and
+    written; on reading, the number of rows in the partitions before is added. What is
+    broadcast has one row per partition.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1
+    placed = cut_lineage(
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("*", F.spark_partition_id().alias("_part"), place.alias("_place"))
+    )
+    per_part = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = placed.join(F.broadcast(offsets), "_part")
+    return numbered.select(*df.columns, (F.col("_place") + F.col("_before")).alias(name))
+
+
 def running_totals(df: DataFrame, order: list[str], totals: dict[str, Column]) -> DataFrame:
     """Add inclusive running sums along ``order`` (a unique key), in two levels.
 

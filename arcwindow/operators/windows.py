@@ -8,7 +8,7 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from arcwindow.functions.arrays import all_distinct
+from arcwindow.functions.arrays import all_distinct, let, where_here
 from arcwindow.functions.tokens import (
     DEFAULT_FORMAT,
     DEFAULT_TOKEN_SEP,
@@ -16,14 +16,11 @@ from arcwindow.functions.tokens import (
     format_tokens,
     other_columns,
 )
-from arcwindow.operators.filters import WordList, Words, keep_listed
-from arcwindow.operators.matchers import Matcher, Unigrams
+from arcwindow.operators.filters import Words, keep_listed, word_table
+from arcwindow.operators.matchers import Matcher, Unigrams, prepared
 
 NOT_KEYS = ("text_open", "is_tail")
 
-# A match is carried as one bigint: first position, then second position + 1 (0 = none).
-SHIFT = 32
-
 # Arrays are opened with explode_outer and a null test after it: for plain explode the
 # optimizer adds "size(array) > 0" below, and so evaluates the whole matching twice.
 
@@ -74,13 +71,15 @@ def key_columns(sentences: DataFrame) -> list[str]:
     return [c for c in other_columns(sentences) if c not in NOT_KEYS]
 
 
-def _encode(matches: Column) -> Column:
-    """One- and two-token matches as bigints; longer ones have no features."""
-    usable = F.filter(matches, lambda m: F.size(m).between(1, 2))
-    return F.transform(
-        usable,
-        lambda m: F.shiftleft(F.get(m, F.lit(0)).cast("bigint"), SHIFT)
-        + F.coalesce(F.get(m, F.lit(1)) + 1, F.lit(0)),
+def all_matches(matchers: Sequence[Matcher]) -> Column:
+    """The matches of all matchers, the same positions once."""
+    found = [m.matches(TOKENS) for m in matchers]
+    if len(found) == 1:
+        return found[0]
+    # sorting makes equal ones neighbours, so long sentences stay cheap
+    return let(
+        F.array_sort(F.concat(*found)),
+        lambda ms: F.filter(ms, lambda m, i: (i == 0) | (F.get(ms, i - 1) != m)),
     )
 
 
@@ -100,11 +99,15 @@ def extract_pairs(
 ) -> DataFrame:
     """(target, context) pairs of every sentence, one row per pair of positions.
 
-    ``targets`` lists single-word targets, ``first`` and ``second`` the words of
-    two-word targets, ``contexts`` the context words (an empty context list filters
-    nothing, an empty target list rejects all). Targets are tested before their windows
-    are opened. The same positions found by several matchers count once. Matching and
-    windows stay inside the sentence row, so nothing is shuffled here.
+    A target of several tokens has the window of its first and last place; its own places
+    are no contexts. Tokens whose text is null, as they lack a field of the template, are
+    neither targets nor contexts (see :func:`tokens_without_text`).
+
+    ``targets`` lists single-word targets, ``first`` and ``second`` the first two words of
+    longer targets, ``contexts`` the context words (an empty context list filters nothing, an
+    empty target list rejects all). The same positions found by several matchers count once.
+    Matching and windows stay inside the sentence row, so nothing is shuffled there; lists
+    meet the slim pair rows, never the sentence arrays.
 
     With ``halves``, two words that are in each other's window give one row instead of
     two; its column ``mirrored`` says that it also stands for the pair with target and
@@ -112,119 +115,98 @@ def extract_pairs(
     """
     if halves and not can_halve(matchers, features, target_format == context_format):
         raise ValueError("these pairs cannot be halved")
-    spark = sentences.sparkSession
-    lists = {
-        "targets": WordList.of(spark, targets),
-        "first": WordList.of(spark, first),
-        "second": WordList.of(spark, second),
-        "contexts": WordList.of(spark, contexts),
-    }
-    if lists["contexts"] is not None and lists["contexts"].is_empty:
-        lists["contexts"] = None
     if not matchers:
         raise ValueError("at least one matcher is needed")
 
     keys = key_columns(sentences)
     tokens = TOKENS
-    found = [_encode(m.matches(tokens)) for m in matchers]
-    codes = found[0] if len(found) == 1 else F.array_distinct(F.concat(*found))
     target_texts = format_tokens(tokens, target_format)
     same_format = target_format == context_format
-    prepared = sentences.select(
-        *keys,
-        target_texts.alias("_t"),
-        *([] if same_format else [format_tokens(tokens, context_format).alias("_c")]),
-        codes.alias("_codes"),
-        *([all_distinct(tokens["id"]).alias("_halved")] if halves else []),
-    )
     carried = [*keys, "_t", *([] if same_format else ["_c"]), *(["_halved"] if halves else [])]
-
-    a = F.shiftright("_code", SHIFT).cast("int")
-    b = F.col("_code").bitwiseAND((1 << SHIFT) - 1).cast("int") - 1
     targets_df = (
-        prepared.select(*carried, F.explode_outer("_codes").alias("_code"))
-        .where("_code IS NOT NULL")
-        .withColumn("_a", a)
-        .withColumn("_b", F.when(b >= 0, b))
-        .withColumn("first", F.get("_t", "_a"))
-        .withColumn("second", F.get("_t", "_b"))
+        prepared(sentences, matchers)
+        .select(
+            *keys,
+            target_texts.alias("_t"),
+            *([] if same_format else [format_tokens(tokens, context_format).alias("_c")]),
+            *([all_distinct(tokens["id"]).alias("_halved")] if halves else []),
+            all_matches(matchers).alias("_m"),
+        )
+        .select(*carried, F.explode_outer("_m").alias("_p"))
+        .where("_p IS NOT NULL")
+        .withColumns({"first": F.get("_t", F.get("_p", F.lit(0))), "second": F.get("_t", F.get("_p", F.lit(1)))})
     )
-    is_single = F.col("_b").isNull()
-    tests = (
-        ("targets", F.col("first"), is_single),
-        ("first", F.col("first"), ~is_single),
-        ("second", F.col("second"), ~is_single),
+    is_single = F.size("_p") == 1
+    words = F.transform("_p", lambda p: F.get("_t", p))
+    composed = F.when(F.forall(words, lambda w: w.isNotNull()), F.array_join(words, token_sep))
+    targets_df = targets_df.withColumns(
+        # written out once per target, not once per pair
+        {
+            "target": F.when(is_single, F.col("first")).otherwise(composed),
+            "_l": F.array_min("_p"),
+            "_r": F.array_max("_p"),
+        }
     )
-    for name, value, applies in tests:
-        words = lists[name]
-        if words is not None and words.inline is not None:
-            targets_df = keep_listed(targets_df, value, words, applies)
 
-    left = F.least("_a", F.coalesce("_b", "_a"))
-    right = F.greatest("_a", F.coalesce("_b", "_a"))
     context_texts = "_t" if same_format else "_c"
     n = F.size(context_texts)
     positions = features.positions(n, F.col("_l"), F.col("_r"))
     if halves:
         mirrored = F.col("_halved") & is_single
         positions = F.when(mirrored, features.positions_after(n, F.col("_l"))).otherwise(positions)
+    place = F.col("c_position")
+    own = (place == F.col("_l")) | (place == F.col("_r"))
+    own = own | ((F.size("_p") > 2) & F.array_contains("_p", place))
     pairs = (
-        targets_df.withColumns(
-            # written out once per target, not once per pair
-            {
-                "target": F.when(is_single, F.col("first")).otherwise(
-                    F.concat_ws(token_sep, "first", "second")
-                ),
-                "_l": left,
-                "_r": right,
-            }
-        )
-        .withColumn("c_position", F.explode_outer(positions))
-        .where((F.col("c_position") != F.col("_l")) & (F.col("c_position") != F.col("_r")))
+        targets_df.withColumn("c_position", F.explode_outer(F.when(F.col("target").isNotNull(), positions)))
+        .where(~own & F.get(context_texts, "c_position").isNotNull())
         .select(
             *keys,
             "target",
             F.get(context_texts, "c_position").alias("context"),
-            features.marker(F.col("c_position"), F.col("_l"), F.col("_r")).alias("marker"),
-            F.when(is_single, F.array("_a")).otherwise(F.array("_a", "_b")).alias("t_positions"),
+            features.marker(place, F.col("_l"), F.col("_r")).alias("marker"),
+            F.col("_p").alias("t_positions"),
             "c_position",
             "first",
             "second",
             *([mirrored.alias("mirrored")] if halves else []),
         )
     )
-    if lists["contexts"] is not None and lists["contexts"].inline is not None:
-        pairs = keep_listed(pairs, F.col("context"), lists["contexts"])
-
-    # lists too long for the plan meet the slim pair rows, never the sentence arrays
-    is_single = F.col("second").isNull()
-    for name, value, applies in (
-        ("targets", F.col("first"), is_single),
-        ("first", F.col("first"), ~is_single),
-        ("second", F.col("second"), ~is_single),
-        ("contexts", F.col("context"), None),
+    return keep_listed_pairs(pairs, F.size("t_positions") == 1, targets, first, second, contexts)
+
+
+def keep_listed_pairs(
+    pairs: DataFrame, is_single: Column, targets: Words, first: Words, second: Words, contexts: Words
+) -> DataFrame:
+    """The list tests of :func:`extract_pairs`, on pairs or on counts of pairs."""
+    for column, words, applies in (
+        ("first", targets, is_single),
+        ("first", first, ~is_single),
+        ("second", second, ~is_single),
+        ("context", contexts, None),
     ):
-        words = lists[name]
-        if words is not None and words.inline is None:
-            pairs = keep_listed(pairs, value, words, applies)
+        listed = word_table(pairs.sparkSession, words)
+        if listed is not None:
+            pairs = keep_listed(pairs, F.col(column), listed, applies, empty_keeps_all=column == "context")
     return pairs
 
 
-def skipped_matches(sentences: DataFrame, matchers: Sequence[Matcher]) -> DataFrame:
-    """How many matches of three or more tokens take no part in the pairs, per length."""
-    found = F.concat(*[m.matches(TOKENS) for m in matchers])
-    lengths = sentences.select(F.explode_outer(F.transform(found, F.size)).alias("n_tokens"))
-    return lengths.where("n_tokens > 2").groupBy("n_tokens").agg(F.count("*").alias("matches"))
+def tokens_without_text(sentences: DataFrame, template: str = DEFAULT_FORMAT) -> DataFrame:
+    """``keys, positions`` of tokens that lack a field of the template and so form no pairs."""
+    texts = format_tokens(TOKENS, template)
+    places = F.filter(F.transform(texts, lambda t, i: F.when(t.isNull(), i)), lambda i: i.isNotNull())
+    rows = sentences.select(*key_columns(sentences), places.alias("positions"))
+    return where_here(rows, F.size("positions") > 0)
 
 
 def match_rows(sentences: DataFrame, matchers: Sequence[Matcher]) -> DataFrame:
     """One row per match: positions and their texts, same positions once."""
     keys = key_columns(sentences)
-    found = [m.matches(TOKENS) for m in matchers]
-    found = found[0] if len(found) == 1 else F.array_distinct(F.concat(*found))
     texts = format_tokens(TOKENS, DEFAULT_FORMAT)
     return (
-        sentences.select(*keys, texts.alias("_t"), F.explode_outer(found).alias("positions"))
+        prepared(sentences, matchers)
+        .select(*keys, texts.alias("_t"), all_matches(matchers).alias("_m"))
+        .select(*keys, "_t", F.explode_outer("_m").alias("positions"))
         .where("positions IS NOT NULL")
         .withColumn("words", F.transform("positions", lambda p: F.get("_t", p)))
         .drop("_t")

@@ -26,7 +26,7 @@ from arcwindow.operators.graph import dep_edges, dot_graphs
 from arcwindow.operators.grep import grep
 from arcwindow.operators.heads import contentful_noun_heads
 from arcwindow.operators.matchers import DependencyArcs, LinearPhrases, Unigrams
-from arcwindow.operators.order import running_totals
+from arcwindow.operators.order import row_numbers
 from arcwindow.operators.split import split_by_sentences, split_by_texts
 from arcwindow.operators.trim import Pivots, trim
 from arcwindow.operators.vocabulary import decode, encode
@@ -44,14 +44,14 @@ from arcwindow.sources.annotated import (
     documents,
     sentence_count,
 )
-from arcwindow.sources.corpus import read_corpus, read_texts
+from arcwindow.sources.corpus import PIECE_ORDER, read_corpus, read_texts
 from arcwindow.sources.counts import read_counts
 from arcwindow.sources.pairs import read_pairs
 from arcwindow.streaming.counts import stream_counts, stream_merge
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-KEYS = ["doc_id", "sent_idx", "seg"]
+KEYS = ["doc_id", "sent_idx"]
 ADJECTIVE_OF_NOUN = DependencyArcs(dependent=TokenTest(pos="JJ"), head=TokenTest(pos="N"))
 ADJECTIVE_NOUN = LinearPhrases("T<pos=JJ>T<pos=NN.?>")
 
@@ -138,12 +138,11 @@ def whole_sentence_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def whole_sentence_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with different templates, and giant sentences spread out."""
+    """The same with different templates, and sentences in small blocks."""
     counts = whole_sentence_counts(
         document_sentences(spark, sf_dir),
         target_format="{lemma}",
         context_format="{pos}",
-        balance=True,
         block=16,
     )
     return counts
@@ -226,7 +225,7 @@ def listed_row_col_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets and contexts as list indices, and the indices read back."""
     words = benchmark_words(spark, sf_dir)
-    words = running_totals(words, ["word"], {"n": F.lit(1)}).select("word", (F.col("n") - 1).alias("id"))
+    words = row_numbers(words, ["word"], "n").select("word", (F.col("n") - 1).alias("id"))
     counts = cooccurrence_counts(
         document_sentences(spark, sf_dir),
         window=1,
@@ -383,14 +382,14 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def markup(sent_idx: int, line: Column) -> DataFrame:
         return texts.select(
-            "doc_id", F.lit(sent_idx).alias("sent_idx"), F.lit(0).alias("seg"), line.alias("value")
+            "doc_id", F.lit(sent_idx).alias("sent_idx"), line.alias("value")
         )
 
     corpus, out = scratch_path(spark, "texts"), scratch_path(spark, "parts")
     lines = body.unionByName(markup(-1, opening)).unionByName(markup(1 << 62, F.lit("</text>")))
     write_lines(lines, "value", corpus, order=KEYS)
     pieces = read_texts(spark, corpus)
-    write_parts(split_by_sentences(pieces, ["file", "piece"], 50), out, ["file", "piece"])
+    write_parts(split_by_sentences(pieces, PIECE_ORDER, 50), out, PIECE_ORDER)
     part = F.regexp_extract("sent_key.file", "out=([0-9]+)", 1).cast("bigint")
     found = read_corpus(spark, out).select(part.alias("part"), F.size(TOKENS["id"]).alias("n"))
     return found.groupBy("part").agg(F.count("*").alias("sentences"), F.sum("n").alias("tokens"))
@@ -403,10 +402,11 @@ def merged_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of documents, to which counts of conversations are added."""
     arcs = dict(window=2, unigrams=False, compositions=[ADJECTIVE_OF_NOUN])
     store = CountStore(spark, scratch_path(spark, "store"))
-    store.add(cooccurrence_counts(document_sentences(spark, sf_dir), **arcs), batch=0)
+    documents_ = cooccurrence_counts(document_sentences(spark, sf_dir), **arcs)
+    store.add(documents_, batch=0, source="documents", unique=True)
     new = cooccurrence_counts(conversation_sentences(spark, sf_dir), **arcs)
-    store.add(new, batch=1)
-    store.add(new, batch=1)  # comes again: must change nothing
+    store.add(new, batch=0, source="conversations", unique=True)
+    store.add(new, batch=0, source="conversations", unique=True)  # comes again: must change nothing
     return store.read()
 
 
@@ -423,8 +423,12 @@ def sorted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("pivot", "context", "occurrences", second_part(F.col("pivot")).alias("second"))
 
 
-def _write_sentences(spark: SparkSession, sf_dir: str, compression: str | None = None) -> str:
+def _write_sentences(
+    spark: SparkSession, sf_dir: str, compression: str | None = None, files: int | None = None
+) -> str:
     sentences = document_sentences(spark, sf_dir)
+    if files:
+        sentences = sentences.repartition(files, *KEYS)
     place = F.concat_ws(":", *KEYS)
     opening = F.array(F.concat(F.lit('<text id="'), place, F.lit('">')), F.lit("<s>"))
     path = scratch_path(spark, "corpus")
@@ -449,10 +453,9 @@ def corpus_files_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One token block per record: here an opening line follows every boundary line."""
+    """Files cut anywhere, a record per sentence."""
     path = _write_sentences(spark, sf_dir)
-    corpus = read_corpus(spark, path, layout="splits", boundary="\n<text ")
-    return _read_back(corpus)
+    return _read_back(read_corpus(spark, path, layout="splits"))
 
 
 def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -476,8 +479,9 @@ def count_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corpus files counted by a stream that keeps running totals."""
-    counts = stream_counts(spark, _write_sentences(spark, sf_dir), [ADJECTIVE_OF_NOUN], BagOfWords(2))
+    """Corpus files counted by a stream that keeps running totals, a file at a time."""
+    folder = _write_sentences(spark, sf_dir, files=4)
+    counts = stream_counts(spark, folder, [ADJECTIVE_OF_NOUN], BagOfWords(2), files_per_batch=1)
     path, name = scratch_path(spark, "stream"), f"streamed_{abs(hash(sf_dir))}"
 
     def keep(batch: DataFrame, batch_id: int) -> None:
@@ -492,9 +496,9 @@ def streamed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus files counted batch by batch, each batch added to a store."""
     path = scratch_path(spark, "merge")
     store = CountStore(spark, f"{path}/store")
-    folder = _write_sentences(spark, sf_dir)
+    folder = _write_sentences(spark, sf_dir, files=4)
     stream_merge(
-        spark, folder, store, f"{path}/state", [ADJECTIVE_OF_NOUN], BagOfWords(2)
+        spark, folder, store, f"{path}/state", [ADJECTIVE_OF_NOUN], BagOfWords(2), files_per_batch=1
     ).awaitTermination()
     return store.read()
 

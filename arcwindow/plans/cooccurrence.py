@@ -14,9 +14,15 @@ from arcwindow.operators.counting import (
     whole_sentence_counts,
     with_space,
 )
-from arcwindow.operators.filters import WordList, Words, keep_listed
+from arcwindow.operators.filters import Words
 from arcwindow.operators.matchers import Matcher, Unigrams
-from arcwindow.operators.windows import BagOfWords, FeatureExtractor, can_halve, extract_pairs
+from arcwindow.operators.windows import (
+    BagOfWords,
+    FeatureExtractor,
+    can_halve,
+    extract_pairs,
+    keep_listed_pairs,
+)
 
 
 def only_content(sentences: DataFrame) -> DataFrame:
@@ -61,12 +67,8 @@ def cooccurrence_counts(
         return filter_counts(counts, token_sep=token_sep, rows=rows, cols=cols)
     matchers = ([Unigrams()] if unigrams else []) + list(compositions)
     features = features or BagOfWords(window)
-    spark = sentences.sparkSession
     lists = dict(targets=targets, first=first, second=second, contexts=contexts)
-    lists = {name: WordList.of(spark, words) for name, words in lists.items()}
-    long = {name for name, words in lists.items() if words is not None and words.inline is None}
-    # short lists are better applied before counting than pairs are halved
-    unlisted = all(words is None for words in (targets, contexts, rows, cols))
+    unlisted = all(words is None for words in lists.values())
     pairs = extract_pairs(
         sentences,
         matchers,
@@ -74,25 +76,16 @@ def cooccurrence_counts(
         target_format=target_format,
         context_format=context_format,
         token_sep=token_sep,
-        **{name: words for name, words in lists.items() if name not in long},
         halves=unlisted and can_halve(matchers, features, target_format == context_format),
     )
-    if not long:
+    if unlisted:
         return count_pairs(pairs, token_sep=token_sep, rows=rows, cols=cols)
 
-    # Lists too long for the plan meet counts, where each pair is one row, and not pairs.
-    counts = pairs.groupBy("first", "second", "context").agg(F.count("*").alias("occurrences"))
-    single = F.col("second").isNull()
-    tests = {
-        "targets": ("first", single),
-        "first": ("first", ~single),
-        "second": ("second", ~single),
-        "contexts": ("context", None),
-    }
-    for name in long:
-        column, applies = tests[name]
-        counts = keep_listed(counts, F.col(column), lists[name], applies)
-    pivot = F.concat_ws(token_sep, "first", "second").alias("pivot")
-    counts = counts.select(pivot, "context", "occurrences")
+    # Lists meet counts, where each pair is one row, and not pairs.
+    single = (F.size("t_positions") == 1).alias("_single")
+    counts = pairs.groupBy(F.col("target").alias("pivot"), "first", "second", "context", single).agg(
+        F.count("*").alias("occurrences")
+    )
+    counts = keep_listed_pairs(counts, F.col("_single"), **lists)
     counts = counts.groupBy("pivot", "context").agg(F.sum("occurrences").alias("occurrences"))
     return filter_counts(with_space(counts, token_sep), token_sep=token_sep, rows=rows, cols=cols)

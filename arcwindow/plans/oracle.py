@@ -12,14 +12,14 @@ def _annotated(source: str, keys: str, name: str) -> str:
     place = f"{keys}, sent_idx"
     return f"""
 {name}_sent AS (SELECT {keys}, unnest(range(len(l))) AS sent_idx, unnest(l) AS line
-  FROM (SELECT {keys}, string_split(text, chr(10)) AS l FROM {source})),
+  FROM (SELECT {keys}, string_split(regexp_replace(text, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)) AS l FROM {source})),
 {name}_raw AS (SELECT {place}, unnest(range(len(l))) AS k,
     regexp_replace(unnest(l), '[^\\p{{L}}]', '', 'g') AS word
   FROM (SELECT {place}, string_split(line, ' ') AS l FROM {name}_sent)),
 {name}_w0 AS (SELECT {place}, word, lower(word) AS lemma,
     row_number() OVER (PARTITION BY {place} ORDER BY k) - 1 AS rn FROM {name}_raw WHERE word <> ''),
-{name}_w AS (SELECT {place}, rn // 40 AS seg, rn % 40 + 1 AS id, word, lemma,
-    count(*) OVER (PARTITION BY {place}, rn // 40) AS n FROM {name}_w0),
+{name}_w AS (SELECT {place}, rn + 1 AS id, word, lemma,
+    count(*) OVER (PARTITION BY {place}) AS n FROM {name}_w0),
 {name}_p AS (SELECT *,
     CASE WHEN lemma LIKE '%ing' THEN 'VVG' WHEN lemma LIKE '%ed' OR lemma LIKE '%en' THEN 'VVD'
       WHEN lemma LIKE '%ly' THEN 'RB' WHEN lemma LIKE '%ble' THEN 'JJ' WHEN lemma LIKE '%tion' THEN 'NN'
@@ -27,7 +27,7 @@ def _annotated(source: str, keys: str, name: str) -> str:
       WHEN length(lemma) % 5 = 1 THEN 'NNS' WHEN length(lemma) % 5 = 2 THEN 'VVZ' ELSE 'NN' END AS pos,
     CASE WHEN id = 1 THEN 0 WHEN (id * 7 + length(lemma)) % n + 1 = id THEN id - 1
       ELSE (id * 7 + length(lemma)) % n + 1 END AS dep_id FROM {name}_w),
-{name} AS (SELECT {place}, seg, id, n, word, lemma, pos, dep_id, lower(substr(pos, 1, 1)) AS cat,
+{name} AS (SELECT {place}, id, n, word, lemma, pos, dep_id, lower(substr(pos, 1, 1)) AS cat,
     lemma || '-' || lower(substr(pos, 1, 1)) AS t,
     CASE WHEN dep_id = 0 THEN 'ROOT' WHEN pos = 'JJ' THEN 'NMOD'
       WHEN pos LIKE 'N%' AND length(lemma) % 2 = 0 THEN 'SBJ' WHEN pos LIKE 'N%' THEN 'OBJ'
@@ -41,7 +41,7 @@ BENCH = """
 bench AS (SELECT DISTINCT word FROM (SELECT lower(regexp_replace(unnest(
     string_split_regex(text, '[ \\n]')), '[^\\p{L}]', '', 'g')) AS word FROM benchmark) WHERE word <> '')"""
 TALK_WORDS = "talk_words AS (SELECT DISTINCT lemma AS word FROM talk)"
-SENT = "doc_id, sent_idx, seg"
+SENT = "doc_id, sent_idx"
 
 
 def _with(*ctes: str) -> str:
@@ -97,7 +97,7 @@ targets AS (SELECT {SENT}, id AS di, NULL AS hi, id AS l, id AS r, t AS pivot FR
 
 # A document as one chunk: places run on, and for each id the last token is the target.
 CHUNK = """
-chunk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx, seg, id) AS place FROM tok),
+chunk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx, id) AS place FROM tok),
 by_id AS (SELECT * FROM chunk QUALIFY row_number() OVER (PARTITION BY doc_id, id ORDER BY place DESC) = 1)"""
 
 TOKEN_ROWS = f"SELECT {SENT}, id, dep_id, word, lemma, pos, dep_rel"
@@ -151,12 +151,12 @@ MERGED = _with(
     TALK,
     ARCS,
     """
-talk_arcs AS (SELECT conv_id, turn, sent_idx, seg, least(d.id, h.id) AS l, greatest(d.id, h.id) AS r,
-    d.t || '<-->' || h.t AS pivot FROM talk d JOIN talk h USING (conv_id, turn, sent_idx, seg)
+talk_arcs AS (SELECT conv_id, turn, sent_idx, least(d.id, h.id) AS l, greatest(d.id, h.id) AS r,
+    d.t || '<-->' || h.t AS pivot FROM talk d JOIN talk h USING (conv_id, turn, sent_idx)
   WHERE d.dep_id = h.id AND d.pos LIKE 'JJ%' AND h.pos LIKE 'N%')""",
 ) + f"""SELECT 'peripheral' AS space, "pivot", context, count(*) AS occurrences FROM (
   SELECT a.pivot, c.t AS context FROM {_arc_pairs(2)}
-  UNION ALL SELECT a.pivot, c.t FROM {_arc_pairs(2, 'talk_arcs', 'talk', 'conv_id, turn, sent_idx, seg')})
+  UNION ALL SELECT a.pivot, c.t FROM {_arc_pairs(2, 'talk_arcs', 'talk', 'conv_id, turn, sent_idx')})
 GROUP BY 1, 2, 3"""
 
 ROUND_TRIP = _with(TOK) + f"{TOKEN_ROWS} FROM tok"
@@ -315,7 +315,7 @@ bodies AS (SELECT {SENT}, row_number() OVER (ORDER BY {SENT}) - 1 AS number, str
     "parts_by_sentences": _with(TOK, PIECES, WALK)
     + "SELECT doc_id, n_sentences, part FROM pieces JOIN walk USING (rn)",
     "part_files": _with(TOK, PIECES, WALK)
-    + """SELECT part, count(DISTINCT (doc_id, sent_idx, seg)) AS sentences, count(*) AS tokens
+    + """SELECT part, count(DISTINCT (doc_id, sent_idx)) AS sentences, count(*) AS tokens
 FROM tok JOIN pieces USING (doc_id) JOIN walk USING (rn) GROUP BY part""",
     "merged_counts": MERGED,
     "union_counts": MERGED,

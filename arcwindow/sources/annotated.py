@@ -2,18 +2,18 @@
 
 Tables of prose carry no dependency parse. This adapter gives every word a tag, a head
 and a relation by a fixed rule (arbitrary as linguistics, but deterministic), so that
-all operators can run over such tables. A sentence is a line of the text, cut into runs
-of ``SENTENCE_LENGTH`` words; nothing is left out.
+all operators can run over such tables. A sentence ends where its text says so: at a line
+end, or at a full stop, exclamation or question mark before a space. Nothing is left out,
+however long a sentence is.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from arcwindow.functions.tokens import LINE_FIELDS
-
-SENTENCE_LENGTH = 40
-
+# What ends a sentence inside a line, and what words are made of.
+SENTENCE_END = "([.!?]) "
+NO_LETTER = r"[^\p{L} ]"
 
 # The rule, over a lemma l at index i of a sentence of n words (SQL, for Spark).
 TAG = """CASE WHEN l LIKE '%ing' THEN 'VVG' WHEN l LIKE '%ed' OR l LIKE '%en' THEN 'VVD'
@@ -27,69 +27,74 @@ RELATION = """CASE WHEN p = 'JJ' THEN 'NMOD' WHEN p LIKE 'N%' AND length(l) % 2
   ELSE 'DEP' END"""
 
 
+def rule(lemmas: str) -> dict[str, str]:
+    """SQL for the annotations of a sentence, given SQL for its lemmas."""
+    tags = f"transform({lemmas}, l -> {TAG})"
+    head = HEAD.replace(" n ", f" size({lemmas}) ")
+    return {
+        "pos": tags,
+        "id": f"transform({lemmas}, (l, i) -> string(i + 1))",
+        "dep_id": f"transform({lemmas}, (l, i) -> string({head}))",
+        # the first word is the only root
+        "dep_rel": f"transform(zip_with({lemmas}, {tags}, (l, p) -> {RELATION}), (r, i) -> IF(i = 0, 'ROOT', r))",
+    }
+
+
+ROW_OF_SENTENCE = "struct(" + ", ".join(f"{sql} AS {name}" for name, sql in rule("ls").items()) + ")"
+
+
 def annotate(sentences: DataFrame) -> DataFrame:
     """Add tags, heads and relations to ``tok_word`` and ``tok_lemma``."""
-    tagged = sentences.withColumn("tok_pos", F.expr(f"transform(tok_lemma, l -> {TAG})"))
-    head = HEAD.replace(" n ", " size(tok_lemma) ")
-    # the first word is the only root
-    relations = f"transform(zip_with(tok_lemma, tok_pos, (l, p) -> {RELATION}), (r, i) -> IF(i = 0, 'ROOT', r))"
-    return tagged.withColumns(
-        {
-            "tok_id": F.expr("transform(tok_lemma, (l, i) -> string(i + 1))"),
-            "tok_dep_id": F.expr(f"transform(tok_lemma, (l, i) -> string({head}))"),
-            "tok_dep_rel": F.expr(relations),
+    return sentences.withColumns(
+        {f"tok_{name}": F.expr(sql) for name, sql in rule("tok_lemma").items()}
+        | {
             "tok_line": F.expr("CAST(NULL AS ARRAY<STRING>)"),
             "tok_n_fields": F.expr("CAST(NULL AS ARRAY<INT>)"),
         }
     )
 
 
-def words_of_lines(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys, sent_idx, _words, _lemmas``: the words of every line and their lowered forms."""
-    lines = texts.select(*keys, F.posexplode(F.split(text, "\n", -1)).alias("sent_idx", "_line"))
-    letters = lines.select(*keys, "sent_idx", F.regexp_replace("_line", r"[^\p{L} ]", "").alias("_letters"))
-    return letters.select(
-        *keys,
-        F.col("sent_idx").cast("bigint").alias("sent_idx"),
-        F.expr("filter(split(_letters, ' ', -1), w -> w <> '')").alias("_words"),
-        F.expr("filter(split(lower(_letters), ' ', -1), w -> w <> '')").alias("_lemmas"),
-    )
+def lines_of(text: Column) -> Column:
+    """The sentences of a text, as its letters and spaces."""
+    lines = F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n", -1)
+    return F.transform(lines, lambda line: F.regexp_replace(line, NO_LETTER, ""))
+
+
+def words_of(letters: Column) -> Column:
+    return F.filter(F.split(letters, " ", -1), lambda w: w != "")
 
 
 def annotated_sentences(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys, sent_idx, seg`` and token arrays for every line of every text; no shuffle."""
-    n = SENTENCE_LENGTH
-    # the runs of a line, none for a line without words
-    runs = words_of_lines(texts, keys, text).select(
+    """``keys, sent_idx`` and token arrays for every sentence of every text; no shuffle."""
+    lines = texts.select(*keys, F.posexplode_outer(lines_of(F.col(text))).alias("sent_idx", "_letters"))
+    # a sentence without words is none
+    worded = lines.where(F.trim("_letters") != "").select(
         *keys,
-        "sent_idx",
-        "_words",
-        "_lemmas",
-        F.expr(
-            f"explode_outer(IF(size(_words) > 0, sequence(0, (greatest(size(_words), 1) - 1) div {n}), NULL))"
-        ).alias("seg"),
-    )
-    cut = runs.where("seg IS NOT NULL").select(
-        *keys,
-        "sent_idx",
-        "seg",
-        F.expr(f"slice(_words, int(seg) * {n} + 1, {n})").alias("tok_word"),
-        F.expr(f"slice(_lemmas, int(seg) * {n} + 1, {n})").alias("tok_lemma"),
+        F.col("sent_idx").cast("bigint").alias("sent_idx"),
+        words_of(F.col("_letters")).alias("tok_word"),
+        words_of(F.lower("_letters")).alias("tok_lemma"),
     )
-    return annotate(cut)
+    return annotate(worded)
 
 
 def annotated_texts(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys`` and token arrays with a whole text as one chunk: ids start again per sentence."""
-    names = [f"tok_{f}" for f in LINE_FIELDS]
-    sentences = annotated_sentences(texts, keys, text)
-    # a text is one row of the input table, so a group is never more than a row was
-    chunks = sentences.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("sent_idx", "seg", *names))).alias("_s")
+    """``keys`` and token arrays with a whole text as one chunk: ids start again per sentence.
+
+    The arrays are built inside the row of the text, so nothing is shuffled.
+    """
+
+    lines = F.filter(lines_of(F.col(text)), lambda letters: F.trim(letters) != "")
+    sentences = texts.select(
+        *keys,
+        F.transform(lines, words_of).alias("_words"),
+        F.transform(lines, lambda letters: words_of(F.lower(letters))).alias("_lemmas"),
     )
-    return chunks.select(
+    rows = sentences.select("*", F.expr(f"transform(_lemmas, ls -> {ROW_OF_SENTENCE})").alias("_s"))
+    return rows.select(
         *keys,
-        *[F.flatten(F.col("_s")[name]).alias(name) for name in names],
+        F.flatten("_words").alias("tok_word"),
+        F.flatten("_lemmas").alias("tok_lemma"),
+        *[F.flatten(F.col("_s")[name]).alias(f"tok_{name}") for name in ("pos", "id", "dep_id", "dep_rel")],
         F.expr("CAST(NULL AS ARRAY<STRING>)").alias("tok_line"),
         F.expr("CAST(NULL AS ARRAY<INT>)").alias("tok_n_fields"),
     )
@@ -97,25 +102,22 @@ def annotated_texts(texts: DataFrame, keys: list[str], text: str = "text") -> Da
 
 def sentence_count(text: str = "text") -> Column:
     """Number of sentences ``annotated_sentences`` makes of a text."""
-    lines = F.split(F.regexp_replace(text, r"[^\p{L} \n]", ""), "\n", -1)
+    return F.size(F.filter(lines_of(F.col(text)), lambda letters: F.trim(letters) != "")).cast("bigint")
 
-    def runs(line: Column) -> Column:
-        n = F.size(F.filter(F.split(line, " ", -1), lambda w: w != ""))
-        return F.ceil(n / SENTENCE_LENGTH).cast("bigint")
 
-    return F.aggregate(F.transform(lines, runs), F.lit(0).cast("bigint"), lambda a, n: a + n)
+#: Session setting: number of partitions in which the given tables are read. A table that lies in
+#: one block is one task without it; tables of many blocks need no such setting.
+INPUT_PARTITIONS = "spark.arcwindow.inputPartitions"
 
 
-def spread(df: DataFrame, *key: str) -> DataFrame:
-    """Use all cores on an input of few splits; an input of many splits is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    n = spark.conf.get(INPUT_PARTITIONS, None)
+    return rows.repartition(int(n), *columns[:-1]) if n else rows
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(
-        spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id"
-    )
+    return table(spark, sf_dir, "documents", "doc_id", "text")
 
 
 def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,8 +132,7 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotated sentences of the ``conversations`` table."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
-    return annotated_sentences(spread(turns, "conv_id", "turn"), ["conv_id", "turn"])
+    return annotated_sentences(table(spark, sf_dir, "conversations", "conv_id", "turn", "text"), ["conv_id", "turn"])
 
 
 def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:

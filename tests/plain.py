@@ -61,7 +61,7 @@ def contexts(n: int, match: tuple[int, ...], w: int | None) -> list[tuple[int, s
 def count(sentences, matchers, w=None, fmt="{lemma}-{cat}", sep="<-->") -> Counter:
     total = Counter()
     for s in sentences:
-        targets = {m for matcher in matchers for m in matcher(s) if len(m) <= 2}
+        targets = {m for matcher in matchers for m in matcher(s)}
         for m in targets:
             pivot = sep.join(text_of(s[i], fmt) for i in m)
             for p, _ in contexts(len(s), m, w):

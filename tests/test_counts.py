@@ -13,7 +13,7 @@ from arcwindow.operators.vocabulary import decode, encode
 from arcwindow.operators.windows import BagOfWords, extract_pairs
 from arcwindow.plans.cooccurrence import cooccurrence_counts
 from arcwindow.sinks.counts import CountStore, export_counts, write_counts, write_pairs
-from arcwindow.sources.corpus import read_corpus
+from arcwindow.sources.corpus import read_bad_sentences_stream, read_corpus
 from arcwindow.sources.counts import read_counts
 from arcwindow.sources.pairs import bad_pair_lines, read_pairs
 from arcwindow.sources.words import read_words
@@ -93,10 +93,10 @@ def test_store(spark, tmp_path):
     first = table(spark, [("core", "a", "x", 1), ("core", "a", "y", 2)])
     assert store.add(first, batch=0)
     assert not store.add(first, batch=0)
-    # a version without its row, from a job that died, is not in force and gets replaced
-    first.write.parquet(str(tmp_path / "store" / "counts-2"))
+    # a table without its version, from a job that died, is not in force
+    first.write.parquet(str(tmp_path / "store" / "tier0-left"))
     assert store.version() == 1
-    assert store.add(table(spark, [("core", "a", "y", 5), ("peripheral", "a<-->b", "x", 1)]))
+    assert store.add(table(spark, [("core", "a", "y", 5), ("peripheral", "a<-->b", "x", 1)]), unique=True)
     assert counted(store.read()) == {
         ("core", "a", "x"): 1,
         ("core", "a", "y"): 7,
@@ -105,12 +105,39 @@ def test_store(spark, tmp_path):
     assert store.version() == 2
 
 
+def test_store_tells_sources_apart(spark, tmp_path):
+    """Batch 0 of two sources, or of a stream with a new checkpoint, are two batches."""
+    store = CountStore(spark, str(tmp_path / "store"))
+    one = table(spark, [("core", "a", "x", 1)])
+    assert store.add(one, batch=0, source="s")
+    assert store.add(one, batch=0, source="t")
+    assert not store.add(one, batch=0, source="t")
+    assert counted(store.read()) == {("core", "a", "x"): 2}
+
+
+def test_store_fails_when_the_version_moved(spark, tmp_path):
+    store, other = (CountStore(spark, str(tmp_path / "store")) for _ in range(2))
+    store.add(table(spark, [("core", "a", "x", 1)]), batch=0, source="s")
+    seen = other._current()
+    store.add(table(spark, [("core", "a", "x", 2)]), batch=1, source="s")
+    other._current = lambda: seen  # as if it had looked before the addition
+    with pytest.raises(RuntimeError, match="another writer"):
+        other.add(table(spark, [("core", "a", "x", 100)]), batch=0, source="t")
+    assert counted(store.read()) == {("core", "a", "x"): 3}
+    assert CountStore(spark, store.path).add(table(spark, [("core", "a", "x", 100)]), batch=0, source="t")
+    assert counted(store.read()) == {("core", "a", "x"): 103}
+
+
 def test_store_merges_its_tables(spark, tmp_path):
     store = CountStore(spark, str(tmp_path / "store"), merge_after=2)
-    for i in range(6):
+    for i in range(7):
         store.add(table(spark, [("core", "a", "x", 1), ("core", "a", str(i), i)]), batch=i)
-    assert counted(store.read()) == {("core", "a", "x"): 6, **{("core", "a", str(i)): i for i in range(6)}}
-    assert store._current() == (6, ["merged-5", "counts-6"])
+    assert counted(store.read()) == {("core", "a", "x"): 7, **{("core", "a", str(i)): i for i in range(7)}}
+    version, tables = store._current()
+    assert version == 7 and sorted(t.split("-")[0] for t in tables) == ["tier0", "tier1", "tier2"]
+    on_disk = {p.name for p in (tmp_path / "store").iterdir()} - {"versions"}
+    # those of the version before are still there for its readers
+    assert set(tables) <= on_disk and len(on_disk) <= 4
 
 
 def test_export(spark, tmp_path):
@@ -149,8 +176,38 @@ def test_streams(spark, tmp_path):
     stream_merge(spark, str(folder), store, state, matchers, window).awaitTermination()
     assert counted(store.read()) == want(3)
 
-    running = stream_counts(spark, str(folder), matchers, window)
+    # another checkpoint starts at batch 0 again, and its batches are others
+    stream_merge(
+        spark, str(folder), store, str(tmp_path / "other"), matchers, window, files_per_batch=1
+    ).awaitTermination()
+    assert counted(store.read()) == {k: 2 * n for k, n in want(3).items()}
+    assert store.version() >= 6
+
+    running = stream_counts(spark, str(folder), matchers, window, files_per_batch=1)
     query = running.writeStream.outputMode("complete").format("memory").queryName("running").start()
     query.processAllAvailable()
     query.stop()
     assert counted(spark.table("running")) == want(3)
+
+
+def test_bad_sentences_of_streams(spark, tmp_path):
+    folder = tmp_path / "arriving"
+    folder.mkdir()
+    good = plain.corpus(sentences(34, 4))
+    write(folder, good + "<s>\nred\tred\n</s>\n", "a.txt")
+    store, bad = CountStore(spark, str(tmp_path / "store")), str(tmp_path / "bad")
+    stream_merge(
+        spark, str(folder), store, str(tmp_path / "state"), [Unigrams()], BagOfWords(2), bad_path=bad
+    ).awaitTermination()
+    assert counted(store.read()) == counted(cooccurrence_counts(read_corpus(spark, str(folder)), window=2))
+    (row,) = spark.read.parquet(bad).collect()
+    assert row["file"].endswith("a.txt") and "red\tred" in row["lines"]
+    query = read_bad_sentences_stream(spark, str(folder)).writeStream.format("memory").queryName("bad").start()
+    query.processAllAvailable()
+    query.stop()
+    assert spark.table("bad").count() == 1
+    with pytest.raises(Exception, match="bad sentence"):
+        stream_merge(
+            spark, str(folder), CountStore(spark, str(tmp_path / "strict")), str(tmp_path / "state2"),
+            [Unigrams()], BagOfWords(2), mode="failfast",
+        ).awaitTermination()

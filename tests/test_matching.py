@@ -22,8 +22,7 @@ from arcwindow.operators.matchers import (
     Unigrams,
     composition_matchers,
 )
-from arcwindow.operators import filters, windows
-from arcwindow.operators.windows import BagOfWords, extract_pairs, match_rows, skipped_matches
+from arcwindow.operators.windows import BagOfWords, extract_pairs, match_rows, tokens_without_text
 from arcwindow.plans.cooccurrence import cooccurrence_counts, only_content
 from arcwindow.sinks.corpus import sentence_text
 from arcwindow.sources.corpus import read_corpus
@@ -95,7 +94,7 @@ def test_whole_sentence_forms_agree(spark, tmp_path):
     ):
         listed = count_pairs(extract_pairs(df, [Unigrams()], **options))
         assert counted(whole_sentence_counts(df, **options)) == counted(listed)
-        spread = whole_sentence_counts(df, balance=True, block=2, **options)
+        spread = whole_sentence_counts(df, block=2, **options)
         assert counted(spread) == counted(listed)
 
 
@@ -192,11 +191,104 @@ def test_rejected_patterns(pattern):
         LinearPhrases(pattern)
 
 
-def test_long_phrases_have_no_features(spark, tmp_path):
+def test_phrases_of_any_number_of_tokens(spark, tmp_path):
     red = read_corpus(spark, write(tmp_path, RED_CAR))
-    long = [LinearPhrases("T<>{3}"), LinearPhrases("T<pos=JJ>")]
-    assert {r.target for r in extract_pairs(red, long).collect()} == {"red-j"}
-    assert [(r.n_tokens, r.matches) for r in skipped_matches(red, long).collect()] == [(3, 2)]
+    pairs = extract_pairs(red, [LinearPhrases("T<>{3}"), LinearPhrases("T<pos=JJ>")], BagOfWords(1)).collect()
+    assert {(p.target, p.context, p.marker) for p in pairs} == {
+        ("the-d<-->red-j<-->car-n", "have-v", "r"),
+        ("have-v<-->be-v<-->sell-v", "car-n", "l"),
+        ("red-j", "the-d", "l"),
+        ("red-j", "car-n", "r"),
+    }
+    parsed = sentences(12, 25, 12)
+    df = corpus(spark, tmp_path, parsed)
+    phrase = "(T<pos=JJ>|T<pos=NN.?>)+T<>"
+
+    def runs(s):
+        text = "".join("x" if t["pos"] in ("JJ", "NN", "NNS") else "o" for t in s)
+        return [tuple(range(*m.span())) for m in re.finditer("x+.", text)]
+
+    for w in (None, 2):
+        got = counted(cooccurrence_counts(df, window=w, unigrams=False, compositions=[LinearPhrases(phrase)]))
+        assert got == plain.count(parsed, [runs], w)
+
+
+def test_texts_that_are_missing(spark, tmp_path):
+    """Tokens without the field of a template form no pairs, and are told."""
+    text = "<s>\na\ta\tNN\t1\t0\tX\nb\tb\tNN\t2\t1\nc\tc\tNN\t3\nd\td\tNN\t4\t1\tY\n</s>\n"
+    df = read_corpus(spark, write(tmp_path, text))
+    formats = dict(target_format="{dep_rel}", context_format="{dep_rel}")
+    want = {("X", "Y"): 1, ("Y", "X"): 1}
+    assert counted(cooccurrence_counts(df, window=9, **formats)) == want
+    assert counted(cooccurrence_counts(df, **formats)) == want
+    assert counted(count_pairs(extract_pairs(df, [Unigrams()], BagOfWords(9), halves=True, **formats))) == want
+    mixed = dict(target_format="{dep_rel}", context_format="{lemma}")
+    got = counted(cooccurrence_counts(df, **mixed))
+    assert {p for p, _ in got} == {"X", "Y"} and sum(got.values()) == 6
+    assert counted(cooccurrence_counts(df, window=9, **mixed)) == got
+    arc = DependencyArcs(dependent=TokenTest(word="b"))
+    assert cooccurrence_counts(df, window=9, unigrams=False, compositions=[arc], **formats).count() == 0
+    assert [r.positions for r in tokens_without_text(df, "{dep_rel}").collect()] == [[1, 2]]
+    assert tokens_without_text(df).count() == 0
+
+
+@pytest.mark.parametrize(
+    "pattern, plain_pattern",
+    [
+        ("(T<pos=JJ>|T<pos=RB>)*T<pos=NN>", "[JR]*N"),
+        ("(T<pos=JJ>T<pos=RB>)*T<pos=NN>", "(JR)*N"),
+        ("(?:(T<pos=JJ>)|(?:T<pos=RB>|T<pos=NN>))+", "[JRN]+"),
+        ("(T<pos=JJ>+T<pos=RB>?){2,}", "(J+R?){2,}"),
+    ],
+)
+def test_phrases_on_very_long_sentences(spark, pattern, plain_pattern):
+    """50,000 tokens in one sentence, also for patterns that repeat groups."""
+    rng = random.Random(13)
+    letters = "".join(rng.choice("JJJJJJRN" if i % 20_000 else "o") for i in range(50_000))
+    letters = "J" * 20_000 + "JR" * 5_000 + "N" + letters[:20_000]
+    tags = {"J": "JJ", "R": "RB", "N": "NN", "o": "XX"}
+    one = spark.range(1).select(
+        F.lit("w").alias("sent_key"),
+        F.split(F.lit(" ".join(tags[c] for c in letters)), " ").alias("tok_pos"),
+    )
+    fields = {f"tok_{f}": F.transform("tok_pos", lambda _, i: (i + 1).cast("string")) for f in ("id", "dep_id")}
+    fields |= {f"tok_{f}": F.transform("tok_pos", lambda _: F.lit("w")) for f in ("word", "lemma", "dep_rel")}
+    fields |= {"tok_line": F.lit(None).cast("array<string>"), "tok_n_fields": F.lit(None).cast("array<int>")}
+    found = match_rows(one.withColumns(fields), [LinearPhrases(pattern)])
+    got = sorted((r[0], r[1] + 1) for r in found.select(F.array_min("positions"), F.array_max("positions")).collect())
+    assert got == [m.span() for m in re.finditer(plain_pattern, letters)]
+
+
+def test_many_predicates(spark, tmp_path):
+    parsed = sentences(14, 30, 12)
+    df = corpus(spark, tmp_path, parsed)
+    tags = ["NN", "NNS", "JJ", "VVZ", "VVG", "VVD", "MD", "IN", "RB", "DT", "N"]
+    pattern = "(" + "|".join(f"T<pos={t},word={w}>" for t in tags for w in ("c.*", "[rR]ed")) + ")T<pos=JJ>*T<>"
+    found = {}
+    for r in match_rows(df, [LinearPhrases(pattern)]).collect():
+        found.setdefault(r.sent_key.seq, []).append(r.positions)
+
+    def letters(t):
+        return "x" if t["word"].lower() == "red" or t["word"].startswith("c") else "J" if t["pos"] == "JJ" else "o"
+
+    want = {}
+    for k, s in enumerate(parsed):
+        text = [(letters(t), t["pos"] == "JJ") for t in s]
+        spans, i = [], 0
+        while i < len(text):
+            if text[i][0] == "x":
+                j = i + 1
+                while j < len(text) and text[j][1]:
+                    j += 1
+                end = j + 1 if j < len(text) else j if j > i + 1 else None
+                if end is not None:
+                    spans.append(list(range(i, end)))
+                    i = end
+                    continue
+            i += 1
+        if spans:
+            want[k] = spans
+    assert {k: sorted(v) for k, v in found.items()} == want
 
 
 def test_list_rules(spark, tmp_path):
@@ -212,30 +304,47 @@ def test_list_rules(spark, tmp_path):
     assert {r.pivot for r in rows.collect()} == {"car-n", "the-d<-->car-n", "red-j<-->car-n"}
 
 
-def test_joined_lists_like_inline_lists(spark, tmp_path, monkeypatch):
+def listed_in_plain(parsed, lists, w):
+    """Counts of words and N arcs with all four lists, by plain Python."""
+    total = Counter()
+    for s in parsed:
+        for m in {*plain.unigrams(s), *plain.arcs(s, "N")}:
+            words = [s[i]["lemma"] for i in m]
+            if len(m) == 1 and words[0] not in lists["targets"]:
+                continue
+            if len(m) == 2 and (words[0] not in lists["first"] or words[1] not in lists["second"]):
+                continue
+            for p, _ in plain.contexts(len(s), m, w):
+                if s[p]["lemma"] in lists["contexts"]:
+                    total["<-->".join(words), s[p]["lemma"]] += 1
+    return total
+
+
+@pytest.mark.parametrize("as_table", [False, True])
+def test_lists_like_plain(spark, tmp_path, as_table):
     parsed = sentences(8, 20, 12)
     df = corpus(spark, tmp_path, parsed)
-    arc = [Unigrams(), DependencyArcs(relation="N")]
-    lemmas = dict(target_format="{lemma}", context_format="{lemma}")
-    lists = dict(
-        lemmas,
-        targets=["car", "red"],
-        first=["red", "the", "be", "car"],
-        second=["car", "red", "sell"],
-        contexts=["the", "car", "be"],
+    arc = DependencyArcs(relation="N")
+    plain_lists = dict(
+        targets=["car", "red"], first=["red", "the", "be", "car"], second=["car", "red", "sell"], contexts=["the", "car", "be"]
     )
-    keys = dict(rows=["car", "red"], cols=["the", "be"])
-    inline = counted(count_pairs(extract_pairs(df, arc, **lists), **keys))
-    everything = dict(lemmas, targets=lists["targets"], contexts=lists["contexts"])
-    whole = counted(whole_sentence_counts(df, **everything))
-    assert whole and {"<-->" in pivot for pivot, _ in inline} == {True, False}
-    original = filters.WordList.of.__func__
-    monkeypatch.setattr(
-        filters.WordList, "of", classmethod(lambda cls, spark, words, limit=0: original(cls, spark, words, 0))
-    )
-    assert windows.WordList.of(spark, ["a"]).inline is None
-    assert counted(count_pairs(extract_pairs(df, arc, **lists), **keys)) == inline
-    assert counted(whole_sentence_counts(df, **everything)) == whole
+    table = lambda ws: spark.createDataFrame([(w,) for w in [*ws, ws[0], None]], "word string") if as_table else ws
+    lists = {k: table(v) for k, v in plain_lists.items()}
+    lemmas = dict(target_format="{lemma}", context_format="{lemma}")
+    want = listed_in_plain(parsed, plain_lists, 3)
+    assert {"<-->" in pivot for pivot, _ in want} == {True, False}
+    assert counted(count_pairs(extract_pairs(df, [Unigrams(), arc], BagOfWords(3), **lists, **lemmas))) == want
+    assert counted(cooccurrence_counts(df, window=3, compositions=[arc], **lists, **lemmas)) == want
+    keyed = cooccurrence_counts(df, window=3, compositions=[arc], rows=table(["car"]), cols=table(["the"]), **lists, **lemmas)
+    assert counted(keyed) == {k: n for k, n in want.items() if k[0].split("<-->")[-1] == "car" and k[1] == "the"}
+    whole = dict(targets=lists["targets"], contexts=lists["contexts"], **lemmas)
+    single = {k: n for k, n in listed_in_plain(parsed, plain_lists, None).items() if "<-->" not in k[0]}
+    assert counted(whole_sentence_counts(df, **whole)) == single
+    empty = spark.createDataFrame([], "word string") if as_table else []
+    everything = counted(cooccurrence_counts(df, window=3, **lemmas))
+    assert counted(cooccurrence_counts(df, window=3, contexts=empty, rows=empty, **lemmas)) == everything
+    assert cooccurrence_counts(df, window=3, targets=empty, **lemmas).count() == 0
+    assert cooccurrence_counts(df, targets=empty, **lemmas).count() == 0
 
 
 def test_flagged_list(spark, tmp_path):
@@ -262,27 +371,6 @@ def test_flagged_phrase_list(spark, tmp_path):
         assert found == ([[0, 1, 2]] if text == RED_CAR else [[1, 2]])
 
 
-def test_long_lists_meet_counts(spark, tmp_path, monkeypatch):
-    df = corpus(spark, tmp_path, sentences(8, 20, 12))
-    options = dict(
-        window=3,
-        compositions=[DependencyArcs(relation="N")],
-        target_format="{lemma}",
-        context_format="{lemma}",
-        targets=["car", "red"],
-        first=["red", "the", "be", "car"],
-        second=["car", "red", "sell"],
-        contexts=["the", "car", "be"],
-    )
-    inline = counted(cooccurrence_counts(df, **options))
-    original = filters.WordList.of.__func__
-    monkeypatch.setattr(
-        filters.WordList, "of", classmethod(lambda cls, spark, words, limit=0: original(cls, spark, words, 0))
-    )
-    assert counted(cooccurrence_counts(df, **options)) == inline
-    assert {"<-->" in pivot for pivot, _ in inline} == {True, False}
-
-
 def test_only_content(spark, tmp_path):
     red = read_corpus(spark, write(tmp_path, RED_CAR))
     assert only_content(red).collect()[0].tok_lemma == ["red", "car", "have", "be", "sell"]
@@ -290,6 +378,8 @@ def test_only_content(spark, tmp_path):
 
 def test_grep(spark, tmp_path):
     red = read_corpus(spark, write(tmp_path, RED_CAR + RED_CAR.replace("red", "big").replace("JJ", "DT")))
+    repeated = grep(red, [LinearPhrases("(T<pos=JJ>T<>)+"), DependencyArcs(relation="SBJ")], intersect=True)
+    assert [r.matched for r in repeated.collect()] == [[1, 2, 3]]
     phrase, arc = LinearPhrases("T<pos=JJ>T<>"), DependencyArcs(relation="VC")
     assert [r.tok_is_match for r in grep(red, [phrase]).collect()] == [
         [False, True, True, False, False, False]
