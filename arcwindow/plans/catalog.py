@@ -7,13 +7,14 @@ first and read it back.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from arcwindow.functions.linear import Flagged, raw_field
 from arcwindow.functions.predicates import TokenTest
-from arcwindow.functions.tokens import LINE_FIELDS, TOKEN_COLUMNS, TOKENS, format_tokens
+from arcwindow.functions.tokens import LINE_FIELDS, TOKEN_COLUMNS, TOKENS, Tokens, format_tokens
 from arcwindow.operators.counting import (
     count_pairs,
     merge_counts,
@@ -33,9 +34,9 @@ from arcwindow.operators.vocabulary import decode, encode
 from arcwindow.operators.windows import BagOfWords, extract_pairs, match_rows
 from arcwindow.operators.word_stream import word_stream
 from arcwindow.plans.cooccurrence import cooccurrence_counts
-from arcwindow.plans.scratch import scratch_path
+from arcwindow.plans.scratch import cut_lineage, scratch_path
 from arcwindow.sinks.corpus import sentence_text, write_corpus, write_lines, write_parts
-from arcwindow.sinks.counts import CountStore, write_counts, write_pairs
+from arcwindow.sinks.counts import CountStore, export_counts, write_counts, write_pairs
 from arcwindow.sources.annotated import (
     benchmark_words,
     conversation_sentences,
@@ -47,6 +48,7 @@ from arcwindow.sources.annotated import (
 from arcwindow.sources.corpus import PIECE_ORDER, read_corpus, read_texts
 from arcwindow.sources.counts import read_counts
 from arcwindow.sources.pairs import read_pairs
+from arcwindow.sources.words import STRIP, read_words
 from arcwindow.streaming.counts import stream_counts, stream_merge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,6 +177,36 @@ def content_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence_counts(document_sentences(spark, sf_dir), window=2, content_only=True)
 
 
+class Neighbours:
+    """A matcher of one's own: every two words that stand side by side."""
+
+    def matches(self, tokens: Tokens) -> Column:
+        pairs = F.transform(tokens["id"], lambda _, i: F.array(i, i + 1))
+        return F.slice(pairs, F.lit(1), F.greatest(F.size(pairs) - 1, F.lit(0)))
+
+
+class Ahead:
+    """A window of one's own: the two words that come after the target."""
+
+    def positions(self, n: Column, left: Column, right: Column) -> Column:
+        return F.when(right + 1 < n, F.sequence(right + 1, F.least(right + 2, n - 1)))
+
+    def marker(self, position: Column, left: Column, right: Column) -> Column:
+        return (position - right).cast("string")
+
+
+def own_matcher_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's matcher and a user's window."""
+    pairs = extract_pairs(document_sentences(spark, sf_dir), [Neighbours()], Ahead())
+    return pairs.groupBy("target", "context", "marker").agg(F.count("*").alias("pairs"))
+
+
+def phrase_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of two and more words: adjectives and the noun after them."""
+    phrases = LinearPhrases("T<pos=JJ>+T<pos=NN>")
+    return cooccurrence_counts(document_sentences(spark, sf_dir), window=2, unigrams=False, compositions=[phrases])
+
+
 # -- word lists -----------------------------------------------------------------------------
 
 
@@ -238,6 +270,17 @@ def encoded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(back, "context_id", words, "context")
 
 
+def word_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list with padding and repeats, written as a file and read with each way of stripping."""
+    words = F.posexplode(F.split("text", "[ \n]", -1)).alias("k", "w")
+    lines = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", words)
+    padded = F.concat(F.when(F.col("k") % 2 == 0, " ").otherwise("\t"), "w", F.lit(" "))
+    path = scratch_path(spark, "words")
+    lines.orderBy("item_id", "k").coalesce(1).select(padded.alias("value")).write.option("lineSep", "\n").text(path)
+    read = [read_words(spark, f"{path}/part-*", strip).select(F.lit(strip).alias("strip"), "id", "word") for strip in STRIP]
+    return functools.reduce(DataFrame.unionByName, read)
+
+
 # -- matches ----------------------------------------------------------------------------------
 
 
@@ -373,21 +416,24 @@ def parts_by_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_by_sentences(_pieces(spark, sf_dir), ["doc_id"], 50).drop("ends_text")
 
 
-def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A corpus of texts as files, split into part files, and what is in each part."""
+def _write_texts(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Documents in order as texts of a corpus."""
     sentences = document_sentences(spark, sf_dir)
     body = sentences.select(*KEYS, sentence_text(sentences).alias("value"))
     texts = documents(spark, sf_dir).select("doc_id")
     opening = F.concat(F.lit('<text id="'), F.col("doc_id"), F.lit('">'))
 
     def markup(sent_idx: int, line: Column) -> DataFrame:
-        return texts.select(
-            "doc_id", F.lit(sent_idx).alias("sent_idx"), line.alias("value")
-        )
+        return texts.select("doc_id", F.lit(sent_idx).cast("bigint").alias("sent_idx"), line.alias("value"))
 
-    corpus, out = scratch_path(spark, "texts"), scratch_path(spark, "parts")
     lines = body.unionByName(markup(-1, opening)).unionByName(markup(1 << 62, F.lit("</text>")))
-    write_lines(lines, "value", corpus, order=KEYS)
+    write_lines(lines, "value", path, order=KEYS)
+
+
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus of texts as files, split into part files, and what is in each part."""
+    corpus, out = scratch_path(spark, "texts"), scratch_path(spark, "parts")
+    _write_texts(spark, sf_dir, corpus)
     pieces = read_texts(spark, corpus)
     write_parts(split_by_sentences(pieces, PIECE_ORDER, 50), out, PIECE_ORDER)
     part = F.regexp_extract("sent_key.file", "out=([0-9]+)", 1).cast("bigint")
@@ -429,13 +475,16 @@ def _write_sentences(
     sentences = document_sentences(spark, sf_dir)
     if files:
         sentences = sentences.repartition(files, *KEYS)
-    place = F.concat_ws(":", *KEYS)
-    opening = F.array(F.concat(F.lit('<text id="'), place, F.lit('">')), F.lit("<s>"))
     path = scratch_path(spark, "corpus")
-    write_corpus(sentences.withColumn("text_open", opening), path, compression=compression)
+    write_corpus(sentences.withColumn("text_open", _opening()), path, compression=compression)
     return path
 
 
+def _opening() -> Column:
+    """Markup before a sentence that tells where it is from."""
+    return F.array(F.concat(F.lit('<text id="'), F.concat_ws(":", *KEYS), F.lit('">')), F.lit("<s>"))
+
+
 def _read_back(corpus: DataFrame) -> DataFrame:
     place = F.split(F.regexp_extract(F.element_at("text_open", -2), '"(.*)"', 1), ":")
     keyed = corpus.select(
@@ -466,6 +515,40 @@ def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rewritten_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From files to files: whole-number ids, lemmas lowered before they are tested, trimmed, markup kept."""
+    sentences = document_sentences(spark, sf_dir).withColumn("tok_lemma", F.col("tok_word"))
+    path, out = scratch_path(spark, "cased"), scratch_path(spark, "trimmed")
+    write_corpus(sentences.withColumn("text_open", _opening()), path)
+    corpus = read_corpus(spark, path, layout="splits", int_ids=True, keep_tails=True)
+    trimmed = trim(corpus, Pivots(lemma=".*[aeiou]n", pos="N|J|V"), to_lower=True)
+    write_corpus(trimmed, out)
+    return _read_back(read_corpus(spark, out, layout="splits"))
+
+
+def text_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as chunks, read from files that are cut anywhere."""
+    path = scratch_path(spark, "whole")
+    _write_texts(spark, sf_dir, path)
+    return cooccurrence_counts(read_corpus(spark, path, separator="text", layout="splits"), window=2)
+
+
+def sorted_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts written sorted by value, and the place of each line in the files."""
+    path = scratch_path(spark, "export")
+    export_counts(dependency_window_counts(spark, sf_dir), path, by_value=True, reverse=True)
+    lines = spark.read.text(path).select(
+        F.split("value", "\t", -1).alias("f"),
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    numbered = row_numbers(cut_lineage(lines), ["file", "block", "line"], "place")
+    return numbered.select(
+        "place", F.get("f", F.lit(0)).alias("pivot"), F.get("f", F.lit(1)).alias("context"), big(F.get("f", F.lit(2))).alias("occurrences")
+    )
+
+
 def pair_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "pairs")
     write_pairs(extract_pairs(document_sentences(spark, sf_dir), [ADJECTIVE_OF_NOUN], BagOfWords(2)), path)
@@ -549,5 +632,11 @@ QUERIES: dict[str, Query] = {
         count_files,
         streamed_counts,
         streamed_merge,
+        own_matcher_counts,
+        phrase_run_counts,
+        word_list_file,
+        rewritten_files,
+        text_file_counts,
+        sorted_export,
     )
 }

@@ -336,6 +336,39 @@ ORDER BY 3 DESC, 1 DESC, 2 DESC""",
         "x.lemma || '<-->' || y.lemma",
         "c.lemma",
     ),
+    "own_matcher_counts": _with(
+        TOK,
+        f"side AS (SELECT {SENT}, a.id, a.t || '<-->' || b.t AS target FROM tok a JOIN tok b USING ({SENT}) WHERE b.id = a.id + 1)",
+    )
+    + f"""SELECT target, c.t AS context, CAST(c.id - s.id - 1 AS VARCHAR) AS marker, count(*) AS pairs
+FROM side s JOIN tok c USING ({SENT}) WHERE c.id BETWEEN s.id + 2 AND s.id + 3 GROUP BY 1, 2, 3""",
+    "phrase_run_counts": _with(
+        TOK,
+        f"""
+adjectives AS (SELECT *, id - row_number() OVER (PARTITION BY {SENT} ORDER BY id) AS run FROM tok WHERE pos = 'JJ'),
+chains AS (SELECT {SENT}, min(id) AS l, max(id) AS e, string_agg(t, '<-->' ORDER BY id) AS words FROM adjectives
+  GROUP BY {SENT}, run),
+named AS (SELECT {SENT}, l, n.id AS r, words || '<-->' || n.t AS pivot FROM chains JOIN tok n USING ({SENT})
+  WHERE n.id = e + 1 AND n.pos = 'NN')""",
+    )
+    + f"""SELECT 'peripheral' AS space, a.pivot AS pivot, c.t AS context, count(*) AS occurrences
+FROM named a JOIN tok c USING ({SENT}) WHERE (c.id < a.l OR c.id > a.r) AND least(abs(c.id - a.l), abs(c.id - a.r)) <= 2
+GROUP BY 1, 2, 3""",
+    "word_list_file": """WITH parts AS (SELECT item_id, unnest(range(len(l))) AS k, unnest(l) AS w
+  FROM (SELECT item_id, string_split_regex(text, '[ \n]') AS l FROM benchmark)),
+lines AS (SELECT row_number() OVER (ORDER BY item_id, k) - 1 AS id, w,
+  CASE WHEN k % 2 = 0 THEN ' ' ELSE chr(9) END || w || ' ' AS line FROM parts)
+SELECT 'ws' AS strip, id, w AS word FROM lines UNION ALL SELECT 'spacetab', id, w FROM lines
+UNION ALL SELECT 'newline', id, line FROM lines""",
+    "rewritten_files": _trim("regexp_matches(lemma, '^.*[aeiou]n') AND regexp_matches(pos, '^(N|J|V)')"),
+    "text_file_counts": _with(TOK, CHUNK)
+    + _counts(
+        "by_id a JOIN chunk c ON a.doc_id = c.doc_id AND c.place BETWEEN a.place - 2 AND a.place + 2 "
+        "WHERE a.place <> c.place"
+    ),
+    "sorted_export": _with(TOK, ARCS, f"counts AS ({_counts(_arc_pairs(2), 'peripheral', 'a.pivot')})")
+    + """SELECT row_number() OVER (ORDER BY occurrences DESC, "pivot" DESC, context DESC) AS place,
+  "pivot", context, occurrences FROM counts""",
     "pair_file_counts": DEP_COUNTS,
     "count_files": COMBINED,
     "streamed_counts": DEP_COUNTS,
