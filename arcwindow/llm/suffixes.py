@@ -43,7 +43,9 @@ from arcwindow.plans.scratch import cut_lineage
 LENGTH = 100
 ANCHOR = 40
 #: Segments of an anchor beyond which its strings are sorted one by one.
-MANY = 500
+MANY = 5000
+#: Documents that are brought together for an anchor they share, about.
+TOGETHER = 200
 #: Segments that a task sorts together, about.
 RUN = 80_000
 #: Different anchors of a range of keys, which one merge handles.
@@ -269,16 +271,16 @@ def removed_ranges(texts: DataFrame, z: DataFrame, length: int = LENGTH, anchor:
 
     anchors = cut_lineage(texts.mapInArrow(hashes, f"doc_id {kind}, h bigint"))
     known = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    known = known.select("h", (F.col("n") > MANY).alias("many"))
     known = cut_lineage(known)
     held = anchors.join(known, "h").groupBy("doc_id").agg(
         F.collect_set("h").alias("h"),
-        F.collect_set(F.when(F.col("many"), F.col("h"))).alias("many"),
-        # no more than MANY segments share it
-        F.min(F.when(~F.col("many"), F.col("h"))).alias("_at"),
+        F.collect_set(F.when(F.col("n") > MANY, F.col("h"))).alias("many"),
+        F.min(F.struct("h", "n")).alias("_least"),
     )
+    # documents meet by their least anchor; a common one is spread over some tasks
+    spread = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_least.n") / TOGETHER))
     ranges = max(1, -(-known.count() // RANGE))
-    suspects = z.join(held, "doc_id").withColumn("_at", F.coalesce("_at", F.xxhash64("doc_id")))
+    suspects = z.join(held, "doc_id").withColumn("_at", F.xxhash64("_least.h", spread))
     suspects = suspects.repartition("_at").sortWithinPartitions("_at", "doc_id")  # the same runs in every attempt
 
     def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
