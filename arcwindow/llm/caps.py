@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arcwindow.llm.links import components
+from arcwindow.llm.links import components, roots
 from arcwindow.plans.scratch import cut_lineage
 
 COSINE = 0.93
@@ -128,18 +128,6 @@ def decoded(vectors: DataFrame, share: float) -> DataFrame:
     return vectors.mapInArrow(decode, VECTOR.format(id=kinds["id"], label=kinds["label"]))
 
 
-def roots(links: np.ndarray) -> np.ndarray:
-    """For every place of a symmetric matrix of links the smallest place it is connected with."""
-    label = np.arange(len(links))
-    while True:
-        best = np.where(links, label[None, :], len(links)).min(axis=1)
-        new = np.minimum(label, best)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 class Bucket:
     """Vectors that share a filter; ``side`` says for a pair of blocks which of the two they are from."""
 

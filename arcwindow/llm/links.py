@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
@@ -64,3 +65,15 @@ def components(links: DataFrame) -> DataFrame:
             least.select("u", F.col("m").alias("v"))
         )
         edges = cut_lineage(moved.where("u <> v").distinct())
+
+
+def roots(links: np.ndarray) -> np.ndarray:
+    """For every place of a symmetric matrix of links the smallest place it is connected with."""
+    label = np.arange(len(links))
+    while True:
+        best = np.where(links, label[None, :], len(links)).min(axis=1)
+        new = np.minimum(label, best)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
