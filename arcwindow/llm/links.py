@@ -12,6 +12,17 @@ from pyspark.sql import DataFrame, functions as F
 from arcwindow.plans.scratch import cut_lineage
 
 
+#: Rows of a batch of texts that is handed to Python.
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Let the session hand whole texts to Python in batches that fit beside each other into a small executor."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+
 def one_text_per_id(documents: DataFrame) -> tuple[DataFrame, bool]:
     """``doc_id, text`` of rows with an id, and whether ids were unique; else the smallest text of an id counts."""
     rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arcwindow.llm import caps, decontaminate, jaccard, language, mixing, quality, secret_scan, suffixes, token_counts, toxicity
+from arcwindow.llm.oracle import ORACLES
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
 
+__all__ = ["ORACLES", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -110,5 +113,3 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
 }
-
-ORACLES: dict[str, str] = {}

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from arcwindow.llm.links import one_text_per_id, packed
+from arcwindow.llm.links import one_text_per_id, packed, small_batches
 from arcwindow.llm.textbytes import Powers, mixed, pieces
 from arcwindow.plans.scratch import cut_lineage
 
@@ -47,7 +47,7 @@ MANY = 5000
 #: Documents that are brought together for an anchor they share, about.
 TOGETHER = 200
 #: Segments that a task sorts together, about.
-RUN = 80_000
+RUN = 40_000
 #: Different anchors of a range of keys, which one merge handles.
 RANGE = 20_000
 PLACE_BITS = 22
@@ -269,7 +269,7 @@ def removed_ranges(texts: DataFrame, z: DataFrame, length: int = LENGTH, anchor:
                     [batch["doc_id"].take(pa.array(rows + first)), pa.array(h.astype(np.uint64).view(np.int64))], names=["doc_id", "h"]
                 )
 
-    anchors = cut_lineage(texts.mapInArrow(hashes, f"doc_id {kind}, h bigint"))
+    anchors = texts.mapInArrow(hashes, f"doc_id {kind}, h bigint")
     known = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     known = cut_lineage(known)
     held = anchors.join(known, "h").groupBy("doc_id").agg(
@@ -435,6 +435,7 @@ def run_rows(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
 
 def deduplicated(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """``doc_id, n_bytes, spans, kept``: removed runs of bytes, and the bytes that stay; a row per row."""
+    small_batches(documents)
     texts, unique = one_text_per_id(documents)
     z = packed(texts)
     ranges = removed_ranges(texts, z, length, anchor)
