@@ -64,11 +64,21 @@ def contentful_noun_heads(sentences: DataFrame) -> DataFrame:
     def chain_ends(ws: Column, pairs: Column) -> Column:
         """For each place, where its chain ends: pointers are followed in doubled steps."""
 
-        def last_dependent(i: Column) -> Column:
-            own = F.filter(pairs, lambda p: p["h"] == i)
-            return F.coalesce(F.array_max(F.transform(own, lambda p: p["i"])), i)
+        def between(first: Column, last: Column) -> Column:
+            return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+        def with_gaps(last_of: Column) -> Column:
+            """The last dependent of each head, and of all places between them themselves."""
+            before = lambda k: F.coalesce(F.get(last_of, k - 1)["h"], F.lit(0))
+            pieces = F.transform(
+                last_of, lambda p, k: F.concat(between(before(k) + 1, p["h"] - 1), F.array(p["i"]))
+            )
+            return F.concat(F.flatten(pieces), between(before(F.size(last_of)) + 1, F.size(ws)))
+
+        def last_of_each(ordered: Column) -> Column:
+            return F.filter(ordered, lambda p, k: ~(F.get(ordered, k + 1)["h"].eqNullSafe(p["h"])))
 
-        pointers = F.transform(ws, lambda _, k: last_dependent(k + 1))
+        pointers = let(F.array_sort(pairs), lambda ordered: let(last_of_each(ordered), with_gaps))
         steps = F.ceil(F.log2(F.size(pairs) + F.lit(1))).cast("int") + 1
         return F.aggregate(
             F.sequence(F.lit(1), steps),

@@ -34,6 +34,8 @@ HEADLINE = [
     "parts_by_sentences",
     "union_counts",
     "corpus_counts",
+    "phrase_run_counts",
+    "text_file_counts",
 ]
 
 
@@ -50,6 +52,8 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # the tables of the bench are one block each
+        .config("spark.arcwindow.inputPartitions", str(2 * int(cpus)) if cpus.isdigit() else "16")
         # call sites of every column expression are for debugging; they slow plans down
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
