@@ -129,6 +129,8 @@ def near_copies() -> list[str | None]:
 @pytest.mark.parametrize("width, percent, many", [(4, 85, 16), (5, 80, 2), (1, 50, 3)])
 def test_jaccard_join(spark, near_copies, monkeypatch, width, percent, many):
     monkeypatch.setattr(jaccard, "MANY", many)
+    monkeypatch.setattr(jaccard, "SMALL", {16: 48, 2: 0, 3: 4}[many])
+    monkeypatch.setattr(jaccard, "BLOCK", {16: 256, 2: 5, 3: 256}[many])
     texts = dict(enumerate(near_copies))
     want = brute.components(texts, brute.jaccard_links(texts, width, percent))
     got = {r["doc_id"]: r for r in jaccard.join_components(documents(spark, near_copies), width, percent).collect()}
