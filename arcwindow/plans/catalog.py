@@ -8,6 +8,7 @@ first and read it back.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -44,6 +45,7 @@ from arcwindow.sources.annotated import (
     document_sentences,
     documents,
     sentence_count,
+    table_partitions,
 )
 from arcwindow.sources.corpus import PIECE_ORDER, read_corpus, read_texts
 from arcwindow.sources.counts import read_counts
@@ -54,6 +56,8 @@ from arcwindow.streaming.counts import stream_counts, stream_merge
 Query = Callable[[SparkSession, str], DataFrame]
 
 KEYS = ["doc_id", "sent_idx"]
+#: Batches in which the stream queries take the files of their folder, at most.
+STREAM_BATCHES = 4
 ADJECTIVE_OF_NOUN = DependencyArcs(dependent=TokenTest(pos="JJ"), head=TokenTest(pos="N"))
 ADJECTIVE_NOUN = LinearPhrases("T<pos=JJ>T<pos=NN.?>")
 
@@ -470,16 +474,23 @@ def sorted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _write_sentences(
-    spark: SparkSession, sf_dir: str, compression: str | None = None, files: int | None = None
+    spark: SparkSession, sf_dir: str, compression: str | None = None, least_files: int = 1
 ) -> str:
+    """As many files as there are partitions; only a table of fewer than ``least_files`` is dealt out."""
     sentences = document_sentences(spark, sf_dir)
-    if files:
-        sentences = sentences.repartition(files, *KEYS)
+    if least_files > 1 and table_partitions(spark, sf_dir, "documents") < least_files:
+        sentences = sentences.repartition(least_files, *KEYS)
     path = scratch_path(spark, "corpus")
     write_corpus(sentences.withColumn("text_open", _opening()), path, compression=compression)
     return path
 
 
+def _arriving(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """A folder of corpus files, and how many of them make a batch, for ``STREAM_BATCHES`` or fewer batches."""
+    folder = _write_sentences(spark, sf_dir, least_files=STREAM_BATCHES)
+    return folder, max(1, math.ceil(len(spark.read.text(folder).inputFiles()) / STREAM_BATCHES))
+
+
 def _opening() -> Column:
     """Markup before a sentence that tells where it is from."""
     return F.array(F.concat(F.lit('<text id="'), F.concat_ws(":", *KEYS), F.lit('">')), F.lit("<s>"))
@@ -562,9 +573,11 @@ def count_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corpus files counted by a stream that keeps running totals, a file at a time."""
-    folder = _write_sentences(spark, sf_dir, files=4)
-    counts = stream_counts(spark, folder, [ADJECTIVE_OF_NOUN], BagOfWords(2), files_per_batch=1)
+    """Corpus files counted by a stream that keeps running totals, a share of the files at a time."""
+    folder, files = _arriving(spark, sf_dir)
+    counts = stream_counts(
+        spark, folder, [ADJECTIVE_OF_NOUN], BagOfWords(2), layout="splits", files_per_batch=files
+    )
     path, name = scratch_path(spark, "stream"), f"streamed_{abs(hash(sf_dir))}"
 
     def keep(batch: DataFrame, batch_id: int) -> None:
@@ -579,9 +592,9 @@ def streamed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus files counted batch by batch, each batch added to a store."""
     path = scratch_path(spark, "merge")
     store = CountStore(spark, f"{path}/store")
-    folder = _write_sentences(spark, sf_dir, files=4)
+    folder, files = _arriving(spark, sf_dir)
     stream_merge(
-        spark, folder, store, f"{path}/state", [ADJECTIVE_OF_NOUN], BagOfWords(2), files_per_batch=1
+        spark, folder, store, f"{path}/state", [ADJECTIVE_OF_NOUN], BagOfWords(2), layout="splits", files_per_batch=files
     ).awaitTermination()
     return store.read()
 

@@ -116,6 +116,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return rows.repartition(int(n), *columns[:-1]) if n else rows
 
 
+def table_partitions(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """The number of partitions in which :func:`table` reads."""
+    return int(spark.conf.get(INPUT_PARTITIONS, None) or spark.read.parquet(f"{sf_dir}/{name}.parquet").rdd.getNumPartitions())
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id", "text")
 
