@@ -20,6 +20,15 @@ def hashed_share(share: Column, *keys: str, seed: int = 11) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 20)) < share * (1 << 20)
 
 
+def known_labels(labels: DataFrame, label: str, folds: int, fold: int) -> DataFrame:
+    """``doc_id, label`` of all ids that have a label and are not held out."""
+    return (
+        labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(folds, fold))
+        .groupBy("doc_id")
+        .agg(F.max(label).alias("label"))
+    )
+
+
 def labelled_sample(
     documents: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_class: int = PER_CLASS
 ) -> list[tuple[int, str]]:
@@ -27,11 +36,7 @@ def labelled_sample(
 
     The ids are chosen by hash before any text is read, and only they are broadcast.
     """
-    known = (
-        labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(folds, fold))
-        .groupBy("doc_id")
-        .agg(F.max(label).alias("label"))
-    )
+    known = known_labels(labels, label, folds, fold)
     counts = dict(known.groupBy("label").count().collect())
     if not counts:
         return []
