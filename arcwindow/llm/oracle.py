@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from arcwindow.llm.shards import PRIME, ROUNDS, SEED, SHARDS, round_keys
+
 UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 LOWERED = f"translate(coalesce(text, ''), {UPPER}, lower({UPPER}))"
 SPACED = r"'[^\x20\x09-\x0D]+'"
@@ -16,6 +18,19 @@ reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN bot
 parts AS (SELECT id, least(id, coalesce(min(b), id)) AS component FROM {ids} LEFT JOIN reach ON a = id GROUP BY id)"""
 
 
+def _mixed(digit: str) -> str:
+    """The round function of the permutation in round ``i``."""
+    x = f"(({digit} + key_1[i + 1]) % {PRIME})"
+    x = f"(({x} * {x} + key_2[i + 1]) % {PRIME})"
+    return f"{x} * {x} % {PRIME}"
+
+
+def _permuted(number: str) -> str:
+    """All rounds; ``a``, ``b`` are the radices."""
+    return f"""list_reduce([{number}] || range({ROUNDS}), lambda x, i: CASE WHEN i % 2 = 0
+    THEN (x // b + {_mixed("(x % b)")}) % a * b + x % b ELSE x // b * b + (x % b + {_mixed("(x // b)")}) % b END)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": """
 WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
@@ -77,4 +92,34 @@ ids AS (SELECT doc_id AS id FROM documents),"""
     + """
 SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component AS component_id
 FROM parts LEFT JOIN sizes ON doc_id = id""",
+    "op11_hard_negatives": """
+WITH vectors AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id,
+  positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER w <= 3""",
+    "op12_feistel_sharding": f"""
+WITH RECURSIVE bits AS (SELECT list_transform(range(256), lambda v: list_reduce([v] || range(8),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS bits_of),
+docs AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) - 1 AS number FROM documents),
+summed AS (SELECT doc_id, number, strlen(t) + 8 AS size, xor(list_reduce(
+    [4294967295] || list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: CAST('0x' || h AS BIGINT)),
+    lambda c, y: xor(c >> 8, bits_of[(xor(c, y) & 255) + 1])), 4294967295) AS crc FROM docs, bits),
+counted AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM documents),
+radix AS (SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b, {[k for k, _ in round_keys(SEED)]} AS key_1,
+    {[k for _, k in round_keys(SEED)]} AS key_2 FROM counted),
+walk AS (SELECT number, {_permuted("number")} AS p FROM docs, radix
+  UNION ALL SELECT number, {_permuted("p")} FROM walk, radix WHERE p >= n)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST(p % {SHARDS} AS INTEGER) AS shard, p // {SHARDS} AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard
+FROM walk JOIN radix ON p < n JOIN summed USING (number)""",
 }

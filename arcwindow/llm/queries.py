@@ -6,16 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arcwindow.llm import caps, decontaminate, jaccard, language, mixing, quality, secret_scan, suffixes, token_counts, toxicity
+from arcwindow.llm import (
+    alignment,
+    caps,
+    decontaminate,
+    jaccard,
+    language,
+    mixing,
+    negatives,
+    quality,
+    secret_scan,
+    shards,
+    suffixes,
+    token_counts,
+    toxicity,
+)
 from arcwindow.llm.oracle import ORACLES
 
-#: Folder of the public vocabulary files.
-TOKENIZERS = "/opt/tokenizers"
-
 __all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -73,9 +87,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+def vocabulary_file(name: str) -> str:
+    """Where a public vocabulary file lies; every executor has it there."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """Bytes and tokens of each text."""
-    counted = token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary)
+    counted = token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary or vocabulary_file(BYTE_BPE))
     return counted.select("*", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
@@ -101,6 +122,31 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; every seventh counts with the next label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op12_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document; the operator's rows here are without texts."""
+    documents = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    slim = documents.select(
+        "doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    placed = shards.sharded(slim, "doc_id")
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between byte-level and piece tokens of each text."""
+    return alignment.aligned(table(spark, sf_dir, "documents"), vocabulary_file(BYTE_BPE), vocabulary_file(PIECE_BPE))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_source_mixing": op2_source_mixing,
@@ -112,4 +158,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_feistel_sharding": op12_feistel_sharding,
+    "op13_token_alignment": op13_token_alignment,
 }

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 LETTERED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -110,3 +111,77 @@ def targets(sizes: dict, weights=(1, 2, 3), most: int = 3) -> dict:
         if not above:
             return {s: share.get(s, most * sizes[s]) for s in order}
         full |= above
+
+
+def hard_negatives(rows: list[tuple], positives: int = 5, negatives: int = 3) -> set[tuple]:
+    """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score`` of anchors divisible by 50."""
+    usable = {}
+    for vec_id, vector, label in rows:
+        if vec_id is not None and label is not None and vector is not None and all(x is not None and math.isfinite(x) for x in vector):
+            whole = [math.floor(256 * x) for x in vector]
+            usable[vec_id] = min(usable.get(vec_id, (label, whole)), (label, whole))
+    out = set()
+    for a, (label, whole) in usable.items():
+        if a % 50:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(whole, w)), i, other) for i, (other, w) in usable.items() if i != a)
+        for score, p, _ in [s for s in scored if s[2] == label][:positives]:
+            fits = [(i, -s) for s, i, other in scored if other != label and 50 * -score <= 100 * -s <= 95 * -score]
+            out |= {(a, p, rank, i, -score, s) for rank, (i, s) in enumerate(fits[:negatives], 1)}
+    return out
+
+
+def token_alignment(texts: list[str | None], first: str, second: str) -> tuple[list[tuple], list[tuple]]:
+    """``n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` of each text, and its groups' ids."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(first), SentencePieceProcessor(model_file=second)
+    a.encode_special_tokens = True
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [i for i in range(256) if i not in printable]
+    byte = {chr(i): i for i in printable} | {chr(256 + k): i for k, i in enumerate(others)}
+    all_groups = []
+    for text in texts:
+        raw = (" " + (text or "")).encode()
+        a_tokens = [(i, bytes(byte[c] for c in a.id_to_token(i))) for i in a.encode(raw.decode(), add_special_tokens=False).ids]
+        b_tokens = []
+        for i in b.encode(text or ""):
+            piece = b.id_to_piece(i)
+            b_tokens.append((i, bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace("▁", " ").encode()))
+        groups = []
+        if text and b"".join(t for _, t in a_tokens) == raw == b"".join(t for _, t in b_tokens):
+            ends = [{sum(len(t) for _, t in side[: k + 1]) for k in range(len(side))} for side in (a_tokens, b_tokens)]
+            start = 0
+            for end in sorted(ends[0] & ends[1]):
+                group, at = [], 0
+                for side in (a_tokens, b_tokens):
+                    at, held = 0, []
+                    for i, t in side:
+                        at += len(t)
+                        if start < at <= end:
+                            held.append(i)
+                    group.append(held)
+                groups.append(tuple(group))
+                start = end
+        all_groups.append(groups)
+    links = [[(x, y) for g in groups for x in g[0] for y in g[1]] for groups in all_groups]
+    counts = Counter(pair for found in links for pair in set(found))
+    most = defaultdict(int)
+    for (x, _), n in counts.items():
+        most[x] = max(most[x], n)
+    out = []
+    for groups, found in zip(all_groups, links):
+        text = ";".join("|".join(",".join(map(str, side)) for side in g) for g in groups)
+        out.append(
+            (
+                sum(len(g[0]) for g in groups),
+                sum(len(g[1]) for g in groups),
+                len(groups),
+                len(found),
+                sum(counts[p] == most[p[0]] for p in found),
+                sum(counts[p] for p in found),
+                hashlib.sha256(text.encode()).hexdigest() if groups else "",
+            )
+        )
+    return out, all_groups
