@@ -14,7 +14,7 @@ from typing import Protocol, runtime_checkable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from arcwindow.functions import linear
+from arcwindow.functions import automaton, linear
 from arcwindow.functions.arrays import all_distinct, let
 from arcwindow.functions.predicates import TokenTest, prefix_match
 from arcwindow.functions.tokens import TOKENS, Tokens, by_id
@@ -61,13 +61,16 @@ class LinearPhrases:
 
     def prepare(self, sentences: DataFrame) -> DataFrame:
         """Add the column that ``matches`` reads where it cannot be an expression."""
-        if not self._parsed.recursive:
+        if not self._parsed.recursive or self._parsed.automaton:
             return sentences
         text = linear.symbols(TOKENS, self._parsed, self.ignore_case)
         return linear.with_spans(sentences, text, self._parsed, self._column)
 
     def matches(self, tokens: Tokens) -> Column:
-        if self._parsed.recursive:
+        if self._parsed.automaton:
+            places = linear.places(tokens, self._parsed, self.ignore_case)
+            spans = automaton.spans(places, self._parsed.automaton)
+        elif self._parsed.recursive:
             spans = F.col(self._column)
         else:
             spans = linear.spans(linear.symbols(tokens, self._parsed, self.ignore_case), self._parsed.regex)

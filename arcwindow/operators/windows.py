@@ -20,6 +20,8 @@ from arcwindow.operators.filters import Words, keep_listed, word_table
 from arcwindow.operators.matchers import Matcher, Unigrams, prepared
 
 NOT_KEYS = ("text_open", "is_tail")
+#: Targets of a long chunk that stay together when it is dealt out.
+TOGETHER = 512
 
 # Arrays are opened with explode_outer and a null test after it: for plain explode the
 # optimizer adds "size(array) > 0" below, and so evaluates the whole matching twice.
@@ -96,6 +98,7 @@ def extract_pairs(
     second: Words = None,
     contexts: Words = None,
     halves: bool = False,
+    long_chunks: bool = False,
 ) -> DataFrame:
     """(target, context) pairs of every sentence, one row per pair of positions.
 
@@ -112,6 +115,10 @@ def extract_pairs(
     With ``halves``, two words that are in each other's window give one row instead of
     two; its column ``mirrored`` says that it also stands for the pair with target and
     context exchanged. See :func:`can_halve` and ``count_pairs``.
+
+    With ``long_chunks``, for whole texts as chunks, a target takes along the words of its window instead of
+    those of its chunk, and runs of targets are dealt out, so a chunk's windows and counts are the
+    work of many tasks. The rows are the same.
     """
     if halves and not can_halve(matchers, features, target_format == context_format):
         raise ValueError("these pairs cannot be halved")
@@ -122,6 +129,11 @@ def extract_pairs(
     tokens = TOKENS
     target_texts = format_tokens(tokens, target_format)
     same_format = target_format == context_format
+    listed = dict(targets=targets, first=first, second=second, contexts=contexts)
+    if long_chunks and not (isinstance(features, BagOfWords) and not features.w):
+        context_texts = target_texts if same_format else format_tokens(tokens, context_format)
+        pairs = pairs_of_long_chunks(sentences, matchers, features, target_texts, context_texts, token_sep, halves)
+        return keep_listed_pairs(pairs, F.size("t_positions") == 1, **listed)
     carried = [*keys, "_t", *([] if same_format else ["_c"]), *(["_halved"] if halves else [])]
     targets_df = (
         prepared(sentences, matchers)
@@ -172,7 +184,65 @@ def extract_pairs(
             *([mirrored.alias("mirrored")] if halves else []),
         )
     )
-    return keep_listed_pairs(pairs, F.size("t_positions") == 1, targets, first, second, contexts)
+    return keep_listed_pairs(pairs, F.size("t_positions") == 1, **listed)
+
+
+def pairs_of_long_chunks(
+    sentences: DataFrame,
+    matchers: Sequence[Matcher],
+    features: FeatureExtractor,
+    target_texts: Column,
+    context_texts: Column,
+    token_sep: str,
+    halves: bool,
+) -> DataFrame:
+    """The pairs of :func:`extract_pairs`, without lists, for chunks of many tokens."""
+    keys = key_columns(sentences)
+
+    def target_of(p: Column, t: Column, c: Column, halved: Column | None) -> Column:
+        left, right, n = F.array_min(p), F.array_max(p), F.size(c)
+        words = F.transform(p, lambda i: F.get(t, i))
+        single = F.size(p) == 1
+        composed = F.when(F.forall(words, lambda w: w.isNotNull()), F.array_join(words, token_sep))
+        places = features.positions(n, left, right)
+        mirrored = []
+        if halved is not None:
+            mirrored = [(halved & single).alias("mirrored")]
+            places = F.when(halved & single, features.positions_after(n, left)).otherwise(places)
+        near = F.filter(places, lambda i: ~F.array_contains(p, i) & F.get(c, i).isNotNull())
+        near = F.transform(
+            near, lambda i: F.struct(i.alias("c_position"), F.get(c, i).alias("context"), features.marker(i, left, right).alias("marker"))
+        )
+        return F.struct(
+            F.when(single, F.get(words, F.lit(0))).otherwise(composed).alias("target"),
+            p.alias("t_positions"),
+            F.get(words, F.lit(0)).alias("first"),
+            F.get(words, F.lit(1)).alias("second"),
+            near.alias("near"),
+            *mirrored,
+        )
+
+    def found(t: Column, c: Column, halved: Column | None) -> Column:
+        of_all = F.transform(all_matches(matchers), lambda p: target_of(p, t, c, halved))
+        of_all = F.filter(of_all, lambda m: m["target"].isNotNull())
+        starts = lambda ms: F.sequence(F.lit(0), F.greatest(F.size(ms) - 1, F.lit(0)), F.lit(TOGETHER))
+        return let(of_all, lambda ms: F.transform(starts(ms), lambda start: F.slice(ms, start + 1, F.lit(TOGETHER))))
+
+    def bound(halved: Column | None) -> Column:
+        return let(target_texts, lambda t: let(context_texts, lambda c: found(t, c, halved)))
+
+    blocks = let(all_distinct(TOKENS["id"]), bound) if halves else bound(None)
+    dealt = (
+        prepared(sentences, matchers)
+        .select(*keys, F.explode_outer(blocks).alias("_b"))
+        .where("_b IS NOT NULL")
+        .repartition(F.xxhash64(*keys, "_b"))
+    )
+    targets = dealt.select(*keys, F.explode_outer("_b").alias("_m")).where("_m IS NOT NULL").select(*keys, "_m.*")
+    named = [c for c in targets.columns if c not in ("near", *keys)]
+    pairs = targets.select(*keys, *named, F.explode_outer("near").alias("_n")).where("_n IS NOT NULL")
+    columns = ["target", "_n.context", "_n.marker", "t_positions", "_n.c_position", "first", "second"]
+    return pairs.select(*keys, *columns, *(["mirrored"] if halves else []))
 
 
 def keep_listed_pairs(

@@ -165,7 +165,7 @@ def phrase_sentence_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole document as one chunk: ids repeat and the last of each is the target."""
-    return cooccurrence_counts(document_chunks(spark, sf_dir), window=2)
+    return cooccurrence_counts(document_chunks(spark, sf_dir), window=2, long_chunks=True)
 
 
 def text_arc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +174,7 @@ def text_arc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         window=3,
         unigrams=False,
         compositions=[DependencyArcs(relation="(NMOD|SBJ)")],
+        long_chunks=True,
     )
 
 
@@ -327,6 +328,12 @@ def linear_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_rows(match_rows(document_sentences(spark, sf_dir), [phrases]))
 
 
+def phrase_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of words that repeat: nouns, with or without an adjective, before a preposition."""
+    phrases = LinearPhrases("(T<pos=JJ>?T<pos=NN.?>)+T<pos=IN>")
+    return _span_rows(match_rows(document_sentences(spark, sf_dir), [phrases]))
+
+
 def linear_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list in a phrase, case ignored, and alternatives."""
     lowered = F.transform(raw_field(TOKENS, "word"), F.lower)
@@ -541,7 +548,7 @@ def text_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as chunks, read from files that are cut anywhere."""
     path = scratch_path(spark, "whole")
     _write_texts(spark, sf_dir, path)
-    return cooccurrence_counts(read_corpus(spark, path, separator="text", layout="splits"), window=2)
+    return cooccurrence_counts(read_corpus(spark, path, separator="text", layout="splits"), window=2, long_chunks=True)
 
 
 def sorted_export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -622,6 +629,7 @@ QUERIES: dict[str, Query] = {
         dependency_tests,
         linear_matches,
         linear_runs,
+        phrase_groups,
         linear_lists,
         grep_sentences,
         grep_intersection,

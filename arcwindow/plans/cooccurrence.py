@@ -47,11 +47,13 @@ def cooccurrence_counts(
     contexts: Words = None,
     rows: Words = None,
     cols: Words = None,
+    long_chunks: bool = False,
 ) -> DataFrame:
     """Core and peripheral counts of a corpus in one pass and one shuffle.
 
     Single words with the whole sentence as window are counted from the word counts of
-    each sentence, without listing the pairs.
+    each sentence, without listing the pairs. ``long_chunks`` is for whole texts as
+    chunks (:func:`extract_pairs`): their targets are dealt out by a shuffle of their own.
     """
     if content_only:
         sentences = only_content(sentences)
@@ -77,6 +79,7 @@ def cooccurrence_counts(
         context_format=context_format,
         token_sep=token_sep,
         halves=unlisted and can_halve(matchers, features, target_format == context_format),
+        long_chunks=long_chunks,
     )
     if unlisted:
         return count_pairs(pairs, token_sep=token_sep, rows=rows, cols=cols)

@@ -266,6 +266,19 @@ spans AS (SELECT {SENT}, min(id) AS a, max(id) AS b, string_agg(t, ' ' ORDER BY
     )
     + f"""SELECT {SENT}, a - 1 AS start, b AS stop, words || ' ' || n.t AS phrase
 FROM spans JOIN tok n USING ({SENT}) WHERE n.id = b + 1 AND n.pos IN ('NN', 'NNS')""",
+    # a letter for each tag, and marks around the matches, whose places are counted without the marks
+    "phrase_groups": _with(
+        TOK,
+        f"""
+letters AS (SELECT {SENT}, regexp_replace(string_agg(CASE WHEN pos = 'JJ' THEN 'J' WHEN pos LIKE 'NN%' THEN 'N'
+    WHEN pos = 'IN' THEN 'I' ELSE 'o' END, '' ORDER BY id), '((?:J?N)+I)', '<\\1>', 'g') AS marked FROM tok GROUP BY {SENT}),
+signs AS (SELECT {SENT}, marked, unnest(range(1, length(marked) + 1)) AS p FROM letters WHERE marked LIKE '%<%'),
+marks AS (SELECT {SENT}, p, row_number() OVER (PARTITION BY {SENT} ORDER BY p) - 1 AS before, substr(marked, p, 1) AS sign
+  FROM signs WHERE substr(marked, p, 1) IN ('<', '>')),
+spans AS (SELECT {SENT}, p - 1 - before AS a, lead(p - 1 - before) OVER (PARTITION BY {SENT} ORDER BY p) - 1 AS b, sign FROM marks)""",
+    )
+    + f"""SELECT {SENT}, a AS start, b AS stop, string_agg(t, ' ' ORDER BY id) AS phrase
+FROM spans JOIN tok USING ({SENT}) WHERE sign = '<' AND id BETWEEN a + 1 AND b + 1 GROUP BY {SENT}, a, b""",
     "linear_lists": _with(TOK, BENCH)
     + f"""SELECT {SENT}, a.id - 1 AS start, b.id - 1 AS stop, a.t || ' ' || b.t AS phrase
 FROM tok a JOIN tok b USING ({SENT}) WHERE b.id = a.id + 1 AND a.pos = 'JJ'

@@ -22,7 +22,9 @@ from arcwindow.operators.matchers import (
     Unigrams,
     composition_matchers,
 )
+from arcwindow.operators import windows
 from arcwindow.operators.windows import BagOfWords, extract_pairs, match_rows, tokens_without_text
+from arcwindow.plans.catalog import Ahead, Neighbours
 from arcwindow.plans.cooccurrence import cooccurrence_counts, only_content
 from arcwindow.sinks.corpus import sentence_text
 from arcwindow.sources.corpus import read_corpus
@@ -448,3 +450,41 @@ def test_window_markers_on_random_arcs(spark, tmp_path):
             for p, marker in plain.contexts(len(s), m, w)
         )
         assert got == want
+
+
+# -- long chunks ----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("together", [512, 3])
+def test_long_chunks_give_the_same_pairs(spark, tmp_path, monkeypatch, together):
+    """Whole texts with repeated ids, and with ids of their own; all matchers, windows and lists."""
+    monkeypatch.setattr(windows, "TOGETHER", together)
+    texts = "".join(f"{plain.corpus(sentences(i, 6, 8, wild=True))}</text>\n" for i in range(4))
+    numbered = "".join(f"w{i}\tl{i % 7}\tNN\t{i}\t{i // 2}\tX\n" for i in range(1, 60)) + "</text>\n</text>\n"
+    corpus = read_corpus(spark, write(tmp_path, texts + numbered), separator="text")
+    arcs, phrase = DependencyArcs(relation="(NMOD|X)"), LinearPhrases("T<pos=NN>T<>T<pos=NN>")
+    cases = [
+        ([Unigrams()], BagOfWords(2), dict(halves=True)),
+        ([Unigrams(), arcs], BagOfWords(1), dict(halves=True)),
+        ([Unigrams(), arcs, phrase], BagOfWords(3), dict(context_format="{pos}")),
+        ([arcs, phrase], BagOfWords(2), dict(first=["car-n", "red-j"], contexts=["the-n"])),
+        ([arcs], BagOfWords(), {}),
+        ([Neighbours()], Ahead(), {}),
+    ]
+    for matchers, features, options in cases:
+        rows = [extract_pairs(corpus, matchers, features, long_chunks=long, **options) for long in (False, True)]
+        assert rows[0].columns == rows[1].columns
+        short, long = (sorted(map(str, r.collect())) for r in rows)
+        assert short == long and (short or "first" in options)
+
+
+def test_a_long_text_takes_part_in_many_tasks(spark, tmp_path):
+    text = "".join(f"w{i % 91}\tl{i % 91}\tNN\t{i}\t0\tX\n" for i in range(1, 60_001)) + "</text>\n"
+    corpus = read_corpus(spark, write(tmp_path, text), separator="text")
+    pairs = extract_pairs(corpus, [Unigrams()], BagOfWords(2), long_chunks=True)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = pairs.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(tasks) == 8 and sum(r["count"] for r in tasks) == 4 * 60_000 - 6
