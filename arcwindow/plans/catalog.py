@@ -37,7 +37,7 @@ from arcwindow.operators.word_stream import word_stream
 from arcwindow.plans.cooccurrence import cooccurrence_counts
 from arcwindow.plans.scratch import cut_lineage, scratch_path
 from arcwindow.sinks.corpus import sentence_text, write_corpus, write_lines, write_parts
-from arcwindow.sinks.counts import CountStore, export_counts, write_counts, write_pairs
+from arcwindow.sinks.counts import ChangedCounts, CountStore, export_counts, write_counts, write_pairs
 from arcwindow.sources.annotated import (
     benchmark_words,
     conversation_sentences,
@@ -51,7 +51,7 @@ from arcwindow.sources.corpus import PIECE_ORDER, read_corpus, read_texts
 from arcwindow.sources.counts import read_counts
 from arcwindow.sources.pairs import read_pairs
 from arcwindow.sources.words import STRIP, read_words
-from arcwindow.streaming.counts import stream_counts, stream_merge
+from arcwindow.streaming.counts import stream_changes, stream_merge
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -281,8 +281,8 @@ def word_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", words)
     padded = F.concat(F.when(F.col("k") % 2 == 0, " ").otherwise("\t"), "w", F.lit(" "))
     path = scratch_path(spark, "words")
-    lines.orderBy("item_id", "k").coalesce(1).select(padded.alias("value")).write.option("lineSep", "\n").text(path)
-    read = [read_words(spark, f"{path}/part-*", strip).select(F.lit(strip).alias("strip"), "id", "word") for strip in STRIP]
+    lines.orderBy("item_id", "k").select(padded.alias("value")).write.option("lineSep", "\n").text(path)
+    read = [read_words(spark, path, strip).select(F.lit(strip).alias("strip"), "id", "word") for strip in STRIP]
     return functools.reduce(DataFrame.unionByName, read)
 
 
@@ -494,7 +494,7 @@ def _write_sentences(
 
 def _arriving(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
     """A folder of corpus files, and how many of them make a batch, for ``STREAM_BATCHES`` or fewer batches."""
-    folder = _write_sentences(spark, sf_dir, least_files=STREAM_BATCHES)
+    folder = _write_sentences(spark, sf_dir, "gzip", least_files=STREAM_BATCHES)
     return folder, max(1, math.ceil(len(spark.read.text(folder).inputFiles()) / STREAM_BATCHES))
 
 
@@ -582,17 +582,12 @@ def count_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus files counted by a stream that keeps running totals, a share of the files at a time."""
     folder, files = _arriving(spark, sf_dir)
-    counts = stream_counts(
-        spark, folder, [ADJECTIVE_OF_NOUN], BagOfWords(2), layout="splits", files_per_batch=files
-    )
-    path, name = scratch_path(spark, "stream"), f"streamed_{abs(hash(sf_dir))}"
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{name}")
-
-    writer = counts.writeStream.outputMode("complete").foreachBatch(keep)
-    writer.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/{name}")
+    path = scratch_path(spark, "stream")
+    changes = ChangedCounts(spark, f"{path}/changes")
+    stream_changes(
+        spark, folder, changes, f"{path}/state", [ADJECTIVE_OF_NOUN], BagOfWords(2), layout="splits", files_per_batch=files
+    ).awaitTermination()
+    return changes.read()
 
 
 def streamed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from arcwindow.operators.order import row_numbers
+from arcwindow.plans.scratch import cut_lineage
+
 # The three ways in which entries are stripped.
 STRIP = {
     "ws": "[ \\t\\n\\r\\x0b\\f]",  # any ASCII whitespace, both ends
@@ -13,18 +16,19 @@ STRIP = {
 
 
 def read_words(spark: SparkSession, path: str, strip: str = "ws") -> DataFrame:
-    """``word, id`` where id is the line number from 0, in file order.
+    """``word, id`` where id is the line number from 0.
 
-    A list is one file; entries keep their duplicates (see ``operators.vocabulary``).
+    A list is a file, or a folder of files in the order of their names; files are cut anywhere, and lines are
+    numbered over them. Entries keep their duplicates (see ``operators.vocabulary``).
     """
     if strip not in STRIP:
         raise ValueError(f"strip is one of {tuple(STRIP)}")
-    text = spark.read.text(path, wholetext=True)
-    # the last line end closes the last line, it does not open another one
-    body = F.regexp_replace("value", r"\n\z", "")
-    lines = text.where("value <> ''").select(F.posexplode(F.split(body, "\n", -1)).alias("id", "line"))
     space = STRIP[strip]
-    return lines.select(
-        F.regexp_replace("line", rf"\A{space}+|{space}+\z", "").alias("word"),
-        F.col("id").cast("bigint").alias("id"),
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.regexp_replace("value", rf"\A{space}+|{space}+\z", "").alias("word"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
     )
+    numbered = row_numbers(cut_lineage(lines), ["file", "block", "line"], "id")
+    return numbered.select("word", (F.col("id") - 1).alias("id"))

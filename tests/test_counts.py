@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import threading
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from arcwindow.functions.predicates import TokenTest
 from arcwindow.operators.counting import count_pairs, merge_counts, sort_counts
@@ -12,12 +15,12 @@ from arcwindow.operators.matchers import DependencyArcs, Unigrams
 from arcwindow.operators.vocabulary import decode, encode
 from arcwindow.operators.windows import BagOfWords, extract_pairs
 from arcwindow.plans.cooccurrence import cooccurrence_counts
-from arcwindow.sinks.counts import CountStore, export_counts, write_counts, write_pairs
+from arcwindow.sinks.counts import ChangedCounts, CountStore, export_counts, write_counts, write_pairs
 from arcwindow.sources.corpus import read_bad_sentences_stream, read_corpus
 from arcwindow.sources.counts import read_counts
 from arcwindow.sources.pairs import bad_pair_lines, read_pairs
 from arcwindow.sources.words import read_words
-from arcwindow.streaming.counts import stream_counts, stream_merge
+from arcwindow.streaming.counts import stream_changes, stream_counts, stream_merge
 from tests import plain
 from tests.cases import sentences, write
 
@@ -135,11 +138,63 @@ def test_store_merges_its_tables(spark, tmp_path):
     assert counted(store.read()) == {("core", "a", "x"): 7, **{("core", "a", str(i)): i for i in range(7)}}
     version, tables = store._current()
     assert version == 7 and sorted(t.split("-")[0] for t in tables) == ["tier0", "tier1", "tier2"]
-    on_disk = {p.name for p in (tmp_path / "store").iterdir()} - {"versions"}
+    on_disk = {p.name for p in (tmp_path / "store").iterdir()} - {"versions", "snapshots"}
     # those of the version before are still there for its readers
     assert set(tables) <= on_disk and len(on_disk) <= 4
 
 
+def test_store_of_writers_at_once(spark, tmp_path):
+    """Of additions that start from the same version one is made, and none is lost or added twice."""
+    path = str(tmp_path / "store")
+    CountStore(spark, path).add(table(spark, [("core", "a", "x", 1)]))
+    barrier, outcome = threading.Barrier(4), []
+
+    def write(i: int) -> None:
+        store = CountStore(spark, path)
+        publish = store._publish
+        store._publish = lambda *args: (barrier.wait(60), publish(*args))[1]
+        try:
+            outcome.append((i, store.add(table(spark, [("core", "a", f"w{i}", 1)]), batch=i, source="s")))
+        except RuntimeError:
+            outcome.append((i, None))
+
+    threads = [threading.Thread(target=write, args=(i,)) for i in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    (made,) = [i for i, done in outcome if done]
+    assert len(outcome) == 4
+    assert counted(CountStore(spark, path).read()) == {("core", "a", "x"): 1, ("core", "a", f"w{made}"): 1}
+    assert sum(not p.name.startswith(".") for p in (tmp_path / "store" / "versions").iterdir()) == 2
+
+
+def test_store_log_is_compacted(spark, tmp_path):
+    store = CountStore(spark, str(tmp_path / "store"), merge_after=4, snapshot_after=3)
+    for i in range(11):
+        assert store.add(table(spark, [("core", "a", "x", 1)]), batch=i, source="s")
+    names = lambda folder: sorted(p.name for p in (tmp_path / "store" / folder).iterdir() if not p.name.startswith("."))
+    assert len(names("versions")) <= 6 and names("snapshots")[-1].endswith("009") and len(names("snapshots")) <= 2
+    again = CountStore(spark, store.path, snapshot_after=3)
+    assert again.version() == 11 and counted(again.read()) == {("core", "a", "x"): 11}
+    assert not any(again.add(table(spark, [("core", "a", "x", 1)]), batch=i, source="s") for i in range(11))
+
+
+def test_store_with_ten_thousand_versions(spark, tmp_path):
+    """As after 10,000 batches: they are read from one table."""
+    store = CountStore(spark, str(tmp_path / "store"))
+    store.add(table(spark, [("core", "a", "x", 1)]), batch=0, source="s")
+    tables = store._current()[1]
+    rows = spark.range(1, 10_001).select(
+        F.col("id").alias("version"), F.lit("s").alias("source"), (F.col("id") - 1).alias("batch"), F.array(F.lit(tables[0])).alias("tables")
+    )
+    rows.coalesce(1).write.parquet(f"{store.path}/snapshots/{10_000:012d}")
+    assert store._publish(json.dumps({"version": 10_001, "source": "s", "batch": 10_000, "tables": tables}), f"{10_001:012d}")
+    assert not store.add(table(spark, [("core", "a", "x", 1)]), batch=7_777, source="s")
+    assert store.add(table(spark, [("core", "a", "x", 4)]), batch=10_001, source="s") and store.version() == 10_002
+    assert counted(store.read()) == {("core", "a", "x"): 5}
+
+
 def test_export(spark, tmp_path):
     counts = table(spark, [("core", "b", "x", 1), ("peripheral", "a<-->c", "x", 3), ("core", "a", "z", 3)])
     export_counts(counts, str(tmp_path / "out"), by_value=True, reverse=True)
@@ -183,6 +238,19 @@ def test_streams(spark, tmp_path):
     assert counted(store.read()) == {k: 2 * n for k, n in want(3).items()}
     assert store.version() >= 6
 
+    # changed rows only: what the second batch writes does not hold what only the first one has
+    changes, state = ChangedCounts(spark, str(tmp_path / "changes")), str(tmp_path / "running")
+    stream_changes(spark, str(folder), changes, state, matchers, window, files_per_batch=1).awaitTermination()
+    assert counted(changes.read()) == want(3)
+    per_batch = {r["batch"]: r["count"] for r in spark.read.parquet(changes.path).groupBy("batch").count().collect()}
+    distinct = [
+        cooccurrence_counts(read_corpus(spark, str(folder / f"f{i}.txt")), window=2, compositions=[ARCS]).count() for i in range(3)
+    ]
+    assert sorted(per_batch.values()) == sorted(distinct)
+    stream_changes(spark, str(folder), changes, state, matchers, window).awaitTermination()
+    assert counted(changes.read()) == want(3)
+    assert counted(ChangedCounts(spark, str(tmp_path / "none")).read()) == {}
+
     running = stream_counts(spark, str(folder), matchers, window, files_per_batch=1)
     query = running.writeStream.outputMode("complete").format("memory").queryName("running").start()
     query.processAllAvailable()
