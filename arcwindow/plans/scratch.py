@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -28,11 +29,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows as a table in the shared folder and go on from there.
 
     Unlike a checkpoint this computes the rows once, and what follows reads only the
-    columns it needs. The tables stay until the folder is cleared after the job.
+    columns it needs. The tables stay until the folder is cleared after the job. What was
+    shuffled for a table is removed when the table is written: nothing else reads it.
     """
-    path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
