@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Sequence
 
-from arcwindow.functions.arrays import all_distinct, run_lengths
+from pyspark.sql import Column, DataFrame, functions as F
+
+from arcwindow.functions.arrays import all_distinct, let, run_lengths
 from arcwindow.functions.tokens import DEFAULT_FORMAT, DEFAULT_TOKEN_SEP, TOKENS, by_id, format_tokens
 from arcwindow.operators.filters import Words, keep_listed, word_table
+from arcwindow.operators.matchers import Matcher, prepared
+from arcwindow.operators.windows import all_matches
 
 CORE, PERIPHERAL = "core", "peripheral"  # fixed values: names of the two spaces
 
@@ -207,6 +211,62 @@ def whole_sentence_counts(
     return with_space(counts, token_sep)
 
 
+def whole_sentence_match_counts(
+    sentences: DataFrame,
+    matchers: Sequence[Matcher],
+    *,
+    target_format: str = DEFAULT_FORMAT,
+    context_format: str = DEFAULT_FORMAT,
+    token_sep: str = DEFAULT_TOKEN_SEP,
+    block: int = 512,
+) -> DataFrame:
+    """Counts of targets of any length with the whole sentence as window, without listing all pairs.
+
+    A target that occurs n times has n times the words of its sentence as contexts, less what stands at its
+    own places. So each sentence gives a row per pair of distinct target and distinct word with a weight, and a row
+    per own place that is taken off. Runs of targets are dealt out, so that long chunks are no task each.
+    """
+    c_text = format_tokens(TOKENS, context_format)
+    t_text = format_tokens(TOKENS, target_format)
+
+    def found(t: Column, c: Column) -> Column:
+        def of_match(p: Column) -> Column:
+            words = F.transform(p, lambda i: F.get(t, i))
+            composed = F.when(F.forall(words, lambda w: w.isNotNull()), F.array_join(words, token_sep))
+            target = F.when(F.size(p) == 1, F.get(words, F.lit(0))).otherwise(composed)
+            own = F.filter(F.transform(F.array_distinct(p), lambda i: F.get(c, i)), lambda w: w.isNotNull())
+            return F.struct(target.alias("target"), own.alias("own"))
+
+        matches = F.filter(F.transform(all_matches(matchers), of_match), lambda m: m["target"].isNotNull())
+
+        def entries(ms: Column) -> Column:
+            runs = F.transform(run_lengths(ms["target"]), lambda r: entry(r["value"], r["n"], F.lit(None).cast("string")))
+            off = F.transform(ms, lambda m: F.transform(m["own"], lambda w: entry(m["target"], F.lit(-1).cast("bigint"), w)))
+            return F.concat(runs, F.flatten(off))
+
+        return let(matches, entries)
+
+    def entry(value: Column, n: Column, own: Column) -> Column:
+        return F.struct(value.alias("value"), n.alias("n"), own.alias("own"))
+
+    both = let(t_text, lambda t: found(t, t)) if target_format == context_format else let(t_text, lambda t: let(c_text, lambda c: found(t, c)))
+    rows = prepared(sentences, matchers).select(run_lengths(c_text).alias("_c"), both.alias("_t"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_t") - 1, F.lit(0)), F.lit(block))
+    dealt = (
+        rows.select("_c", "_t", F.explode_outer(starts).alias("_start"))
+        .select("_c", F.slice("_t", F.col("_start") + 1, F.lit(block)).alias("_t"))
+        .repartition(F.xxhash64("_t"))
+    )
+    targets = dealt.select("_c", F.explode_outer("_t").alias("t")).where("t IS NOT NULL")
+    taken_off = F.array(F.struct(F.col("t.own").alias("value"), F.lit(1).cast("bigint").alias("n")))
+    contexts = F.when(F.col("t.own").isNull(), F.col("_c")).otherwise(taken_off)
+    pairs = targets.select("t", F.explode_outer(contexts).alias("c")).where("c IS NOT NULL")
+    counts = pairs.groupBy(F.col("t.value").alias("pivot"), F.col("c.value").alias("context")).agg(
+        F.sum(F.col("t.n") * F.col("c.n")).alias("occurrences")
+    )
+    return with_space(counts.where("occurrences > 0"), token_sep)
+
+
 def sort_counts(counts: DataFrame, by_value: bool = False, reverse: bool = False) -> DataFrame:
     """Counts ordered by key, or by value with ties by key; code-point order."""
     order = ["pivot", "context"] if not by_value else ["occurrences", "pivot", "context"]

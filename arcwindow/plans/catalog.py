@@ -31,12 +31,12 @@ from arcwindow.operators.matchers import DependencyArcs, LinearPhrases, Unigrams
 from arcwindow.operators.order import row_numbers
 from arcwindow.operators.split import split_by_sentences, split_by_texts
 from arcwindow.operators.trim import Pivots, trim
-from arcwindow.operators.vocabulary import decode, encode
+from arcwindow.operators.vocabulary import decode_counts, encoded_tokens, packed_counts
 from arcwindow.operators.windows import BagOfWords, extract_pairs, match_rows
 from arcwindow.operators.word_stream import word_stream
 from arcwindow.plans.cooccurrence import cooccurrence_counts
 from arcwindow.plans.scratch import cut_lineage, scratch_path
-from arcwindow.sinks.corpus import sentence_text, write_corpus, write_lines, write_parts
+from arcwindow.sinks.corpus import sentence_text, write_corpus, write_files, write_lines, write_parts
 from arcwindow.sinks.counts import ChangedCounts, CountStore, export_counts, write_counts, write_pairs
 from arcwindow.sources.annotated import (
     benchmark_words,
@@ -247,15 +247,15 @@ def listed_arc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listed_row_col_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = extract_pairs(
+    """Lists that meet finished counts, so pairs are counted once for both directions."""
+    return cooccurrence_counts(
         document_sentences(spark, sf_dir),
-        [Unigrams(), ADJECTIVE_OF_NOUN],
-        BagOfWords(2),
+        window=2,
+        compositions=[ADJECTIVE_OF_NOUN],
         target_format="{lemma}",
         context_format="{lemma}",
-    )
-    return count_pairs(
-        pairs, rows=benchmark_words(spark, sf_dir), cols=conversation_lemmas(spark, sf_dir)
+        rows=benchmark_words(spark, sf_dir),
+        cols=conversation_lemmas(spark, sf_dir),
     )
 
 
@@ -263,16 +263,9 @@ def encoded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets and contexts as list indices, and the indices read back."""
     words = benchmark_words(spark, sf_dir)
     words = row_numbers(words, ["word"], "n").select("word", (F.col("n") - 1).alias("id"))
-    counts = cooccurrence_counts(
-        document_sentences(spark, sf_dir),
-        window=1,
-        target_format="{lemma}",
-        context_format="{lemma}",
-    )
-    coded = encode(encode(counts, "pivot", words, "pivot_id"), "context", words, "context_id")
-    known = coded.where("pivot_id IS NOT NULL AND context_id IS NOT NULL")
-    back = decode(known.select("pivot_id", "context_id", "occurrences"), "pivot_id", words, "pivot")
-    return decode(back, "context_id", words, "context")
+    words = cut_lineage(words)
+    coded = encoded_tokens(document_sentences(spark, sf_dir), words, KEYS, "{lemma}")
+    return decode_counts(packed_counts(coded, 1), words)
 
 
 def word_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -534,13 +527,13 @@ def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rewritten_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From files to files: whole-number ids, lemmas lowered before they are tested, trimmed, markup kept."""
+    """From files to the same files: whole-number ids, lemmas lowered before they are tested, trimmed, markup kept."""
     sentences = document_sentences(spark, sf_dir).withColumn("tok_lemma", F.col("tok_word"))
     path, out = scratch_path(spark, "cased"), scratch_path(spark, "trimmed")
     write_corpus(sentences.withColumn("text_open", _opening()), path)
     corpus = read_corpus(spark, path, layout="splits", int_ids=True, keep_tails=True)
     trimmed = trim(corpus, Pivots(lemma=".*[aeiou]n", pos="N|J|V"), to_lower=True)
-    write_corpus(trimmed, out)
+    write_files(trimmed, out)
     return _read_back(read_corpus(spark, out, layout="splits"))
 
 

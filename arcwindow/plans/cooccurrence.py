@@ -12,6 +12,7 @@ from arcwindow.operators.counting import (
     count_pairs,
     filter_counts,
     whole_sentence_counts,
+    whole_sentence_match_counts,
     with_space,
 )
 from arcwindow.operators.filters import Words
@@ -51,8 +52,8 @@ def cooccurrence_counts(
 ) -> DataFrame:
     """Core and peripheral counts of a corpus in one pass and one shuffle.
 
-    Single words with the whole sentence as window are counted from the word counts of
-    each sentence, without listing the pairs. ``long_chunks`` is for whole texts as
+    With the whole sentence as window, pairs are counted from the targets and words of
+    each sentence, without listing them. ``long_chunks`` is for whole texts as
     chunks (:func:`extract_pairs`): their targets are dealt out by a shuffle of their own.
     """
     if content_only:
@@ -71,6 +72,10 @@ def cooccurrence_counts(
     features = features or BagOfWords(window)
     lists = dict(targets=targets, first=first, second=second, contexts=contexts)
     unlisted = all(words is None for words in lists.values())
+    if unlisted and isinstance(features, BagOfWords) and not features.w:
+        formats = dict(target_format=target_format, context_format=context_format, token_sep=token_sep)
+        counts = whole_sentence_match_counts(sentences, matchers, **formats)
+        return filter_counts(counts, token_sep=token_sep, rows=rows, cols=cols)
     pairs = extract_pairs(
         sentences,
         matchers,

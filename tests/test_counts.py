@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from arcwindow.functions.predicates import TokenTest
-from arcwindow.operators.counting import count_pairs, merge_counts, sort_counts
-from arcwindow.operators.matchers import DependencyArcs, Unigrams
-from arcwindow.operators.vocabulary import decode, encode
+from arcwindow.operators.counting import count_pairs, merge_counts, sort_counts, whole_sentence_match_counts
+from arcwindow.operators.matchers import DependencyArcs, LinearPhrases, Unigrams
+from arcwindow.operators.vocabulary import decode, decode_counts, encode, encoded_tokens, packed_counts
 from arcwindow.operators.windows import BagOfWords, extract_pairs
 from arcwindow.plans.cooccurrence import cooccurrence_counts
 from arcwindow.sinks.counts import ChangedCounts, CountStore, export_counts, write_counts, write_pairs
@@ -211,6 +211,35 @@ def test_vocabulary(spark, tmp_path):
     assert {(r.i, r.w) for r in back.collect()} == {(2, "red"), (1, "car")}
 
 
+@pytest.mark.parametrize("block", [512, 2])
+def test_whole_sentence_counts_of_phrases(spark, tmp_path, block):
+    """Like pairs listed one by one; words that repeat, phrases that overlap, and tokens without text."""
+    text = "".join(f"{plain.corpus(sentences(i, 9, 9, wild=True))}</text>\n" for i in range(50, 53))
+    phrase = LinearPhrases("T<pos=NN.?>T<>(T<pos=JJ>T<>)*")
+    for separator in ("s", "text"):
+        corpus = read_corpus(spark, write(tmp_path, text), separator=separator)
+        for matchers in ([ARCS], [Unigrams(), ARCS, phrase], [phrase]):
+            for formats in ({}, dict(target_format="{lemma}", context_format="{pos}")):
+                want = counted(count_pairs(extract_pairs(corpus, matchers, BagOfWords(), **formats)))
+                assert counted(whole_sentence_match_counts(corpus, matchers, block=block, **formats)) == want
+
+
+@pytest.mark.parametrize("separator, w", [("s", 1), ("s", 3), ("text", 2)])
+def test_encoded_before_counting(spark, tmp_path, separator, w):
+    """Like counts of words that are encoded afterwards; also where ids repeat, and with repeated list entries."""
+    text = "".join(f"{plain.corpus(sentences(i, 7, 9))}</text>\n" for i in range(40, 44))
+    corpus = read_corpus(spark, write(tmp_path, text), separator=separator).withColumn("k", F.to_json("sent_key")).drop("sent_key")
+    words = read_words(spark, write(tmp_path, "red\ncar\nbe\nred\nthe\nnone\n", "list.txt"))
+    counts = cooccurrence_counts(corpus, window=w, target_format="{lemma}", context_format="{lemma}")
+    want = encode(encode(counts, "pivot", words, "pivot_id"), "context", words, "context_id")
+    want = want.where("pivot_id IS NOT NULL AND context_id IS NOT NULL")
+    coded = encoded_tokens(corpus, words, ["k"], "{lemma}")
+    columns = ["pivot_id", "context_id", "occurrences", "pivot", "context"]
+    got = decode_counts(packed_counts(coded, w), words).select(columns).collect()
+    assert sorted(got) == sorted(want.select(columns).collect()) and len(got) > 8
+    assert packed_counts(encoded_tokens(corpus, words.limit(0), ["k"], "{lemma}"), w).collect() == []
+
+
 def test_streams(spark, tmp_path):
     folder = tmp_path / "arriving"
     folder.mkdir()

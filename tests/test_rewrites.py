@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from urllib.parse import unquote
 
 import pytest
 
@@ -13,7 +14,7 @@ from arcwindow.operators.order import running_totals
 from arcwindow.operators.split import split_by_sentences, split_by_texts
 from arcwindow.operators.trim import Pivots, trim
 from arcwindow.operators.word_stream import word_stream
-from arcwindow.sinks.corpus import sentence_text, write_corpus
+from arcwindow.sinks.corpus import sentence_text, write_corpus, write_files
 from arcwindow.sources.corpus import read_corpus
 from pyspark.sql import functions as F
 from tests import plain
@@ -168,3 +169,33 @@ def test_parts_need_a_size(spark):
     for split in (split_by_texts, split_by_sentences):
         with pytest.raises(ValueError):
             split(df, ["k"], 0)
+
+
+@pytest.mark.parametrize("layout", ["files", "splits"])
+def test_rewritten_files_keep_files_and_order(spark, tmp_path, layout):
+    """Every input file has a folder of its own with its lines in order, also where it was read in many splits."""
+    folder, out = tmp_path / "in", tmp_path / f"out-{layout}"
+    folder.mkdir()
+    whole = {}
+    for i, n in enumerate((40, 1, 7)):
+        name = f"f {i}=%.txt"
+        whole[str(folder / name)] = text = f'<text id="{i}">\n{plain.corpus(sentences(60 + i, n, 9))}</text>\n'
+        write(folder, text, name)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        corpus = read_corpus(spark, str(folder), layout=layout, keep_tails=True)
+        write_files(corpus, str(out))
+        trimmed = trim(corpus, Pivots(pos="N"))
+        write_files(trimmed, str(out) + "-trimmed")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+    def written(path) -> dict[str, str]:
+        found = {}
+        for part in sorted(path.glob("file=*/part-*"), key=lambda p: (p.parent, p.name)):
+            name = re.sub("^file:/+", "/", unquote(unquote(part.parent.name.removeprefix("file="))))
+            found[name] = found.get(name, "") + part.read_text()
+        return found
+
+    assert written(out) == whole
+    assert set(written(tmp_path / f"out-{layout}-trimmed")) == set(whole)
