@@ -126,11 +126,14 @@ def near_copies() -> list[str | None]:
     return texts + texts[20:30]
 
 
-@pytest.mark.parametrize("width, percent, many", [(4, 85, 16), (5, 80, 2), (1, 50, 3)])
-def test_jaccard_join(spark, near_copies, monkeypatch, width, percent, many):
-    monkeypatch.setattr(jaccard, "MANY", many)
-    monkeypatch.setattr(jaccard, "SMALL", {16: 48, 2: 0, 3: 4}[many])
-    monkeypatch.setattr(jaccard, "BLOCK", {16: 256, 2: 5, 3: 256}[many])
+@pytest.mark.parametrize(
+    "width, percent, rare, small, rounds, block",
+    [(4, 85, 3, 48, 5, 768), (5, 80, 1, 0, 1, 5), (1, 50, 0, 4, 3, 768), (4, 85, 1, 1, 0, 7), (5, 80, 0, 0, 50, 7)],
+)
+def test_jaccard_join(spark, near_copies, monkeypatch, width, percent, rare, small, rounds, block):
+    """Also with all buckets large, with no rounds or many, with many blocks, and bitmaps that hold nearly everything."""
+    for name, value in (("RARE", rare), ("SMALL", small), ("ROUNDS", rounds), ("BLOCK", block), ("BITMAP_BITS", 9 if rounds == 1 else 26)):
+        monkeypatch.setattr(jaccard, name, value)
     texts = dict(enumerate(near_copies))
     want = brute.components(texts, brute.jaccard_links(texts, width, percent))
     got = {r["doc_id"]: r for r in jaccard.join_components(documents(spark, near_copies), width, percent).collect()}
@@ -158,7 +161,29 @@ def test_jaccard_join_of_odd_and_empty_tables(spark, odd_documents, no_documents
     kept = jaccard.keep_one(odd_documents)
     assert kept.columns == odd_documents.columns and kept.where("doc_id = 5").count() == 0
     assert kept.where("doc_id IN (0, 1, 2)").count() == 3  # empty sets have no links
+    # a repeated row, and a copy without id, go as copies do
+    assert kept.where("doc_id = 9").count() == 1 and kept.where("doc_id IS NULL").count() == 0
     assert jaccard.join_components(no_documents).count() == 0
+    assert jaccard.keep_one(no_documents).collect() == []
+
+
+def test_rows_that_share_an_id_are_compared_one_by_one(spark):
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 50) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, b), (None, c), (None, prose(rng, 50)), (4, None), (4, None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "doc_id * 10 AS `a.b`", "'x' AS key", "1 AS row")
+    kept = [tuple(r) for r in jaccard.keep_one(table).select("doc_id", "text", "`a.b`").collect()]
+    want = [(1, a, 10), (2, b, 20), (3, c, 30), (4, None, 40), (4, None, 40), (None, rows[6][1], None)]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
+def test_jaccard_join_of_text_ids_and_dotted_names(spark, near_copies):
+    table = documents(spark, near_copies[:60]).selectExpr("concat('d', lpad(doc_id, 3, '0')) AS doc_id", "text", "1 AS `a.b`")
+    want = brute.components(range(60), brute.jaccard_links(dict(enumerate(near_copies[:60])), 4, 85))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join_components(table).collect()}
+    assert got == {f"d{i:03}": f"d{c:03}" for i, c in want.items()}
+    kept = jaccard.keep_one(table)
+    assert kept.columns == table.columns and kept.count() == len(set(want.values()))
 
 
 # -- embeddings -------------------------------------------------------------------------------

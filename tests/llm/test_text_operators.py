@@ -8,11 +8,11 @@ import pytest
 from tokenizers import Tokenizer
 
 from arcwindow.llm import decontaminate, secret_scan, token_counts
-from arcwindow.llm.queries import TOKENIZERS
+from arcwindow.llm.queries import BYTE_BPE, vocabulary_file
 from tests.llm import brute
 from tests.llm.conftest import documents, prose
 
-VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
+VOCABULARY = vocabulary_file(BYTE_BPE)
 
 
 # -- secrets ------------------------------------------------------------------------------
