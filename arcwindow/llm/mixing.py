@@ -5,8 +5,13 @@ whole part of ``r`` is given; the fraction is rounded pair by pair. Of two open
 the first gives words to the second or the second to the first, until one of them has a whole
 number of copies; which way is drawn so that every document keeps its expectation, and the words
 of the pair stay the same. The open rest of a block of documents meets the rests of other blocks,
-level by level, until one document per source is left, which goes to the nearer side. So a source's
-words miss their target by at most half a document, mostly a short one.
+level by level, until one document per source is left, which is drawn.
+
+Of a pair mostly the shorter document becomes whole, so what is left is long. Therefore documents are rounded in
+classes of sizes (powers of eight), longest first. What a class took too much or too little is made good by the
+fractions of all shorter documents, which are rounded after it. The last class of a source draws no more: its last
+document goes to the nearer side. So a source's words miss their target by at most half of one of its short
+documents, and every document keeps its expectation where no fraction has to be held to 0 or 1.
 
 Everything is a column expression. Blocks hold about ``FAN_IN`` documents by a hash of the row,
 so no source, however large, meets in one task; levels grow with the logarithm of the rows.
@@ -19,13 +24,17 @@ rows are documents of their own. Columns other than ``doc_id, text, source`` are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import functools
+
+from pyspark.sql import Column, DataFrame, functions as F
 
-from arcwindow.operators.order import running_totals
+from arcwindow.operators.order import row_numbers, running_totals
 from arcwindow.plans.scratch import cut_lineage
 
 #: Documents, or rests, that one block rounds.
 FAN_IN = 64
+#: Sizes of a class are within this power of two.
+CLASS_BITS = 3
 MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -108,7 +117,6 @@ def rounded(seed: int, id_type: str) -> Column:
             .otherwise(step(still(a, a["p"] - b_room / a["size"]), b, 1))
         )
 
-    # long documents first, so that what is left in the end is short
     return F.aggregate(F.sort_array("docs", asc=False), start, pair)
 
 
@@ -121,73 +129,104 @@ def mix(
 ) -> DataFrame:
     """``doc_id, key, size, source_size, target, copies``, a row per document; ``key`` hashes id and text."""
     rows = cut_lineage(sized(documents, word))
-    id_type = dict(rows.dtypes)["doc_id"]
     targets = cut_lineage(source_targets(rows, weights, most).withColumn("_s", F.xxhash64("source")))
-    asked = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select(
-        "doc_id",
-        "key",
-        "size",
-        "_s",
-        "n_docs",
-        "source_size",
-        "target",
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"),
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    per_source = targets.select(
+        "_s", "source", "source_size", "target", F.floor(rate).alias("_whole"), (F.col("target") - F.floor(rate) * F.col("source_size")).alias("_rest")
+    )
+    asked = rows.join(per_source, rows["source"].eqNullSafe(per_source["source"])).select(
+        "doc_id", "key", "size", "_s", "source_size", "target", "_whole", "_rest", F.floor(F.log2(F.col("size").cast("double")) / CLASS_BITS).alias("_class")
+    )
+    asked = cut_lineage(asked)
+    open_ = asked.where("size > 0 AND _rest > 0")
+    sums = cut_lineage(open_.groupBy("_s", "_class").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n_docs")))
+    decided: list[DataFrame] = []
+    # a size has 63 bits, so there are few classes
+    for one in [r[0] for r in sums.select("_class").distinct().orderBy(F.desc("_class")).collect()]:
+        shares = class_shares(per_source, sums, decided, one)
+        members = open_.where(F.col("_class") == one).join(shares, "_s")
+        decided.append(cut_lineage(rounded_class(members, seed)))
+    columns = ["doc_id", "key", "size", "source_size", "target"]
+    fixed = asked.where("size = 0 OR _rest <= 0").select(*columns, F.col("_whole").cast("int").alias("copies"))
+    up = functools.reduce(DataFrame.unionByName, decided).join(per_source, "_s") if decided else None
+    if up is None:
+        return fixed
+    return fixed.unionByName(up.select(*columns, (F.col("_whole") + F.col("up")).cast("int").alias("copies")))
+
+
+def class_shares(per_source: DataFrame, sums: DataFrame, decided: list[DataFrame], one: int) -> DataFrame:
+    """``_s, n_docs, p, nearest`` of a class: the fraction that meets what is still open, and whether it is the source's last."""
+    left = sums.where(F.col("_class") <= one).groupBy("_s").agg(
+        F.sum("words").alias("words"),
+        F.max(F.when(F.col("_class") == one, F.col("n_docs"))).alias("n_docs"),
+        F.min("_class").alias("least"),
     )
-    whole = F.floor("_rate")
-    fraction = F.col("_rate") - whole
+    given = [d.groupBy("_s").agg(F.sum(F.col("size") * F.col("up")).alias("given")) for d in decided]
+    table = per_source.select("_s", "_rest").join(left.where("n_docs IS NOT NULL"), "_s")
+    if given:
+        so_far = functools.reduce(DataFrame.unionByName, given).groupBy("_s").agg(F.sum("given").alias("given"))
+        table = table.join(so_far, "_s", "left")
+    else:
+        table = table.withColumn("given", F.lit(0))
+    p = (F.col("_rest") - F.coalesce("given", F.lit(0))) / F.col("words")
+    return table.select("_s", "n_docs", F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0)).alias("p"), (F.col("least") == one).alias("nearest"))
+
+
+def rounded_class(members: DataFrame, seed: int) -> DataFrame:
+    """``_s, doc_id, key, size, up`` of documents ``_s, doc_id, key, size, p, n_docs, nearest``: one more copy or none."""
+    id_type = dict(members.dtypes)["doc_id"]
+    columns = ["_s", "doc_id", "key", "size"]
+    whole = members.where("p <= 0 OR p >= 1").select(*columns, (F.col("p") >= 1).cast("int").alias("up"))
     level = (
-        asked.where((F.col("size") > 0) & (fraction > 0))
+        members.where("p > 0 AND p < 1")
         .withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "key"), F.ceil(F.col("n_docs") / FAN_IN)))
         .groupBy("_s", "_block")
-        .agg(F.collect_list(F.struct("size", "key", "doc_id", fraction.alias("p"))).alias("docs"))
+        .agg(F.collect_list(F.struct("size", "key", "doc_id", "p")).alias("docs"), F.max("n_docs").alias("n_docs"), F.max("nearest").alias("nearest"))
     )
-    blocks = targets.agg(F.max(F.ceil(F.col("n_docs") / FAN_IN))).first()[0] or 1
-    decided = None
+    decided, blocks = whole, None
     while True:
-        now = cut_lineage(level.select("_s", "_block", rounded(seed, id_type).alias("r")).select("_s", "_block", "r.*"))
+        now = cut_lineage(level.select("_s", "_block", "n_docs", "nearest", rounded(seed, id_type).alias("r")).select("_s", "_block", "n_docs", "nearest", "r.*"))
         done = now.select("_s", F.explode("done").alias("d")).select("_s", "d.*")
-        decided = done if decided is None else decided.unionByName(done)
+        decided = decided.unionByName(done)
+        if blocks is None:
+            blocks = -(-(now.agg(F.max("n_docs")).first()[0] or 1) // FAN_IN)
         if blocks <= 1:
             break
         blocks = -(-blocks // FAN_IN)
         level = (
             now.where("open IS NOT NULL")
             .groupBy("_s", F.floor(F.col("_block") / FAN_IN).alias("_block"))
-            .agg(F.collect_list("open").alias("docs"))
+            .agg(F.collect_list("open").alias("docs"), F.max("n_docs").alias("n_docs"), F.max("nearest").alias("nearest"))
         )
-    alone = now.where("open IS NOT NULL").select("_s", "open.*")
-    alone = alone.withColumn("up", (F.col("p") >= 0.5).cast("int"))
-    decided = decided.unionByName(alone.select(decided.columns))
-    per_source = targets.select(
-        "_s",
-        "source_size",
-        "target",
-        F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).alias("_whole"),
-    )
-    fixed = asked.where((F.col("size") == 0) | (fraction == 0))
-    columns = ["doc_id", "key", "size", "source_size", "target"]
-    return (
-        decided.join(per_source, "_s")
-        .select(*columns, (F.col("_whole") + F.col("up")).cast("int").alias("copies"))
-        .unionByName(fixed.select(*columns, whole.cast("int").alias("copies")))
-    )
+    alone = now.where("open IS NOT NULL").select("_s", "nearest", "open.*")
+    up = F.when(F.col("nearest"), F.col("p") >= 0.5).otherwise(drawn(seed, F.lit("last"), F.col("key")) < F.col("p"))
+    return decided.unionByName(alone.select(*columns, up.cast("int").alias("up")))
 
 
 def take_copies(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them, empty ones never; ``copy`` counts from 1.
 
-    Rows that repeat id and text share the copies they were given together.
+    Rows that repeat id and text share the copies they were given together. A column ``copy`` that is there
+    already gives way to the new one.
     """
-    given = mixed.groupBy("doc_id", "key").agg(
-        F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(0)).alias("_given"), F.count(F.lit(1)).alias("_rows")
-    )
-    given = given.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "_given", "_rows").where("_given > 0")
-    keyed = documents.withColumn("_key", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(given, keyed["doc_id"].eqNullSafe(given["_id"]) & (keyed["_key"] == given["_k"]))
-    place = F.row_number().over(Window.partitionBy("_id", "_k").orderBy("_given"))
-    copies = F.floor(F.col("_given") / F.col("_rows")) + (place <= F.col("_given") % F.col("_rows")).cast("int")
-    return (
-        joined.withColumn("_copies", copies.cast("int"))
-        .where("_copies > 0")
-        .select(*[F.col(f"`{c}`") for c in documents.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
+    given = mixed.groupBy(F.col("doc_id").alias("id"), "key").agg(
+        F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(0)).alias("given"), F.count(F.lit(1)).alias("n")
     )
+    given = cut_lineage(given.where("given > 0").withColumnRenamed("key", "k"))
+    names = [c for c in documents.columns if c.lower() != "copy"]
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    # names of the struct's own are out of the way of those here
+    keyed = rows.withColumn("key", F.xxhash64("row.doc_id", "row.text"))
+    joined = keyed.join(given, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")))
+    taken = joined.where("n = 1").select("row", F.col("given").cast("int").alias("copies"))
+    if given.where("n > 1").head(1):
+        # equal rows are numbered, however many there are
+        same = joined.where("n > 1").select("row", "id", "key", "given", "n").withColumn("read", F.monotonically_increasing_id())
+        numbered = cut_lineage(row_numbers(same, ["id", "key", "read"], "place"))
+        firsts = numbered.groupBy("id", "key").agg(F.min("place").alias("first")).withColumnsRenamed({"id": "i", "key": "k"})
+        placed = numbered.join(firsts, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))
+        more = (F.col("place") - F.col("first") < F.col("given") % F.col("n")).cast("int")
+        taken = taken.unionByName(placed.select("row", (F.floor(F.col("given") / F.col("n")) + more).cast("int").alias("copies")))
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
+    taken = taken.where("copies > 0").select("row", copies)
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in names], "copy")
