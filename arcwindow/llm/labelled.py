@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Rows of each class, about, and bytes of a text, at most, that a classifier is fitted on.
 PER_CLASS = 3000
 TEXT_BYTES = 32 << 10
+#: Score of every text where labels do not show both classes: nothing is known then, and nothing is marked.
+UNKNOWN = 0.0
 
 
 def held_out(folds: int, fold: int, doc_id: str = "doc_id") -> Column:
@@ -47,8 +51,10 @@ def labelled_sample(
     return [(r["label"], r["text"]) for r in sorted(rows.toLocalIterator(), key=lambda r: (hash_order(r["doc_id"]), r["text"]))]
 
 
-def hash_order(doc_id: int) -> int:
-    return (int(doc_id) * 0x9E3779B97F4A7C15) % (1 << 64)
+def hash_order(doc_id: object) -> int:
+    """A number by which ids of any type are put in a fixed order."""
+    number = doc_id if isinstance(doc_id, int) else int.from_bytes(hashlib.sha256(str(doc_id).encode()).digest()[:8])
+    return (number * 0x9E3779B97F4A7C15) % (1 << 64)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:

@@ -10,7 +10,7 @@ The model is fitted on about ``PER_CLASS`` rows of each class, and only texts of
 does not grow.
 
 Defined results: a null text is an empty one and gets the score of no difference; without labels of
-both classes all scores are 0.5; repeated rows stay; columns other than ``doc_id, text`` are ignored.
+both classes all scores are ``UNKNOWN``, below every threshold; repeated rows stay; columns other than ``doc_id, text`` are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from arcwindow.llm.labelled import held_out, labelled_sample, logistic, on_curve
+from arcwindow.llm.labelled import UNKNOWN, held_out, labelled_sample, logistic, on_curve
 
 DICTIONARY_BYTES = 64 << 10
 BLOCK = 1024
@@ -88,7 +88,7 @@ def quality_scores(
         sizes = Sizes(model.good, model.bad) if model else None
         for batch in batches:
             if sizes is None:
-                scores = np.full(len(batch), 0.5)
+                scores = np.full(len(batch), UNKNOWN)
             else:
                 scores = on_curve(np.array([[sizes(t.as_py())] for t in batch["text"]]).reshape(-1, 1), model.weights)
             yield pa.RecordBatch.from_arrays(

@@ -61,7 +61,16 @@ def test_scores_of_odd_and_empty_tables(spark, odd_documents, no_documents, scor
     assert got.columns == ["doc_id", "held_out", "score"] and got.count() == odd_documents.count()
     assert got.where("score IS NULL OR score < 0 OR score > 1").count() == 0
     assert scores(no_documents, few, label).count() == 0
-    assert {r["score"] for r in scores(odd_documents, few.where("false"), label).collect()} == {0.5}
+    for known in (few.where("false"), few.where(f"{label} = 1"), few.where(f"{label} = 0")):
+        assert {r["score"] for r in scores(odd_documents, known, label).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("scores", [quality.quality_scores, toxicity.toxicity_scores], ids=["quality", "toxicity"])
+def test_scores_of_text_ids(spark, scores):
+    table = spark.createDataFrame([(f"d{i}", ("fine words " if i % 2 else "vile mess ") * 20) for i in range(80)], "doc_id string, text string")
+    known = spark.createDataFrame([(f"d{i}", i % 2) for i in range(80)], "doc_id string, label int")
+    got = scores(table, known, "label").join(known, "doc_id").groupBy("label").agg(F.avg("score"))
+    assert dict(got.collect())[1] > dict(got.collect())[0]
 
 
 def test_quality_tells_junk_from_prose(spark):
