@@ -36,6 +36,8 @@ HEADLINE = [
     "corpus_counts",
     "phrase_run_counts",
     "text_file_counts",
+    "phrase_groups",
+    "encoded_counts",
 ]
 
 
