@@ -20,7 +20,9 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +37,23 @@ from arcwindow.plans.scratch import cut_lineage
 TOGETHER = 1 << 19
 #: Pairs of ids whose counts are handed to all tasks at most.
 KNOWN = 1 << 18
+#: Parts of texts whose tokens a task remembers.
+REMEMBERED = 400_000
+#: Parts that are tokenized as one text.
+JOINED = 4096
+#: Spaces before which a tokenizer may not cut.
+UNSURE = re.compile(r"(?:^|[^!-~]) | \Z")
 #: Tokens of one side from which a group's ids are made distinct before they are paired.
 LARGE_GROUP = 8
 
 
 class Tokenizers:
-    """Two tokenizers: ids of texts, the bytes of each id, and ids written as text."""
+    """Two tokenizers: ids of texts, the bytes of each id, and ids written as text.
+
+    Both cut before a space that follows a visible ASCII sign: the first because its pattern lets no token have
+    white space after anything else, the second if no piece has a space after anything else. So texts are cut there, and
+    parts are tokenized once and remembered within a task, up to ``REMEMBERED`` of them.
+    """
 
     def __init__(self, first: str, second: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -53,43 +66,106 @@ class Tokenizers:
         of_symbol = {s: bytes([i]) for i, s in enumerate(byte_symbols())}
         tokens = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size(with_added_tokens=True))]
         self.a_bytes = [b"".join(of_symbol.get(c, c.encode()) for c in t) for t in tokens]
-        self.b_bytes = [
-            bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
-            for i in range(self.b.get_piece_size())
-        ]
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        with open(first, encoding="utf-8") as f:
+            file = json.load(f)
+        own_pattern = file["pre_tokenizer"] or {}
+        self.in_parts = (
+            file["normalizer"] is None
+            and own_pattern.get("type") == "ByteLevel"
+            and own_pattern.get("use_regex", True)
+            and not own_pattern.get("add_prefix_space", True)
+            and not any(re.search("[^▁]▁", p) for p in pieces)
+            and self.b.encode("a  b c", out_type=str)[:1] == ["▁a"]
+            and b"".join(self.b_bytes[i] for i in self.b.encode("a  b ")) == b" a  b "
+        )
         self.a_lengths, self.b_lengths = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
         # ids as digits with what may follow them; rows are filled up with zeros
         names = [f"{i}{end}" for n, last in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";")) for i in range(n) for end in (",", last)]
         width = max(map(len, names))
         self.digits = np.frombuffer("".join(x.ljust(width, "\0") for x in names).encode(), dtype=np.uint8).reshape(-1, width)
         self.digit_lengths = np.array([len(x) for x in names], dtype=np.int64)
+        self.known_a: dict[str, bytes] = {}
+        self.known_b: dict[str, bytes] = {}
+        self.unequal: set[str] = set()
 
     @property
     def n_second(self) -> int:
         return len(self.b_bytes)
 
-    def __call__(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def parts(self, text: str) -> list[str]:
+        """The text cut at spaces before which both tokenizers cut; the space is left out."""
+        if not self.in_parts:
+            return [text]
+        words = text.split(" ")
+        if UNSURE.search(text) is None:
+            return words
+        joined = words[:1]
+        for word in words[1:]:
+            if word and joined[-1] and "!" <= joined[-1][-1] <= "~":
+                joined.append(word)
+            else:
+                joined[-1] += " " + word
+        return joined
+
+    def learn(self, parts: set[str]) -> None:
+        unknown = list(parts.difference(self.known_a))
+        if not unknown:
+            return
+        if len(self.known_a) + len(unknown) > REMEMBERED:
+            for known in (self.known_a, self.known_b, self.unequal):
+                known.clear()
+            unknown = list(parts)
+        # parts before which and after which both cut are tokenized as one text
+        joined, alone = [], []
+        for part in unknown:
+            (joined if part and "!" <= part[-1] <= "~" and self.in_parts else alone).append(part)
+        for first in range(0, len(joined), JOINED):
+            self.learn_joined(joined[first : first + JOINED])
+        self.learn_alone(alone)
+
+    def learn_joined(self, parts: list[str]) -> None:
+        text = " ".join(parts)
+        raw = (" " + text).encode()
+        ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+        # the second tokenizer puts a space before its text
+        both = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        found = []
+        for ids, known, lengths in zip(both, (self.a_bytes, self.b_bytes), (self.a_lengths, self.b_lengths)):
+            at = np.cumsum(lengths[ids])
+            cuts = np.searchsorted(at, ends)
+            if b"".join(map(known.__getitem__, ids)) != raw or not np.array_equal(at[np.minimum(cuts, len(at) - 1)], ends):
+                return self.learn_alone(parts)
+            found.append((np.array(ids, dtype=np.int32).tobytes(), [0, *(4 * (cuts + 1)).tolist()]))
+        for known, (ids, cuts) in zip((self.known_a, self.known_b), found):
+            known.update(zip(parts, map(ids.__getitem__, map(slice, cuts, cuts[1:]))))
+
+    def learn_alone(self, parts: list[str]) -> None:
+        both = self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False), self.b.encode(parts, num_threads=1)
+        for part, a, b in zip(parts, *both):
+            raw = (" " + part).encode()
+            if b"".join(map(self.a_bytes.__getitem__, a.ids)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+                self.unequal.add(part)
+            self.known_a[part] = np.array(a.ids, dtype=np.int32).tobytes()
+            self.known_b[part] = np.array(b, dtype=np.int32).tobytes()
+
+    def __call__(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Ids of each text by both tokenizers; none where their bytes are not those of a space and the text."""
-        spaced = [" " + t for t in texts]
-        a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        for i, text in enumerate(spaced):
-            raw = text.encode()
-            same = len(raw) > 1 and all(
-                b"".join(map(known.__getitem__, ids)) == raw for known, ids in ((self.a_bytes, a[i]), (self.b_bytes, b[i]))
-            )
-            if not same:
-                a[i] = b[i] = []
-        return a, b
+        cut = [self.parts(t) if t else [] for t in texts]
+        self.learn({p for parts in cut for p in parts})
+        if self.unequal:
+            cut = [parts if self.unequal.isdisjoint(parts) else [] for parts in cut]
+        return tuple([b"".join(map(known.__getitem__, parts)) for parts in cut] for known in (self.known_a, self.known_b))
 
 
 class Groups:
     """The groups of the tokens of several texts."""
 
-    def __init__(self, tokenizers: Tokenizers, a: list[list[int]], b: list[list[int]]) -> None:
+    def __init__(self, tokenizers: Tokenizers, a: list[bytes], b: list[bytes]) -> None:
         self.tokenizers = tokenizers
-        self.a, self.b = (np.fromiter((i for ids in x for i in ids), dtype=np.int64) for x in (a, b))
-        self.n_a, self.n_b = (np.array([len(ids) for ids in x], dtype=np.int64) for x in (a, b))
+        self.a, self.b = (np.frombuffer(b"".join(x), dtype=np.int32).astype(np.int64) for x in (a, b))
+        self.n_a, self.n_b = (np.array([len(ids) // 4 for ids in x], dtype=np.int64) for x in (a, b))
         a_lengths, b_lengths = tokenizers.a_lengths[self.a], tokenizers.b_lengths[self.b]
         a_ends, b_ends = np.cumsum(a_lengths), np.cumsum(b_lengths)
         n = len(self.a)

@@ -110,7 +110,7 @@ def test_shards(spark, odd_documents, no_documents, tmp_path):
     rng = random.Random(2)
     table = documents(spark, [None, "", *[prose(rng, rng.randint(1, 40)) for _ in range(150)]] * 2)
     for df in (table, odd_documents.drop("spans"), table.selectExpr("*", "1 AS `a.b`", "map('x', 1) AS m", "0 AS place", "0 AS number", "0 AS read")):
-        for n_shards in (1, 7, 24):
+        for n_shards in (7, 24):
             rows = shards.sharded(df, "doc_id", n_shards).collect()
             n = df.count()
             assert len(rows) == n
@@ -176,12 +176,12 @@ def mixed_texts(odd_texts) -> list[str | None]:
     return [*odd_texts, *odd, *[prose(rng, rng.randint(1, 60)) for _ in range(40)]]
 
 
-@pytest.mark.parametrize("known, together, large", [(1 << 18, 1 << 19, 8), (20, 100, 1), (0, 1 << 19, 2)])
-def test_alignment(spark, files, mixed_texts, monkeypatch, known, together, large):
-    """Also with rare pairs joined, all pairs joined, small pieces, and ids made distinct in small groups."""
-    for name, value in (("KNOWN", known), ("TOGETHER", together), ("LARGE_GROUP", large)):
+@pytest.mark.parametrize("known, together, large, remembered", [(1 << 18, 1 << 19, 8, 400_000), (20, 100, 1, 30), (0, 1 << 19, 2, 0)])
+def test_alignment(spark, files, mixed_texts, monkeypatch, known, together, large, remembered):
+    """Also with rare pairs joined, all pairs joined, small pieces, ids made distinct in small groups, and little memory."""
+    for name, value in (("KNOWN", known), ("TOGETHER", together), ("LARGE_GROUP", large), ("REMEMBERED", remembered)):
         monkeypatch.setattr(alignment, name, value)
-    rows = alignment.aligned(documents(spark, mixed_texts), *files).collect()
+    rows = alignment.aligned(documents(spark, mixed_texts).coalesce(2), *files).collect()
     want, _ = brute.token_alignment(mixed_texts, *files)
     got = {r["doc_id"]: tuple(r[c] for c in NAMES) for r in rows}
     assert len(rows) == len(mixed_texts)
@@ -189,9 +189,33 @@ def test_alignment(spark, files, mixed_texts, monkeypatch, known, together, larg
     assert sum(w[0] > 0 for w in want) > 40 and want[0][0] == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list(" \u2581abzé漢'!s.0\t\n\u00a0\u3000\x1c\u200b")), max_size=30))
+def test_parts_are_tokenized_like_whole_texts(files, tokenizers, text):
+    a, b = tokenizers([text])
+    whole = alignment.Tokenizers.__new__(alignment.Tokenizers)
+    whole.__dict__ = tokenizers.__dict__ | {"in_parts": False, "known_a": {}, "known_b": {}, "unequal": set()}
+    assert tokenizers.in_parts and (a, b) == whole([text])
+
+
+def test_many_parts_are_tokenized_together(files, tokenizers, mixed_texts):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789ABZ.,-é漢"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(9000)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(300)] + [t or "" for t in mixed_texts]
+    whole = alignment.Tokenizers.__new__(alignment.Tokenizers)
+    whole.__dict__ = tokenizers.__dict__ | {"in_parts": False, "known_a": {}, "known_b": {}, "unequal": set()}
+    assert tokenizers(texts) == whole(texts)
+
+
+@pytest.fixture(scope="module")
+def tokenizers(files):
+    return alignment.Tokenizers(*files)
+
+
 def test_groups_of_tokens(spark, files, mixed_texts):
     _, want = brute.token_alignment(mixed_texts, *files)
-    for r in alignment.token_groups(documents(spark, mixed_texts), *files).collect():
+    for r in alignment.token_groups(documents(spark, mixed_texts).coalesce(2), *files).collect():
         groups = [([], []) for _ in want[r["doc_id"]]]
         for side, name in enumerate("ab"):
             for i, g in zip(r[f"{name}_ids"], r[f"{name}_group"]):
@@ -200,6 +224,7 @@ def test_groups_of_tokens(spark, files, mixed_texts):
 
 
 def test_alignment_of_repeated_rows_odd_and_empty_tables(spark, files, odd_documents, odd_texts, no_documents):
+    odd_documents = odd_documents.coalesce(2)
     texts = [*odd_texts, odd_texts[9], odd_texts[4]]
     want, _ = brute.token_alignment(texts, *files)
     got = sorted(map(str, (tuple(r[c] for c in NAMES) for r in alignment.aligned(odd_documents, *files).collect())))
@@ -207,5 +232,5 @@ def test_alignment_of_repeated_rows_odd_and_empty_tables(spark, files, odd_docum
     clash = odd_documents.selectExpr("*", "1 AS row", "2 AS pairs", "3 AS `a.b`", "4 AS n_best")
     assert alignment.aligned(clash, *files).count() == len(texts)
     assert alignment.aligned(no_documents, *files).collect() == []
-    text_ids = documents(spark, ["one text", None]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    text_ids = documents(spark, ["one text", None]).coalesce(1).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
     assert {r["doc_id"]: r["n_a"] > 0 for r in alignment.aligned(text_ids, *files).collect()} == {"d0": True, "d1": False}
