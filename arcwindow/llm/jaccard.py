@@ -16,7 +16,7 @@ of their prefixes and each of two size classes, so that a bucket holds sizes of
   Jaccard distance is a metric: two members near the leader need no comparison, as both are linked
   with it, and neither do two whose distances to the leader differ by more than a link spans. What
   is left open, and is not connected by the links found so far, is compared pair by pair.
-* Documents of larger buckets or groups are joined anew among themselves, with all their shingles counted, not only
+* Documents of larger groups, and of buckets that are larger or hold such a group, are joined anew among themselves, with all their shingles counted, not only
   low ones. Shingles that many of them have then come into a prefix only where nearly all of a document is
   common, so what still meets in a large bucket mostly is alike. It is compared in rounds: in each bucket ``LEADERS`` members
   outside its first component lead, and all members of other components are compared with them, so a round
@@ -536,12 +536,14 @@ def join_components(documents: DataFrame, width: int = SHINGLE, percent: int = P
     members = groups_of(with_rep.where("doc_id = rep"))
     buckets = buckets_of(members, percent)
 
-    # large groups, and the groups of large buckets, are joined anew
-    large_group = members.groupBy("gid").count().where(F.col("count") > SMALL).select("gid")
-    crowded = cut_lineage(buckets.where(F.col("m") > SMALL).select("gid").unionByName(large_group).distinct())
+    # large groups, and all groups that meet them or many others in a bucket, are joined anew
+    large_group = cut_lineage(members.groupBy("gid").count().where(F.col("count") > SMALL).select("gid"))
+    large_bucket = buckets.where(F.col("m") > SMALL).unionByName(buckets.join(large_group, "gid", "left_semi")).select("bucket").distinct()
+    large_bucket = cut_lineage(large_bucket)
+    crowded = buckets.join(large_bucket, "bucket", "left_semi").select("gid").unionByName(large_group).distinct()
     again = cut_lineage(members.join(crowded, "gid", "left_semi").select("doc_id"))
     small = members.join(large_group, "gid", "left_anti")
-    rows = in_buckets(buckets.where(F.col("m") <= SMALL).join(large_group, "gid", "left_anti"), small)
+    rows = in_buckets(buckets.join(large_bucket, "bucket", "left_anti"), small)
     links = small_bucket_links(rows, sizes, texts, width, percent)
 
     if again.head(1):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -153,6 +154,19 @@ def test_bitmaps_bound_the_overlap(seed):
     assert jaccard.most_shared(len(a), jaccard.bitmap(a), len(a), jaccard.bitmap(a)) == len(a)
 
 
+def test_large_groups_in_small_buckets_lose_no_link(spark):
+    """Fifty documents have the same prefix but are not alike; another shares a shingle with them and is linked with one."""
+    names = [f"w{i}" for i in range(400)]
+    by_hash = [w for _, w in sorted((int(h[0]), w) for w, h in zip(names, jaccard.Shingles(1)(pa.array(names))))]
+    prefix, other, core, tails = by_hash[:4], by_hash[4], by_hash[-13:], by_hash[-13 - 3 * 50 : -13]
+    texts = [" ".join(prefix + core + tails[3 * i : 3 * i + 3]) for i in range(50)]
+    texts.append(texts[30].replace(prefix[0] + " ", other + " ", 1))
+    want = brute.components(range(51), brute.jaccard_links(dict(enumerate(texts)), 1, 85))
+    assert want[50] == 30
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join_components(documents(spark, texts), 1, 85).collect()}
+    assert got == want
+
+
 def test_jaccard_join_of_odd_and_empty_tables(spark, odd_documents, no_documents):
     got = jaccard.join_components(odd_documents)
     assert got.count() == odd_documents.count()
