@@ -18,9 +18,9 @@ of their prefixes and each of two size classes, so that a bucket holds sizes of
   is left open, and is not connected by the links found so far, is compared pair by pair.
 * Documents of larger groups, and of buckets that are larger or hold such a group, are joined anew among themselves, with all their shingles counted, not only
   low ones. Shingles that many of them have then come into a prefix only where nearly all of a document is
-  common, so what still meets in a large bucket mostly is alike. It is compared in rounds: in each bucket ``LEADERS`` members
-  outside its first component lead, and all members of other components are compared with them, so a round
-  is linear, and the links of a round close most pairs before they are compared, also in small buckets. What ``ROUNDS`` rounds
+  common, so what still meets in a large bucket mostly is alike. It is compared in rounds: in each bucket up to ``LEADERS`` members
+  outside its first component lead, and all members of other components are compared with them. Buckets share out their leaders
+  by the members whose largest bucket they are, so a round makes at most ``LEADERS`` pairs a member, and the links of a round close most pairs before they are compared, also in small buckets. What ``ROUNDS`` rounds
   leave open is compared pair by pair in small buckets, and in larger ones within blocks, as matrices, of which
   a task puts out a tree of links, never pairs.
 
@@ -506,10 +506,15 @@ def large_bucket_links(rows: DataFrame, links: DataFrame, sizes: DataFrame, text
         crowded = now.where(F.col("m") > SMALL)
         if not crowded.head(1):
             break
+        # members count in their largest bucket only, so buckets of nearly the same members do not all have their leaders
+        home = crowded.groupBy("x").agg(F.max(F.struct("m", "bucket")).alias("h")).select("x", "h.bucket")
+        at_home = crowded.join(home, ["x", "bucket"], "left_semi")
         in_order = Window.partitionBy("bucket").orderBy("x")
-        outside = crowded.where(F.col("component") != F.col("first")).withColumn("nth", F.row_number().over(in_order))
+        outside = at_home.where(F.col("component") != F.col("first")).withColumn("nth", F.row_number().over(in_order))
+        share = at_home.groupBy("bucket").agg(F.count(F.lit(1)).alias("at_home"))
         own = ["x", "n", "early", "component"]
-        leaders = cut_lineage(outside.where(F.col("nth") <= LEADERS).select("bucket", *[F.col(c).alias(f"l_{c}") for c in own]))
+        ahead = outside.where(F.col("nth") <= LEADERS).join(share, "bucket").where(F.col("nth") * F.col("m") <= F.col("at_home") * LEADERS)
+        leaders = cut_lineage(ahead.select("bucket", *[F.col(c).alias(f"l_{c}") for c in own]))
         others = crowded.join(leaders, "bucket").where(F.col("component") != F.col("l_component")).where(fitting("", "l_", percent))
         pairs = others.select(F.greatest("x", "l_x").alias("a"), F.least("x", "l_x").alias("b")).distinct()
         found = found.unionByName(linked_pairs(pairs, sizes, texts, width, percent))
