@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from arcwindow.functions.predicates import is_content
-from arcwindow.functions.tokens import DEFAULT_FORMAT, DEFAULT_TOKEN_SEP, rewrite_tokens
+from arcwindow.functions.tokens import DEFAULT_FORMAT, DEFAULT_TOKEN_SEP, TOKEN_COLUMNS, TOKENS
 from arcwindow.operators.counting import (
     count_pairs,
     filter_counts,
@@ -27,8 +27,16 @@ from arcwindow.operators.windows import (
 
 
 def only_content(sentences: DataFrame) -> DataFrame:
-    """Leave out all but nouns, adjectives, verbs and adverbs, before windows are taken."""
-    return rewrite_tokens(sentences, lambda rows: F.filter(rows, lambda t: is_content(t["pos"])))
+    """Leave out all but nouns, adjectives, verbs and adverbs, before windows are taken.
+
+    Each field is filtered by itself, so those that nobody asks for are not made.
+    """
+
+    def kept(name: str) -> Column:
+        rows = F.filter(F.arrays_zip(F.col(name).alias("v"), TOKENS["pos"].alias("p")), lambda t: is_content(t["p"]))
+        return F.transform(rows, lambda t: t["v"])
+
+    return sentences.withColumns({c: kept(c) for c in TOKEN_COLUMNS if c in sentences.columns})
 
 
 def cooccurrence_counts(

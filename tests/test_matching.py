@@ -27,6 +27,7 @@ from arcwindow.operators.windows import BagOfWords, extract_pairs, match_rows, t
 from arcwindow.plans.catalog import Ahead, Neighbours
 from arcwindow.plans.cooccurrence import cooccurrence_counts, only_content
 from arcwindow.sinks.corpus import sentence_text
+from arcwindow.sources.annotated import annotated_sentences
 from arcwindow.sources.corpus import read_corpus
 from tests import plain
 from tests.cases import RED_CAR, sentences, write
@@ -378,6 +379,19 @@ def test_only_content(spark, tmp_path):
     assert only_content(red).collect()[0].tok_lemma == ["red", "car", "have", "be", "sell"]
 
 
+def test_only_content_makes_no_field_that_is_not_asked_for(spark):
+    texts = spark.createDataFrame([(1, "The red stone was sold quickly. A dark house")], "doc_id bigint, text string")
+    sentences = annotated_sentences(texts, ["doc_id"])
+    content = only_content(sentences)
+    plan = lambda c: content.select(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ROOT" in plan("tok_dep_rel") and "ROOT" not in plan("tok_lemma")
+    for row, whole in zip(content.collect(), sentences.collect(), strict=True):
+        at = [i for i, p in enumerate(whole.tok_pos) if p[0] in "NJVR"]
+        for c in ("tok_word", "tok_lemma", "tok_pos", "tok_id", "tok_dep_id", "tok_dep_rel"):
+            assert row[c] == [whole[c][i] for i in at]
+        assert row.tok_line is None and row.tok_n_fields is None
+
+
 def test_grep(spark, tmp_path):
     red = read_corpus(spark, write(tmp_path, RED_CAR + RED_CAR.replace("red", "big").replace("JJ", "DT")))
     repeated = grep(red, [LinearPhrases("(T<pos=JJ>T<>)+"), DependencyArcs(relation="SBJ")], intersect=True)
