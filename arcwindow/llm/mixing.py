@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arcwindow.operators.order import row_numbers, running_totals
 from arcwindow.plans.scratch import cut_lineage
@@ -139,13 +139,17 @@ def mix(
     )
     asked = cut_lineage(asked)
     open_ = asked.where("size > 0 AND _rest > 0")
-    sums = cut_lineage(open_.groupBy("_s", "_class").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n_docs")))
+    sums = cut_lineage(class_sums(open_))
+    # what is given is carried on as one small table, so that plans do not grow from class to class
+    so_far = per_source.select("_s", "_rest", F.lit(0).cast("bigint").alias("given"))
     decided: list[DataFrame] = []
     # a size has 63 bits, so there are few classes
-    for one in [r[0] for r in sums.select("_class").distinct().orderBy(F.desc("_class")).collect()]:
-        shares = class_shares(per_source, sums, decided, one)
+    for one, most_docs in sums.groupBy("_class").agg(F.max("n_docs")).orderBy(F.desc("_class")).collect():
+        if decided:
+            so_far = cut_lineage(with_given(so_far, decided[-1]))
+        shares = cut_lineage(class_shares(so_far, sums, one))
         members = open_.where(F.col("_class") == one).join(shares, "_s")
-        decided.append(cut_lineage(rounded_class(members, seed)))
+        decided.append(cut_lineage(rounded_class(members, most_docs, seed)))
     columns = ["doc_id", "key", "size", "source_size", "target"]
     fixed = asked.where("size = 0 OR _rest <= 0").select(*columns, F.col("_whole").cast("int").alias("copies"))
     up = functools.reduce(DataFrame.unionByName, decided).join(per_source, "_s") if decided else None
@@ -154,26 +158,31 @@ def mix(
     return fixed.unionByName(up.select(*columns, (F.col("_whole") + F.col("up")).cast("int").alias("copies")))
 
 
-def class_shares(per_source: DataFrame, sums: DataFrame, decided: list[DataFrame], one: int) -> DataFrame:
+def class_sums(open_: DataFrame) -> DataFrame:
+    """``_s, _class, n_docs, words, least``: documents of a class, words of it and all shorter ones, the source's shortest class."""
+    sums = open_.groupBy("_s", "_class").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n_docs"))
+    upto = Window.partitionBy("_s").orderBy("_class").rowsBetween(Window.unboundedPreceding, 0)
+    return sums.select("_s", "_class", "n_docs", F.sum("words").over(upto).alias("words"), F.min("_class").over(upto).alias("least"))
+
+
+def with_given(so_far: DataFrame, decided: DataFrame) -> DataFrame:
+    """``_s, _rest, given`` with the words that one more class was given."""
+    more = decided.groupBy("_s").agg(F.sum(F.col("size") * F.col("up")).alias("more"))
+    return so_far.join(more, "_s", "left").select("_s", "_rest", (F.col("given") + F.coalesce("more", F.lit(0))).alias("given"))
+
+
+def class_shares(so_far: DataFrame, sums: DataFrame, one: int) -> DataFrame:
     """``_s, n_docs, p, nearest`` of a class: the fraction that meets what is still open, and whether it is the source's last."""
-    left = sums.where(F.col("_class") <= one).groupBy("_s").agg(
-        F.sum("words").alias("words"),
-        F.max(F.when(F.col("_class") == one, F.col("n_docs"))).alias("n_docs"),
-        F.min("_class").alias("least"),
-    )
-    given = [d.groupBy("_s").agg(F.sum(F.col("size") * F.col("up")).alias("given")) for d in decided]
-    table = per_source.select("_s", "_rest").join(left.where("n_docs IS NOT NULL"), "_s")
-    if given:
-        so_far = functools.reduce(DataFrame.unionByName, given).groupBy("_s").agg(F.sum("given").alias("given"))
-        table = table.join(so_far, "_s", "left")
-    else:
-        table = table.withColumn("given", F.lit(0))
-    p = (F.col("_rest") - F.coalesce("given", F.lit(0))) / F.col("words")
+    table = so_far.join(sums.where(F.col("_class") == one), "_s")
+    p = (F.col("_rest") - F.col("given")) / F.col("words")
     return table.select("_s", "n_docs", F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0)).alias("p"), (F.col("least") == one).alias("nearest"))
 
 
-def rounded_class(members: DataFrame, seed: int) -> DataFrame:
-    """``_s, doc_id, key, size, up`` of documents ``_s, doc_id, key, size, p, n_docs, nearest``: one more copy or none."""
+def rounded_class(members: DataFrame, most_docs: int, seed: int) -> DataFrame:
+    """``_s, doc_id, key, size, up`` of documents ``_s, doc_id, key, size, p, n_docs, nearest``: one more copy or none.
+
+    No ``n_docs`` is above ``most_docs``.
+    """
     id_type = dict(members.dtypes)["doc_id"]
     columns = ["_s", "doc_id", "key", "size"]
     whole = members.where("p <= 0 OR p >= 1").select(*columns, (F.col("p") >= 1).cast("int").alias("up"))
@@ -183,13 +192,11 @@ def rounded_class(members: DataFrame, seed: int) -> DataFrame:
         .groupBy("_s", "_block")
         .agg(F.collect_list(F.struct("size", "key", "doc_id", "p")).alias("docs"), F.max("n_docs").alias("n_docs"), F.max("nearest").alias("nearest"))
     )
-    decided, blocks = whole, None
+    decided, blocks = whole, -(-most_docs // FAN_IN)
     while True:
         now = cut_lineage(level.select("_s", "_block", "n_docs", "nearest", rounded(seed, id_type).alias("r")).select("_s", "_block", "n_docs", "nearest", "r.*"))
         done = now.select("_s", F.explode("done").alias("d")).select("_s", "d.*")
         decided = decided.unionByName(done)
-        if blocks is None:
-            blocks = -(-(now.agg(F.max("n_docs")).first()[0] or 1) // FAN_IN)
         if blocks <= 1:
             break
         blocks = -(-blocks // FAN_IN)

@@ -11,6 +11,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from arcwindow.llm import caps, jaccard, links, mixing, suffixes
+from arcwindow.plans.scratch import cut_lineage
 from tests.llm import brute
 from tests.llm.conftest import documents, prose
 
@@ -297,6 +298,24 @@ def test_mix_keeps_expectations(spark):
     assert ups[:40].mean() / 12 == pytest.approx(1.0, abs=0.02) and ups[40:].mean() / 12 == pytest.approx(1.0, abs=0.02)
 
 
+def test_plans_of_mixing_do_not_grow_by_class(spark, monkeypatch):
+    """What a class is given is carried on in a small table: no plan reads what all classes before decided."""
+    sizes = [1, 9, 70, 600, 5000]
+    rows = [(i, " ".join(["w"] * sizes[i % 5]), "ab"[i % 2]) for i in range(60)]
+    docs, read = spark.createDataFrame(rows, "doc_id bigint, text string, source string"), []
+
+    def cut(df):
+        read.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return cut_lineage(df)
+
+    monkeypatch.setattr(mixing, "cut_lineage", cut)
+    mixed = mixing.mix(docs).collect()
+    assert len(mixed) == 60 and max(read) <= 6
+    by_source = {s: [r for r in mixed if rows[r["doc_id"]][2] == s] for s in "ab"}
+    for of_source in by_source.values():
+        assert abs(sum(r["size"] * r["copies"] for r in of_source) - of_source[0]["target"]) <= 1
+
+
 def test_mix_of_odd_and_empty_tables(spark, odd_documents, no_documents):
     mixed = mixing.mix(odd_documents)
     assert mixed.count() == odd_documents.count()
