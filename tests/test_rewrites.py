@@ -15,6 +15,7 @@ from arcwindow.operators.split import split_by_sentences, split_by_texts
 from arcwindow.operators.trim import Pivots, trim
 from arcwindow.operators.word_stream import word_stream
 from arcwindow.sinks.corpus import sentence_text, write_corpus, write_files
+from arcwindow.sinks.counts import write_counts
 from arcwindow.sources.corpus import read_corpus
 from pyspark.sql import functions as F
 from tests import plain
@@ -199,3 +200,25 @@ def test_rewritten_files_keep_files_and_order(spark, tmp_path, layout):
 
     assert written(out) == whole
     assert set(written(tmp_path / f"out-{layout}-trimmed")) == set(whole)
+
+
+def test_rows_are_made_once_before_they_are_sorted_into_files(spark, tmp_path):
+    """To find the borders of ranges Spark reads rows twice; sentences and counts are made only once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    def watched(df):
+        return df.mapInArrow(counted, df.schema)
+
+    write(tmp_path, RED_CAR)
+    corpus = read_corpus(spark, str(tmp_path), layout="splits", keep_tails=True)
+    n = corpus.count()
+    write_files(watched(corpus), str(tmp_path / "files"))
+    assert made.value == n
+    counts = spark.createDataFrame([("core", "a", "b", 1), ("core", "b", "a", 2)], "space string, pivot string, context string, occurrences bigint")
+    write_counts(watched(counts), str(tmp_path / "counts"))
+    assert made.value == n + 2
