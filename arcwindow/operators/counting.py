@@ -10,7 +10,7 @@ from arcwindow.functions.arrays import all_distinct, let, run_lengths
 from arcwindow.functions.tokens import DEFAULT_FORMAT, DEFAULT_TOKEN_SEP, TOKENS, by_id, format_tokens
 from arcwindow.operators.filters import Words, keep_listed, word_table
 from arcwindow.operators.matchers import Matcher, prepared
-from arcwindow.operators.windows import all_matches
+from arcwindow.operators.windows import all_matches, key_columns
 
 CORE, PERIPHERAL = "core", "peripheral"  # fixed values: names of the two spaces
 
@@ -114,6 +114,18 @@ def sum_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("space", "pivot", "context").agg(F.sum("occurrences").alias("occurrences"))
 
 
+def sentence_hash(sentences: DataFrame) -> Column:
+    """What sentences are dealt out by: their keys, so that equal sentences do not meet in one task."""
+    return F.xxhash64(*(key_columns(sentences) or [TOKENS["lemma"]]))
+
+
+def dealt_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """``_t`` in blocks that are dealt out by ``_key``, and ``_start`` of each; rows without targets are left out."""
+    starts = F.when(F.size("_t") > 0, F.sequence(F.lit(0), F.size("_t") - 1, F.lit(block)))
+    blocks = rows.select("*", F.explode_outer(starts).alias("_start")).where("_start IS NOT NULL")
+    return blocks.withColumn("_t", F.slice("_t", F.col("_start") + 1, F.lit(block))).repartition("_key", "_start")
+
+
 def whole_sentence_counts(
     sentences: DataFrame,
     *,
@@ -148,6 +160,7 @@ def whole_sentence_counts(
 
     symmetric = same_format
     runs = sentences.select(
+        sentence_hash(sentences).alias("_key"),
         run_lengths(c_text).alias("_c"),
         *([] if symmetric else [run_lengths(t_text).alias("_t")]),
         *([F.when(~unique, targets_of["t"]).alias("_last")] if symmetric else []),
@@ -155,14 +168,9 @@ def whole_sentence_counts(
     )
     if symmetric:  # targets are counted apart only where ids repeat
         t_runs = F.when(F.col("_unique"), F.col("_c")).otherwise(run_lengths(F.col("_last")))
-        runs = runs.select("_c", "_unique", t_runs.alias("_t"))
+        runs = runs.select("_key", "_c", "_unique", t_runs.alias("_t"))
     t_run = F.posexplode_outer("_t").alias("_i", "t")
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_t") - 1, F.lit(0)), F.lit(block))
-    runs = (
-        runs.select("*", F.explode_outer(starts).alias("_start"))
-        .withColumn("_t", F.slice("_t", F.col("_start") + 1, F.lit(block)))
-        .repartition(F.xxhash64("_t"))
-    )
+    runs = dealt_blocks(runs, block)
     opened = runs.select("_c", "_unique", "_start", t_run).withColumn("_i", F.col("_i") + F.col("_start"))
     opened = opened.where("t IS NOT NULL")
 
@@ -250,13 +258,9 @@ def whole_sentence_match_counts(
         return F.struct(value.alias("value"), n.alias("n"), own.alias("own"))
 
     both = let(t_text, lambda t: found(t, t)) if target_format == context_format else let(t_text, lambda t: let(c_text, lambda c: found(t, c)))
-    rows = prepared(sentences, matchers).select(run_lengths(c_text).alias("_c"), both.alias("_t"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_t") - 1, F.lit(0)), F.lit(block))
-    dealt = (
-        rows.select("_c", "_t", F.explode_outer(starts).alias("_start"))
-        .select("_c", F.slice("_t", F.col("_start") + 1, F.lit(block)).alias("_t"))
-        .repartition(F.xxhash64("_t"))
-    )
+    rows = prepared(sentences, matchers).select(sentence_hash(sentences).alias("_key"), c_text.alias("_w"), both.alias("_t"))
+    rows = rows.select("_key", "_t", F.when(F.size("_t") > 0, run_lengths(F.col("_w"))).alias("_c"))
+    dealt = dealt_blocks(rows, block)
     targets = dealt.select("_c", F.explode_outer("_t").alias("t")).where("t IS NOT NULL")
     taken_off = F.array(F.struct(F.col("t.own").alias("value"), F.lit(1).cast("bigint").alias("n")))
     contexts = F.when(F.col("t.own").isNull(), F.col("_c")).otherwise(taken_off)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arcwindow.functions.predicates import TokenTest
-from arcwindow.operators.counting import count_pairs, merge_counts, sort_counts, whole_sentence_match_counts
+from arcwindow.operators.counting import count_pairs, dealt_blocks, merge_counts, sentence_hash, sort_counts, whole_sentence_match_counts
 from arcwindow.operators.matchers import DependencyArcs, LinearPhrases, Unigrams
 from arcwindow.operators.vocabulary import decode, decode_counts, encode, encoded_tokens, packed_counts
 from arcwindow.operators.windows import BagOfWords, extract_pairs
@@ -224,6 +224,19 @@ def test_whole_sentence_counts_of_phrases(spark, tmp_path, block):
                 assert counted(whole_sentence_match_counts(corpus, matchers, block=block, **formats)) == want
 
 
+def test_equal_sentences_are_dealt_out(spark):
+    """Sentences without targets do not cross the shuffle, and equal ones do not meet in one task."""
+    found = F.when(F.col("id") % 2 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), found.alias("_t"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small partitions are not put together
+    try:
+        dealt = dealt_blocks(rows.withColumn("_key", sentence_hash(rows)), 512)
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 200 and max(sizes) < 100
+
+
 @pytest.mark.parametrize("separator, w", [("s", 1), ("s", 3), ("text", 2)])
 def test_encoded_before_counting(spark, tmp_path, separator, w):
     """Like counts of words that are encoded afterwards; also where ids repeat, and with repeated list entries."""
