@@ -502,3 +502,19 @@ def test_a_long_text_takes_part_in_many_tasks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert len(tasks) == 8 and sum(r["count"] for r in tasks) == 4 * 60_000 - 6
+
+
+def test_tags_of_lowered_corpora(spark, tmp_path):
+    """Lines of six fields are not split again for tests of tags; seven fields and bars still end a phrase."""
+    lines = [["Red", "Red", "JJ"], ["Car", "Car", "NN"]]
+    text = ""
+    for last in ("NMOD", "NMOD\tX", "N|MOD"):
+        text += "<s>\n" + "".join("\t".join([*f, str(i + 1), "0", last]) + "\n" for i, f in enumerate(lines)) + "</s>\n"
+    lowered = read_corpus(spark, write(tmp_path, text), to_lower=True)
+    phrase = LinearPhrases("T<pos=JJ>T<pos=NN>")
+    found = lowered.orderBy("sent_key").select(phrase.matches(TOKENS).alias("m"))
+    assert [r.m for r in found.collect()] == [[[0, 1]], [], []]
+    other = lowered.where("tok_n_fields IS NULL").withColumn("tok_line", F.transform("tok_line", lambda _: F.lit("unsplit")))
+    assert other.select(phrase.matches(TOKENS).alias("m")).first().m == [[0, 1]]
+    cased = LinearPhrases("T<word=Red>T<pos=NN>")
+    assert [r.m for r in lowered.orderBy("sent_key").select(cased.matches(TOKENS).alias("m")).collect()] == [[[0, 1]], [], []]
