@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from arcwindow.functions.tokens import LINE_FIELDS, TOKEN_COLUMNS
 from arcwindow.operators import filters
 from arcwindow.operators.trim import DANGLING, Pivots, trim
+from arcwindow.sources.annotated import annotated_sentences
 
 
 @pytest.mark.parametrize("looked_up", [0, 1 << 12])
@@ -57,3 +58,12 @@ def test_long_sentences(spark):
     assert row.tok_id == [str(i) for i in range(1, n // 3 + 1)]
     assert set(row.tok_dep_id) == {str(DANGLING)}
     assert seconds < 20
+
+
+def test_tags_are_made_once(spark):
+    """Relations are made of the tags of a sentence, not of tags of their own."""
+    texts = spark.createDataFrame([(1, "nation walking")], "doc_id bigint, text string")
+    both = annotated_sentences(texts, ["doc_id"]).select("tok_pos", "tok_dep_rel")
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("VVG") == 1
+    row = both.first()
+    assert row.tok_pos == ["NN", "VVG"] and row.tok_dep_rel == ["ROOT", "DEP"]
