@@ -119,11 +119,11 @@ def sentence_hash(sentences: DataFrame) -> Column:
     return F.xxhash64(*(key_columns(sentences) or [TOKENS["lemma"]]))
 
 
-def dealt_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """``_t`` in blocks that are dealt out by ``_key``, and ``_start`` of each; rows without targets are left out."""
+def dealt_blocks(rows: DataFrame, block: int, *by: Column) -> DataFrame:
+    """``_t`` in blocks that are dealt out by ``_key`` or ``by``, and ``_start`` of each; rows without targets are left out."""
     starts = F.when(F.size("_t") > 0, F.sequence(F.lit(0), F.size("_t") - 1, F.lit(block)))
     blocks = rows.select("*", F.explode_outer(starts).alias("_start")).where("_start IS NOT NULL")
-    return blocks.withColumn("_t", F.slice("_t", F.col("_start") + 1, F.lit(block))).repartition("_key", "_start")
+    return blocks.withColumn("_t", F.slice("_t", F.col("_start") + 1, F.lit(block))).repartition(*(by or ("_key", "_start")))
 
 
 def whole_sentence_counts(
@@ -160,7 +160,6 @@ def whole_sentence_counts(
 
     symmetric = same_format
     runs = sentences.select(
-        sentence_hash(sentences).alias("_key"),
         run_lengths(c_text).alias("_c"),
         *([] if symmetric else [run_lengths(t_text).alias("_t")]),
         *([F.when(~unique, targets_of["t"]).alias("_last")] if symmetric else []),
@@ -168,9 +167,10 @@ def whole_sentence_counts(
     )
     if symmetric:  # targets are counted apart only where ids repeat
         t_runs = F.when(F.col("_unique"), F.col("_c")).otherwise(run_lengths(F.col("_last")))
-        runs = runs.select("_key", "_c", "_unique", t_runs.alias("_t"))
+        runs = runs.select("_c", "_unique", t_runs.alias("_t"))
     t_run = F.posexplode_outer("_t").alias("_i", "t")
-    runs = dealt_blocks(runs, block)
+    # equal sentences meet, so that their pairs are added up before they are shuffled
+    runs = dealt_blocks(runs, block, F.xxhash64("_t"))
     opened = runs.select("_c", "_unique", "_start", t_run).withColumn("_i", F.col("_i") + F.col("_start"))
     opened = opened.where("t IS NOT NULL")
 
