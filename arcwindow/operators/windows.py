@@ -80,7 +80,7 @@ def all_matches(matchers: Sequence[Matcher]) -> Column:
         return found[0]
     # sorting makes equal ones neighbours, so long sentences stay cheap
     return let(
-        F.array_sort(F.concat(*found)),
+        F.sort_array(F.concat(*found)),
         lambda ms: F.filter(ms, lambda m, i: (i == 0) | (F.get(ms, i - 1) != m)),
     )
 
@@ -134,27 +134,28 @@ def extract_pairs(
         context_texts = target_texts if same_format else format_tokens(tokens, context_format)
         pairs = pairs_of_long_chunks(sentences, matchers, features, target_texts, context_texts, token_sep, halves)
         return keep_listed_pairs(pairs, F.size("t_positions") == 1, **listed)
+    single_words = all(isinstance(m, Unigrams) for m in matchers)
     carried = [*keys, "_t", *([] if same_format else ["_c"]), *(["_halved"] if halves else [])]
-    targets_df = (
-        prepared(sentences, matchers)
-        .select(
-            *keys,
-            target_texts.alias("_t"),
-            *([] if same_format else [format_tokens(tokens, context_format).alias("_c")]),
-            *([all_distinct(tokens["id"]).alias("_halved")] if halves else []),
-            all_matches(matchers).alias("_m"),
-        )
-        .select(*carried, F.explode_outer("_m").alias("_p"))
-        .where("_p IS NOT NULL")
-        .withColumns({"first": F.get("_t", F.get("_p", F.lit(0))), "second": F.get("_t", F.get("_p", F.lit(1)))})
+    found = prepared(sentences, matchers).select(
+        *keys,
+        target_texts.alias("_t"),
+        *([] if same_format else [format_tokens(tokens, context_format).alias("_c")]),
+        *([all_distinct(tokens["id"]).alias("_halved")] if halves else []),
+        all_matches(matchers).alias("_m"),
     )
-    is_single = F.size("_p") == 1
-    words = F.transform("_p", lambda p: F.get("_t", p))
-    composed = F.when(F.forall(words, lambda w: w.isNotNull()), F.array_join(words, token_sep))
+    # Names of targets are made in the sentence row. After it, rows of targets and of pairs pass through operators
+    # without lambdas, which Spark fuses into one loop; it writes out each row before a lambda.
+    if not single_words:
+        found = found.withColumn("_m", F.transform("_m", lambda p: F.struct(p.alias("p"), name_of(p, F.col("_t"), token_sep).alias("name"))))
+    opened = found.select(*carried, F.explode_outer("_m").alias("_x"))
+    places = F.col("_x") if single_words else F.col("_x.p")
+    opened = opened.where("_x IS NOT NULL").select(*carried, places.alias("_p"), *([] if single_words else ["_x.name"]))
+    targets_df = opened.withColumns({"first": F.get("_t", F.get("_p", F.lit(0))), "second": F.get("_t", F.get("_p", F.lit(1)))})
+    is_single = F.lit(True) if single_words else F.size("_p") == 1
     targets_df = targets_df.withColumns(
         # written out once per target, not once per pair
         {
-            "target": F.when(is_single, F.col("first")).otherwise(composed),
+            "target": F.col("first") if single_words else F.col("name"),
             "_l": F.array_min("_p"),
             "_r": F.array_max("_p"),
         }
@@ -187,6 +188,15 @@ def extract_pairs(
     return keep_listed_pairs(pairs, F.size("t_positions") == 1, **listed)
 
 
+def name_of(p: Column, texts: Column, token_sep: str) -> Column:
+    """The texts of a target's tokens as one; null where a text is missing."""
+    first, second = F.get(texts, F.get(p, F.lit(0))), F.get(texts, F.get(p, F.lit(1)))
+    words = F.transform(p, lambda i: F.get(texts, i))
+    composed = F.when(F.forall(words, lambda w: w.isNotNull()), F.array_join(words, token_sep))
+    # most targets have a word or two, which need no array of words
+    return F.when(F.size(p) == 1, first).when(F.size(p) == 2, F.concat(first, F.lit(token_sep), second)).otherwise(composed)
+
+
 def pairs_of_long_chunks(
     sentences: DataFrame,
     matchers: Sequence[Matcher],
