@@ -51,7 +51,7 @@ def run_lengths(values: Column) -> Column:
             ),
         )
 
-    return let(F.array_sort(F.array_compact(values)), count_runs)
+    return let(F.sort_array(F.array_compact(values)), count_runs)
 
 
 def where_here(df: DataFrame, condition: Column) -> DataFrame:

@@ -181,9 +181,9 @@ def by_id(rows: Column) -> Column:
             spans = F.zip_with(
                 firsts, lasts, lambda a, b: F.struct(a["i"].alias("first"), b["i"].alias("last"))
             )
-            return F.transform(F.array_sort(spans), lambda s: F.get(all_rows, s["last"]))
+            return F.transform(F.sort_array(spans), lambda s: F.get(all_rows, s["last"]))
 
-        return let(F.array_sort(keyed), pick_last)
+        return let(F.sort_array(keyed), pick_last)
 
     return let(rows, lambda rs: F.when(all_distinct(rs["id"]), rs).otherwise(dedupe(rs)))
 

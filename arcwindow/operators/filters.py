@@ -119,7 +119,7 @@ def marked(texts: Column, hits: Column) -> Column:
         places = F.transform(ts, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
         heads = F.transform(hs, lambda h: F.struct(h.alias("t"), F.lit(-1).alias("i")))
         found = let(
-            F.array_sort(F.concat(heads, places)),
+            F.sort_array(F.concat(heads, places)),
             lambda all_: let(
                 F.filter(F.transform(all_, lambda x, k: F.when(x["i"] < 0, k)), lambda k: k.isNotNull()),
                 lambda at: F.flatten(
@@ -138,7 +138,7 @@ def marked(texts: Column, hits: Column) -> Column:
             ),
         )
         # the places that were found, in order, against all places
-        return let(F.array_sort(found), lambda places_: flags_at(places_, F.size(ts)))
+        return let(F.sort_array(found), lambda places_: flags_at(places_, F.size(ts)))
 
     def flags_at(places_: Column, n: Column) -> Column:
         """``n`` booleans of which those at sorted places are true."""

@@ -26,3 +26,8 @@ def test_rows_of_targets_and_pairs_meet_no_lambda(spark, tmp_path):
         pairs = extract_pairs(corpus(spark, tmp_path), matchers, BagOfWords(2)).select("target", "context", "marker")
         after_matching = plan(pairs).split("explode(_m")[0]
         assert "explode" in after_matching and "lambda" not in after_matching
+
+
+def test_chunks_make_the_fields_asked_for(spark):
+    made = plan(QUERIES["text_window_counts"](spark, "/root/testdata/sf0.001"))
+    assert "VVG" in made and "NMOD" not in made
