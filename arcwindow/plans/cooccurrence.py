@@ -84,6 +84,8 @@ def cooccurrence_counts(
         formats = dict(target_format=target_format, context_format=context_format, token_sep=token_sep)
         counts = whole_sentence_match_counts(sentences, matchers, **formats)
         return filter_counts(counts, token_sep=token_sep, rows=rows, cols=cols)
+    # the first word of a single-word target is the target: lists of targets then meet counts in both directions
+    single_words = all(isinstance(m, Unigrams) for m in matchers)
     pairs = extract_pairs(
         sentences,
         matchers,
@@ -91,11 +93,15 @@ def cooccurrence_counts(
         target_format=target_format,
         context_format=context_format,
         token_sep=token_sep,
-        halves=unlisted and can_halve(matchers, features, target_format == context_format),
+        halves=(unlisted or single_words) and can_halve(matchers, features, target_format == context_format),
         long_chunks=long_chunks,
     )
     if unlisted:
         return count_pairs(pairs, token_sep=token_sep, rows=rows, cols=cols)
+    if single_words:
+        counts = count_pairs(pairs, token_sep=token_sep).withColumns({"first": F.col("pivot"), "second": F.lit(None).cast("string")})
+        counts = keep_listed_pairs(counts, F.lit(True), **lists).drop("first", "second")
+        return filter_counts(counts, token_sep=token_sep, rows=rows, cols=cols)
 
     # Lists meet counts, where each pair is one row, and not pairs.
     single = (F.size("t_positions") == 1).alias("_single")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from arcwindow.operators.counting import whole_sentence_counts
 from arcwindow.operators.matchers import DependencyArcs, Unigrams
 from arcwindow.operators.windows import BagOfWords, extract_pairs
 from arcwindow.plans.catalog import QUERIES
@@ -28,6 +27,11 @@ def test_rows_of_targets_and_pairs_meet_no_lambda(spark, tmp_path):
         assert "explode" in after_matching and "lambda" not in after_matching
 
 
+def test_lists_of_single_words_meet_counts_of_both_directions(spark, tmp_path):
+    counts = cooccurrence_counts(corpus(spark, tmp_path), window=2, targets=["car-n", "red-j"], contexts=["red-j"])
+    assert "_ab" in plan(counts)
+
+
 def test_chunks_make_the_fields_asked_for(spark):
     made = plan(QUERIES["text_window_counts"](spark, "/root/testdata/sf0.001"))
     assert "VVG" in made and "NMOD" not in made
