@@ -56,3 +56,42 @@ def test_tables_grow_with_the_counts():
     zeros = np.zeros(len(codes))
     table = toxicity.Table.of(4, codes, zeros, zeros, zeros)
     assert table.bits == 22 and table(codes)[0].mean() > 0.85
+
+
+def labelled_texts(n: int) -> tuple[list[str], list[int]]:
+    rng = random.Random(33)
+    texts, toxic = [], [i % 2 for i in range(n)]
+    for i in range(n):
+        words = prose(rng, 60).split()
+        if toxic[i]:
+            words[5:5] = rng.choice(["wretched fool", "stinking liar", "Vile dog, 12 toads"]).split()
+        texts.append(" ".join(words) * (30 if i == 7 else 1))
+    return [*texts, "", "a"], toxic
+
+
+def test_a_model_in_parts_scores_like_a_whole_one(spark, monkeypatch):
+    """No sequence is left out where a class has more of them than a part holds."""
+    texts, toxic = labelled_texts(160)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id bigint, toxic int")
+    whole = toxicity.learn(documents(spark, texts), labels, "toxic", 4, 2, per_class=40)
+    parts = toxicity.learn(documents(spark, texts), labels, "toxic", 4, 2, per_class=40, most=300)
+    assert len(whole.parts) == 1 and len(parts.parts) > 5
+    monkeypatch.setattr(toxicity, "PIECE_BYTES", 3000)
+    monkeypatch.setattr(toxicity, "GROUP_BYTES", 8000)
+    coded = [t.encode() for t in texts]
+    assert np.allclose(whole.evidence(coded), parts.evidence(coded), atol=1e-4) and np.allclose(whole.weights, parts.weights, atol=1e-4)
+    monkeypatch.setattr(toxicity, "learn", lambda *_: parts)
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(documents(spark, texts), labels).collect()}
+    want = labelled.on_curve(whole.evidence(coded), whole.weights)
+    assert np.allclose([got[i] for i in range(len(texts))], want, atol=1e-4)
+
+
+def test_every_sequence_of_the_labelled_rows_is_known(spark):
+    """Also those that meet others in a slot, and the rarest beyond what the driver takes at once."""
+    codes = np.unique(np.random.default_rng(5).integers(1, 1 << 48, 400_000, dtype=np.uint64))
+    ratio = np.linspace(-3, 3, len(codes))
+    table = toxicity.Table.of(6, codes, np.ones(len(codes)), ratio, -ratio)
+    known, r, b = table(codes)
+    assert known.all() and np.abs(r - ratio).max() < 0.01 and np.abs(b + ratio).max() < 0.01
+    others = np.setdiff1d(codes + np.uint64(1), codes)
+    assert not table(others)[0].any()
