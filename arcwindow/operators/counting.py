@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,9 +12,14 @@ from arcwindow.functions.tokens import DEFAULT_FORMAT, DEFAULT_TOKEN_SEP, TOKENS
 from arcwindow.operators.filters import Words, keep_listed, word_table
 from arcwindow.operators.matchers import Matcher, prepared
 from arcwindow.operators.windows import all_matches, key_columns
+from arcwindow.plans.scratch import passing_table
 
 CORE, PERIPHERAL = "core", "peripheral"  # fixed values: names of the two spaces
 
+#: Pairs of whole sentences that are counted in a round: for each word of a sentence, and at least.
+PAIRS_EACH = 1
+LEAST_PAIRS = 1 << 23
+
 
 def space_of(pivot: Column, token_sep: str = DEFAULT_TOKEN_SEP) -> Column:
     """Composed pivots live in the peripheral space, single words in the core."""
@@ -148,35 +154,85 @@ def whole_sentence_counts(
     so that a few chunks that hold much of the data, such as whole texts, are no task each.
     Lists meet the counts.
     """
-    tokens = TOKENS
-    same_format = target_format == context_format
-    # one struct per target: its text as target, and its own text as context
-    targets_of = by_id(
-        tokens.rows("id", t=format_tokens(tokens, target_format), c=format_tokens(tokens, context_format))
-    )
-    unique = all_distinct(tokens["id"])
-    t_text = F.when(unique, format_tokens(tokens, target_format)).otherwise(targets_of["t"])
-    c_text = format_tokens(tokens, context_format)
+    symmetric = target_format == context_format
+    runs = _dealt_runs(sentences, target_format, context_format, block)
+    weighted = _weighted_pairs(runs, symmetric, block)
+    if symmetric:
+        counts = _sum_both_ways(weighted, F.col("n"), F.col("mirrored"))
+    else:
+        own = sentences.select(F.explode_outer(_targets(target_format, context_format)).alias("p"))
+        own = own.where("p.t IS NOT NULL AND p.c IS NOT NULL").select(
+            F.col("p.t").alias("pivot"),
+            F.col("p.c").alias("context"),
+            F.lit(-1).cast("bigint").alias("n"),
+            F.lit(False).alias("mirrored"),
+        )
+        counts = (
+            weighted.unionByName(own)
+            .groupBy("pivot", "context")
+            .agg(F.sum("n").alias("occurrences"))
+            .where("occurrences > 0")
+        )
+    for column, words in (("pivot", targets), ("context", contexts)):
+        listed = word_table(sentences.sparkSession, words)
+        if listed is not None:
+            counts = keep_listed(counts, F.col(column), listed, empty_keeps_all=column == "context")
+    return with_space(counts, token_sep)
+
+
+def _targets(target_format: str, context_format: str) -> Column:
+    """One struct per target: its text as target, and its own text as context."""
+    return by_id(TOKENS.rows("id", t=format_tokens(TOKENS, target_format), c=format_tokens(TOKENS, context_format)))
 
-    symmetric = same_format
+
+def _dealt_runs(sentences: DataFrame, target_format: str, context_format: str, block: int) -> DataFrame:
+    """``_c, _t, _unique, _start``: the words of each sentence and a block of its targets, counted, dealt out.
+
+    ``_t`` is null where it is what ``_c`` holds from ``_start`` on.
+    """
+    symmetric = target_format == context_format
+    unique = all_distinct(TOKENS["id"])
+    last = _targets(target_format, context_format)["t"]
+    t_text = F.when(unique, format_tokens(TOKENS, target_format)).otherwise(last)
     runs = sentences.select(
-        run_lengths(c_text).alias("_c"),
+        run_lengths(format_tokens(TOKENS, context_format)).alias("_c"),
         *([] if symmetric else [run_lengths(t_text).alias("_t")]),
-        *([F.when(~unique, targets_of["t"]).alias("_last")] if symmetric else []),
+        *([F.when(~unique, last).alias("_last")] if symmetric else []),
         unique.alias("_unique"),
     )
     if symmetric:  # targets are counted apart only where ids repeat
-        t_runs = F.when(F.col("_unique"), F.col("_c")).otherwise(run_lengths(F.col("_last")))
-        runs = runs.select("_c", "_unique", t_runs.alias("_t"))
-    t_run = F.posexplode_outer("_t").alias("_i", "t")
+        runs = runs.select("_c", "_unique", F.when(~F.col("_unique"), run_lengths(F.col("_last"))).alias("_t"))
+    n = F.size(F.coalesce("_t", "_c"))
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(block)))
+    blocks = runs.select("*", F.explode_outer(starts).alias("_start")).where("_start IS NOT NULL")
+    blocks = blocks.withColumn("_t", F.slice("_t", F.col("_start") + 1, F.lit(block)))
     # equal sentences meet, so that their pairs are added up before they are shuffled
-    runs = dealt_blocks(runs, block, F.xxhash64("_t"))
+    return blocks.repartition(F.xxhash64(_targets_of_block(block)))
+
+
+def _targets_of_block(block: int) -> Column:
+    return F.coalesce("_t", F.slice("_c", F.col("_start") + 1, F.lit(block)))
+
+
+def _weighted_pairs(runs: DataFrame, symmetric: bool, block: int, share: tuple[int, int] | None = None) -> DataFrame:
+    """``pivot, context, n, mirrored``: the pairs of distinct words of each sentence.
+
+    With ``share`` (k, n), only those pairs whose lesser word is of the k-th of n shares of all words; pairs in
+    both directions are of one share.
+    """
+
+    def shared(word: Column) -> Column:
+        return F.lit(True) if share is None else F.pmod(F.xxhash64(word), F.lit(share[1])) == share[0]
+
+    t_run = F.posexplode_outer(_targets_of_block(block)).alias("_i", "t")
     opened = runs.select("_c", "_unique", "_start", t_run).withColumn("_i", F.col("_i") + F.col("_start"))
     opened = opened.where("t IS NOT NULL")
 
     # With targets and contexts alike, the words of a sentence are one sorted list: each
     # word is paired with itself and those after it, and such a pair counts both ways.
     halved = F.col("_unique") if symmetric else F.lit(False)
+    if share is not None:
+        opened = opened.where(~halved | shared(F.col("t.value")))
     first = F.when(halved, F.col("_i")).otherwise(F.lit(0))
     reach = F.when(F.size("_c") > 0, F.sequence(first, F.size("_c") - 1))
     paired = (
@@ -184,39 +240,38 @@ def whole_sentence_counts(
         .where("_j IS NOT NULL")
         .select("t", F.get("_c", "_j").alias("c"), "_halved")
     )
+    if share is not None:
+        paired = paired.where(F.col("_halved") | shared(F.least("t.value", "c.value")))
     alike = F.col("t.value") == F.col("c.value")
     weight = F.col("t.n") * F.col("c.n")
-    if same_format:
+    if symmetric:
         weight = weight - F.when(alike, F.col("t.n")).otherwise(0)
-    weighted = paired.select(
+    return paired.select(
         F.col("t.value").alias("pivot"),
         F.col("c.value").alias("context"),
         weight.alias("n"),
         # a word with itself is complete in one direction
         (F.col("_halved") & ~alike).alias("mirrored"),
     )
-    if not same_format:
-        own = sentences.select(F.explode_outer(targets_of).alias("p")).where("p.t IS NOT NULL AND p.c IS NOT NULL")
-        own = own.select(
-            F.col("p.t").alias("pivot"),
-            F.col("p.c").alias("context"),
-            F.lit(-1).cast("bigint").alias("n"),
-            F.lit(False).alias("mirrored"),
-        )
-        weighted = weighted.unionByName(own)
-    if symmetric:
-        counts = _sum_both_ways(weighted, F.col("n"), F.col("mirrored"))
-    else:
-        counts = (
-            weighted.groupBy("pivot", "context")
-            .agg(F.sum("n").alias("occurrences"))
-            .where("occurrences > 0")
-        )
-    for column, words in (("pivot", targets), ("context", contexts)):
-        listed = word_table(sentences.sparkSession, words)
-        if listed is not None:
-            counts = keep_listed(counts, F.col(column), listed, empty_keeps_all=column == "context")
-    return with_space(counts, token_sep)
+
+
+def whole_sentence_rounds(
+    sentences: DataFrame, *, template: str = DEFAULT_FORMAT, token_sep: str = DEFAULT_TOKEN_SEP, block: int = 512
+) -> Iterator[DataFrame]:
+    """The rows of :func:`whole_sentence_counts` in tables that share no pair, targets and contexts alike.
+
+    Pairs of whole sentences are many times the text. The words of sentences are counted once, and each round makes and
+    shuffles the pairs of a share of the words only, so that what lies on disk at a time stays in proportion to the words
+    (``PAIRS_EACH``). A round must be used up (written, or summed and written) before the next one is asked for.
+    """
+    with passing_table(_dealt_runs(sentences, template, template, block)) as runs:
+        n_t, n_c = F.size(_targets_of_block(block)).cast("bigint"), F.size("_c")
+        pairs = F.when(F.col("_unique"), n_t * (n_c - F.col("_start")) - n_t * (n_t - 1) / 2).otherwise(n_t * n_c)
+        size = runs.agg(F.sum(pairs).alias("pairs"), F.sum(n_t).alias("words")).first()
+        n = math.ceil((size["pairs"] or 0) / max(PAIRS_EACH * (size["words"] or 0), LEAST_PAIRS))
+        for k in range(max(n, 1)):
+            weighted = _weighted_pairs(runs, True, block, (k, n) if n > 1 else None)
+            yield with_space(_sum_both_ways(weighted, F.col("n"), F.col("mirrored")), token_sep)
 
 
 def whole_sentence_match_counts(

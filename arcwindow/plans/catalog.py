@@ -22,6 +22,7 @@ from arcwindow.operators.counting import (
     second_part,
     sort_counts,
     whole_sentence_counts,
+    whole_sentence_rounds,
 )
 from arcwindow.operators.filters import flag_words
 from arcwindow.operators.graph import dep_edges, dot_graphs
@@ -35,7 +36,7 @@ from arcwindow.operators.vocabulary import decode_counts, encoded_tokens, packed
 from arcwindow.operators.windows import BagOfWords, extract_pairs, match_rows
 from arcwindow.operators.word_stream import word_stream
 from arcwindow.plans.cooccurrence import cooccurrence_counts
-from arcwindow.plans.scratch import cut_lineage, scratch_path
+from arcwindow.plans.scratch import DENSE, cut_lineage, scratch_path
 from arcwindow.sinks.corpus import sentence_text, write_corpus, write_files, write_lines, write_parts
 from arcwindow.sinks.counts import ChangedCounts, CountStore, export_counts, write_counts, write_pairs
 from arcwindow.sources.annotated import (
@@ -141,8 +142,12 @@ def _profile(counts: DataFrame) -> DataFrame:
 
 
 def whole_sentence_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts without a window, summed up per word."""
-    return _profile(whole_sentence_counts(document_sentences(spark, sf_dir)))
+    """Counts without a window, summed up per word: in rounds, whose sums are added up."""
+    rounds = [cut_lineage(_profile(counts), DENSE) for counts in whole_sentence_rounds(document_sentences(spark, sf_dir))]
+    if len(rounds) == 1:
+        return rounds[0]
+    sums = [F.sum(c).alias(c) for c in rounds[0].columns[2:]]
+    return functools.reduce(DataFrame.unionByName, rounds).groupBy("space", "pivot").agg(*sums)
 
 
 def whole_sentence_formats(spark: SparkSession, sf_dir: str) -> DataFrame:

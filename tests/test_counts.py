@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arcwindow.functions.predicates import TokenTest
+from arcwindow.operators import counting
 from arcwindow.operators.counting import count_pairs, dealt_blocks, merge_counts, sentence_hash, sort_counts, whole_sentence_match_counts
 from arcwindow.operators.matchers import DependencyArcs, LinearPhrases, Unigrams
 from arcwindow.operators.vocabulary import decode, decode_counts, encode, encoded_tokens, packed_counts
@@ -224,6 +225,19 @@ def test_whole_sentence_counts_of_phrases(spark, tmp_path, block):
                 assert counted(whole_sentence_match_counts(corpus, matchers, block=block, **formats)) == want
 
 
+@pytest.mark.parametrize("separator", ["s", "text"])
+def test_whole_sentences_are_counted_in_rounds(spark, tmp_path, monkeypatch, separator):
+    """Rounds share no pair and make up all counts, also where ids repeat; each is a part of the pairs, which lie on disk at a time."""
+    monkeypatch.setattr(counting, "LEAST_PAIRS", 1)
+    text = "".join(f"{plain.corpus(sentences(i, 9, 9, wild=True))}</text>\n" for i in range(60, 64))
+    corpus = read_corpus(spark, write(tmp_path, text), separator=separator)
+    want = counted(counting.whole_sentence_counts(corpus))
+    rounds = [counted(counts) for counts in counting.whole_sentence_rounds(corpus, block=4)]
+    assert len(rounds) > 3 and sum(map(len, rounds)) == len(want) and sum(rounds, Counter()) == want
+    assert max(map(len, rounds)) < 0.7 * len(want)
+    assert [counted(c) for c in counting.whole_sentence_rounds(corpus.limit(0))] == [{}]
+
+
 def test_equal_sentences_are_dealt_out(spark):
     """Sentences without targets do not cross the shuffle, and equal ones do not meet in one task."""
     found = F.when(F.col("id") % 2 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))
