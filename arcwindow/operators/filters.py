@@ -1,19 +1,25 @@
 """Word lists as filters.
 
 A list is a table that is joined, whatever its size; Spark chooses the strategy from the size it
-measures, and nothing is broadcast by hint. Frequent words are salted, so a word that
+measures, and nothing is broadcast by hint. Only flags of tokens are looked up in tasks where the list is short. Frequent words are salted, so a word that
 makes up a third of the rows is spread over several tasks also where the list is not broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import sys
+from collections.abc import Callable, Iterable
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from arcwindow.functions.arrays import let
 from arcwindow.functions.tokens import DEFAULT_FORMAT, TOKENS, format_tokens
-from arcwindow.plans.scratch import cut_lineage
+from arcwindow.plans.scratch import DENSE, cut_lineage
 
 #: Over how many tasks the rows of one word are spread.
 SALTS = 16
@@ -21,6 +27,11 @@ SALTS = 16
 #: Texts times list entries of a sentence up to which each text is looked up by itself.
 LOOKED_UP = 1 << 12
 
+#: Bytes of a list up to which the tasks that flag tokens hold it.
+TAKEN_BYTES = 64 << 20
+#: Texts that are hashed at a time.
+HASHED = 1 << 18
+
 Words = DataFrame | Iterable[str] | None
 
 
@@ -88,7 +99,8 @@ def flag_words(
 ) -> DataFrame:
     """Add a boolean array saying which tokens are in a list.
 
-    The sentences are written to the shared folder first, so they are parsed once, although
+    A list of up to ``TAKEN_BYTES`` is given to the tasks, which look up the texts of a batch of sentences: no shuffle and no
+    table of sentences. Of a longer one only the words that occur count. With more than that the sentences are written to the shared folder, so they are parsed once, although
     they are read twice: only the texts of tokens meet the list, and what comes back per
     sentence is the array of matching texts. So a frequent word crosses the shuffle once per
     sentence and not once per token, and it is salted. Use the result through
@@ -96,14 +108,64 @@ def flag_words(
     ``Flagged(column)`` list of a phrase pattern. ``key`` must identify a sentence; ``texts``
     replaces the template.
     """
-    sentences = cut_lineage(sentences)
+    spark = sentences.sparkSession
+    listed = cut_lineage(word_table(spark, words))
     of_token = format_tokens(TOKENS, template) if texts is None else texts
+    if not taken(listed):
+        occurring = sentences.select(F.explode_outer(F.array_distinct(of_token)).alias("word")).distinct()
+        listed = cut_lineage(listed.join(occurring, "word", "left_semi"))
+    if taken(listed):
+        return sentences.withColumn(column, looked_up(spark, listed)(of_token))
+    sentences = cut_lineage(sentences, DENSE)
     texts = sentences.select(*key, F.explode_outer(F.array_distinct(of_token)).alias("_text"))
-    listed = joined_to_words(texts, F.col("_text"), word_table(sentences.sparkSession, words), "inner")
-    hits = listed.groupBy(*key).agg(F.collect_set("_text").alias("_hits"))
+    found = joined_to_words(texts, F.col("_text"), listed, "inner")
+    hits = found.groupBy(*key).agg(F.collect_set("_text").alias("_hits"))
     return sentences.join(hits, key, "left").withColumn(column, marked(of_token, F.col("_hits"))).drop("_hits")
 
 
+def taken(listed: DataFrame) -> bool:
+    """Whether a list is short enough for tasks to hold it."""
+    return (listed.agg(F.sum(F.octet_length("word"))).first()[0] or 0) <= TAKEN_BYTES
+
+
+def looked_up(spark: SparkSession, listed: DataFrame) -> Callable[[Column], Column]:
+    """A function of arrays of texts that says which are in the list; null texts are not."""
+    # workers need not be able to import this package
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    words = listed.toArrow()["word"].combine_chunks()
+    hashes = text_hashes(words)
+    order = np.argsort(hashes)
+    sent = spark.sparkContext.broadcast((hashes[order], words.take(pa.array(order))))
+    return F.arrow_udf(lambda texts: in_list(texts, *sent.value), "array<boolean>")
+
+
+def text_hashes(texts: pa.Array) -> np.ndarray:
+    """Hashes by which texts are found; they are compared as well."""
+    found = [np.zeros(0, np.uint64)]
+    for first in range(0, len(texts), HASHED):
+        part = np.array(texts.slice(first, HASHED).to_pylist(), dtype=object)
+        found.append(pd.util.hash_array(part, categorize=False))
+    return np.concatenate(found)
+
+
+def in_list(texts: pa.Array, hashes: np.ndarray, words: pa.Array) -> pa.Array:
+    """For arrays of texts, which are among ``words``, in the order of their hashes."""
+    coded = pc.dictionary_encode(texts.flatten())
+    wanted = text_hashes(coded.dictionary)
+    known = np.zeros(len(wanted), dtype=bool)
+    at, left = np.searchsorted(hashes, wanted), np.arange(len(wanted))
+    while len(left):  # again only where several words have one hash
+        left = left[at[left] < len(hashes)]
+        left = left[hashes[at[left]] == wanted[left]]
+        known[left] = pc.equal(words.take(pa.array(at[left])), coded.dictionary.take(pa.array(left))).to_numpy(zero_copy_only=False)
+        left = left[~known[left]]
+        at[left] += 1
+    found = pc.fill_null(pa.array(known, pa.bool_()).take(coded.indices), False)
+    sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+    return pa.ListArray.from_arrays(ends, found, mask=pc.is_null(texts))
+
+
 def marked(texts: Column, hits: Column) -> Column:
     """Which texts are among ``hits``, one boolean each; ``hits`` may be null.
 

@@ -6,6 +6,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from arcwindow.functions.linear import Flagged, raw_field
 from arcwindow.functions.predicates import TokenTest
 from arcwindow.functions.tokens import TOKENS
 from arcwindow.operators.counting import count_pairs, whole_sentence_counts
+from arcwindow.operators import filters
 from arcwindow.operators.filters import flag_words
 from arcwindow.operators.grep import grep
 from arcwindow.operators.matchers import (
@@ -374,6 +377,27 @@ def test_flagged_phrase_list(spark, tmp_path):
         assert found == ([[0, 1, 2]] if text == RED_CAR else [[1, 2]])
 
 
+@pytest.mark.parametrize("most", [1 << 20, 20, -1])
+def test_flags_of_short_and_long_lists(spark, tmp_path, monkeypatch, most):
+    """A short list is looked up in the tasks, without a shuffle or a table of sentences; both ways give the same flags."""
+    monkeypatch.setattr(filters, "TAKEN_BYTES", most)
+    texts = [(0, ["Été", "car", None, "car", "b\tc"]), (1, []), (2, None), (3, [None]), (4, ["red"] * 300 + ["x"])]
+    rows = spark.createDataFrame(texts, "k int, tok_lemma array<string>").repartition(3)
+    words = spark.createDataFrame([("car",), ("red",), ("red",), (None,), ("Été",), ("b\tc",), ("nowhere" * 9,)], "word string")
+    flagged = flag_words(rows, words, "known", ["k"], texts=F.col("tok_lemma"))
+    want = {k: None if ts is None else [t in ("car", "red", "Été", "b\tc") for t in ts] for k, ts in texts}
+    assert {r.k: r.known for r in flagged.collect()} == want
+    assert {r.k: r.known for r in flag_words(rows, words.limit(0), "known", ["k"], texts=F.col("tok_lemma")).collect()} == {
+        k: None if ts is None else [False] * len(ts) for k, ts in texts
+    }
+    # words of one hash are told apart
+    array, same = pa.array([["a", "b", None], None, ["c"]]), pa.array(["b", "a"])
+    monkeypatch.setattr(filters, "text_hashes", lambda ts: np.full(len(ts), 7, np.uint64))
+    assert filters.in_list(array, filters.text_hashes(same), same).to_pylist() == [[True, True, False], None, [False]]
+    plan = flagged._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Join" in plan) == (most < 0)
+
+
 def test_only_content(spark, tmp_path):
     red = read_corpus(spark, write(tmp_path, RED_CAR))
     assert only_content(red).collect()[0].tok_lemma == ["red", "car", "have", "be", "sell"]
