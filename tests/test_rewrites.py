@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import gzip
 import random
 import re
+from pathlib import Path
 from urllib.parse import unquote
 
 import pytest
 
+from arcwindow.operators import order
 from arcwindow.operators.graph import dep_edges, dot_graphs
 from arcwindow.operators.heads import contentful_noun_heads
 from arcwindow.operators.order import running_totals
 from arcwindow.operators.split import split_by_sentences, split_by_texts
 from arcwindow.operators.trim import Pivots, trim
 from arcwindow.operators.word_stream import word_stream
-from arcwindow.sinks.corpus import sentence_text, write_corpus, write_files
+from arcwindow.plans.scratch import checkpoint_folder
+from arcwindow.sinks.corpus import sentence_text, write_corpus, write_files, write_lines, write_parts
 from arcwindow.sinks.counts import write_counts
 from arcwindow.sources.corpus import read_corpus
 from pyspark.sql import functions as F
@@ -222,3 +226,41 @@ def test_rows_are_made_once_before_they_are_sorted_into_files(spark, tmp_path):
     counts = spark.createDataFrame([("core", "a", "b", 1), ("core", "b", "a", 2)], "space string, pivot string, context string, occurrences bigint")
     write_counts(watched(counts), str(tmp_path / "counts"))
     assert made.value == n + 2
+
+
+def test_texts_of_parts_are_held_once(spark, tmp_path, monkeypatch):
+    """Cuts are found without the texts; parts, compressed, hold their pieces in order."""
+    held = []
+    cut = order.cut_lineage
+    monkeypatch.setattr(order, "cut_lineage", lambda df, *more: held.append(df.columns) or cut(df, *more))
+    rng = random.Random(3)
+    sizes = [rng.choice([0, 1, 2, 9]) for _ in range(80)]
+    rows = [(i // 9, i % 9, f"text {i}\n</text>\n", n, i % 7 != 3) for i, n in enumerate(sizes)]
+    pieces = spark.createDataFrame(rows, "a int, b int, value string, n_sentences bigint, ends_text boolean").repartition(5)
+    parted = split_by_sentences(pieces, ["a", "b"], 6)
+    assert sorted("value" in c or "_row" in c for c in held) == [False] * (len(held) - 1) + [True]
+    texts = []
+    for n, (_, _, _, _, ends) in zip(sizes, rows):
+        texts = [*texts[:-1], [*texts[-1], n]] if texts and not closed else [*texts, [n]]
+        closed = ends
+    part_of_text = plain.parts([sum(t) for t in texts], 6)
+    want = {}
+    for (_, _, value, _, _), part in zip(rows, (p for t, p in zip(texts, part_of_text) for _ in t)):
+        want[part] = want.get(part, "") + value
+    write_parts(parted, str(tmp_path / "parts"), ["a", "b"], compression="gzip")
+    got = {}
+    for path in sorted((tmp_path / "parts").glob("out=*/*.gz")):
+        part = int(path.parent.name.removeprefix("out="))
+        got[part] = got.get(part, "") + gzip.decompress(path.read_bytes()).decode()
+    assert got == want and len(got) > 10
+
+
+def test_what_is_sorted_into_files_is_removed(spark, tmp_path):
+    """Lines lie in the shared folder only until they are sorted; files are of bounded size and compressed."""
+    folder = Path(checkpoint_folder(spark).removeprefix("file:"))
+    df = spark.range(500).select(((F.col("id") * 37) % 500).alias("k"), F.concat(F.lit("line "), "id").alias("l"))
+    write_lines(df, "l", str(tmp_path / "lines"), order=["k"], compression="gzip", file_rows=60)
+    files = sorted((tmp_path / "lines").glob("part-*.txt.gz"))
+    lines = [line for f in files for line in gzip.decompress(f.read_bytes()).decode().splitlines()]
+    assert lines == [r["l"] for r in df.orderBy("k").collect()] and len(files) > 8
+    assert not list(folder.glob("passing-*"))
