@@ -10,7 +10,7 @@ from urllib.parse import unquote
 
 import pytest
 
-from arcwindow.operators import order
+from arcwindow.operators import graph, order
 from arcwindow.operators.graph import dep_edges, dot_graphs
 from arcwindow.operators.heads import contentful_noun_heads
 from arcwindow.operators.order import running_totals
@@ -135,6 +135,34 @@ def test_graph(spark, tmp_path):
     assert dep_edges(df).count() == 5
 
 
+def test_graphs_number_slim_sentences(spark, monkeypatch):
+    """Only a graph's fields are sorted, as one text; fields with line ends, without value, and no tokens make the same graphs."""
+    rows = [
+        (0, ["a", "b c"], ["NN", "V\tV"], ["1", "2"], ["2", "0"], ["X", ""]),
+        (1, ["a\nb", None], ["NN", "VV"], ["1", "2"], ["2", None], ["X", "\n"]),
+        (2, ["été", ""], [None, "VV"], ["1", "2"], ["2", "0"], ["X", "Y\\n"]),
+        (3, [], [], [], [], []),
+    ]
+    names = ("word", "pos", "id", "dep_id", "dep_rel")
+    arrays = ", ".join(f"tok_{n} array<string>" for n in names)
+    df = spark.createDataFrame(rows, f"k int, {arrays}").withColumns(
+        {"tok_lemma": F.col("tok_word"), "tok_line": F.lit(None).cast("array<string>"), "tok_n_fields": F.lit(None).cast("array<int>")}
+    )
+    held = []
+    number = graph.row_numbers
+    monkeypatch.setattr(graph, "row_numbers", lambda d, *more: held.append(d.columns) or number(d, *more))
+    got = [r.dot for r in graph.dot_graphs(df, ["k"]).orderBy("k").collect()]
+
+    def dot(k, words, tags, ids, heads, relations):
+        lines = [f"digraph sentence_{k} {{"]
+        for w, p, i, h, r in zip(*[["null" if v is None else v for v in x] for x in (words, tags, ids, heads, relations)]):
+            lines += [f'n_{i}[label="{w}/{p}"];', f'n_{i} -> n_{h} [label="{r}"];']
+        return "\n".join([*lines, f'label = "{" ".join(w for w in words if w is not None).strip(" ")}"', "}"])
+
+    assert got == [dot(*row) for row in rows]
+    assert [set(c) & {"tok_lemma", "tok_word"} for c in held] == [set()]
+
+
 @pytest.mark.parametrize("coalesce", ["true", "false"])
 def test_running_totals(spark, coalesce):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
